@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from heatloom.llm import kd_shards, sketches
+from heatloom.llm import kd_shards, mixing, packing, simhash, sketches, warc
 
 
 def queries() -> dict:
     return {
+        "op2_warc": warc.op2_warc,
+        "op3_mixing": mixing.op3_mixing,
         "op5_sharding": kd_shards.op5_sharding,
         "op6_fingerprints": sketches.op6_fingerprints,
+        "op7_simhash": simhash.op7_simhash,
+        "op9_packing": packing.op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": warc.OP2_SQL, "op3_mixing": mixing.OP3_SQL}

@@ -22,6 +22,7 @@ from heatloom.llm.common import numbered, save, small_table
 
 HEAVY = 100
 BINS = 1024
+TIE_BITS = 12
 DIMS = ("chars", "origin", "tongue", "first_id")
 
 
@@ -66,13 +67,13 @@ def _cuts(light: DataFrame, nodes: list[tuple[int, int, int]], room: list[float]
     bins = reached(coarse, F.sum("w").over(total) * F.col("share"))
     known = small_table(light.sparkSession, [(n, x["at"], float(x["goal"] - x["before"])) for n, x in bins.items()], "node long, cut_bin long, rest double")
     fine = placed.join(F.broadcast(known), "node").where(F.col("bin") == F.col("cut_bin"))
-    fine = fine.groupBy("node", F.shiftrightunsigned("key", 48).alias("at")).agg(F.sum("bytes").alias("w"), F.first("rest").alias("rest"))
+    fine = fine.groupBy("node", F.shiftrightunsigned("key", 64 - TIE_BITS).alias("at")).agg(F.sum("bytes").alias("w"), F.first("rest").alias("rest"))
     ties = reached(fine, F.col("rest"))
     cuts = []
     for node, dim, low, width, share, lo, mid in chosen:
         x = ties.get(node)
         nearer = 1 if x and x["goal"] - x["before"] >= x["w"] / 2 else 0  # the hash bin at the cut goes to the nearer side
-        cuts.append((node, dim, low, width, bins[node]["at"] if node in bins else BINS, x["at"] + nearer if x else 1 << 16, lo, mid))
+        cuts.append((node, dim, low, width, bins[node]["at"] if node in bins else BINS, x["at"] + nearer if x else 1 << TIE_BITS, lo, mid))
     return cuts
 
 
@@ -127,11 +128,15 @@ def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None
     light = light.withColumn("node", F.lit(1).cast("long"))
 
     nodes, leaves = [(1, 0, shards)], {}
-    while nodes := [n for n in nodes if n[2] - n[1] > 1 or leaves.update({n[0]: n[1]})]:
+    while True:
+        leaves |= {n: lo for n, lo, hi in nodes if hi - lo == 1}
+        nodes = [x for x in nodes if x[2] - x[1] > 1]
+        if not nodes:
+            break
         cuts = _cuts(light, nodes, room, whole)
         table = small_table(docs.sparkSession, [c[:6] for c in cuts], "node long, dim int, low double, width double, cut_bin long, cut_hash long")
         step = _binned(light.join(F.broadcast(table), "node", "left"))
-        left = (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.shiftrightunsigned("key", 48) < F.col("cut_hash")))
+        left = (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.shiftrightunsigned("key", 64 - TIE_BITS) < F.col("cut_hash")))
         deeper = F.when(F.col("dim").isNull(), F.col("node")).when(left, F.col("node") * 2).otherwise(F.col("node") * 2 + 1)
         light = step.withColumn("node", deeper).drop("dim", "low", "width", "cut_bin", "cut_hash", "bin")
         nodes = [x for n, lo, hi in nodes for x in ((2 * n, lo, (lo + hi) // 2), (2 * n + 1, (lo + hi) // 2, hi))]

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from heatloom.llm import kd_shards, mixing, packing, simhash, sketches, warc
+from heatloom.llm import kd_shards, mixing, packing, quality, simhash, sketches, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_warc": warc.op2_warc,
         "op3_mixing": mixing.op3_mixing,
         "op5_sharding": kd_shards.op5_sharding,
         "op6_fingerprints": sketches.op6_fingerprints,
         "op7_simhash": simhash.op7_simhash,
         "op9_packing": packing.op9_packing,
+        "op10_quality": quality.op10_quality,
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heatloom.llm import kd_shards, mixing, packing, quality, simhash, sketches, toxicity, warc
+from heatloom.llm import kd_shards, mixing, nearest, packing, quality, simhash, sketches, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_sharding": kd_shards.op5_sharding,
         "op6_fingerprints": sketches.op6_fingerprints,
         "op7_simhash": simhash.op7_simhash,
+        "op8_nearest": nearest.op8_nearest,
         "op9_packing": packing.op9_packing,
         "op10_quality": quality.op10_quality,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heatloom.llm import kd_shards, mixing, nearest, packing, quality, simhash, sketches, toxicity, warc
+from heatloom.llm import kd_shards, mixing, nearest, packing, quality, simhash, sketches, toxicity, warc, wrappers
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_warc": warc.op2_warc,
         "op3_mixing": mixing.op3_mixing,
+        "op4_html": wrappers.op4_html,
         "op5_sharding": kd_shards.op5_sharding,
         "op6_fingerprints": sketches.op6_fingerprints,
         "op7_simhash": simhash.op7_simhash,

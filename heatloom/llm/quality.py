@@ -64,12 +64,12 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
+def with_statistics(docs: DataFrame, name: str = "statistics") -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([statistics(t) for t in texts])
 
-    return docs.withColumn("statistics", F.pandas_udf(run, "array<double>")(F.coalesce("text", F.lit(""))))
+    return docs.withColumn(name, F.pandas_udf(run, "array<double>")(F.coalesce("text", F.lit(""))))
 
 
 def fit(labelled: DataFrame, shrinkage: float = 0.15) -> list[tuple[float, np.ndarray, np.ndarray, float]]:
@@ -110,23 +110,33 @@ def discriminant(statistics: np.ndarray, model: list) -> np.ndarray:
     return sides[1] - sides[0]
 
 
-def quality_scores(rows: DataFrame, model: list) -> DataFrame:
-    """rows (statistics) with `score`, 0 to 1, higher for label 1."""
+def quality_scores(rows: DataFrame, model: list, statistics_name: str = "statistics", name: str = "score") -> DataFrame:
+    """rows with column `name`, 0 to 1, higher for label 1."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for values in batches:
             x = np.array(values.tolist()).reshape(len(values), len(STATISTICS))
             yield pd.Series(1 / (1 + np.exp(-np.clip(discriminant(x, model), -30, 30))))
 
-    return rows.withColumn("score", F.pandas_udf(run, "double")("statistics"))
+    return rows.withColumn(name, F.pandas_udf(run, "double")(statistics_name))
+
+
+def training_labels(labels: DataFrame, folds: int, held: int) -> DataFrame:
+    """doc_id and y of usable labels outside fold `held`."""
+    fold = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % folds
+    return labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold != held)).select("doc_id", F.col("quality").alias("y"))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> list:
+    """The model of all labelled rows of docs (doc_id, text) outside fold `held`."""
+    rows = save(with_statistics(docs).select("doc_id", "statistics"), "statistics")
+    return fit(rows.join(training_labels(labels, folds, held), "doc_id"))
 
 
 def quality_rows(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """doc_id and score of every row of docs (doc_id, text); labels (doc_id, quality) of fold `held` are not used."""
     rows = save(with_statistics(docs.select("doc_id", "text")).select("doc_id", "statistics"), "statistics")
-    fold = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % folds
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold != held)).select("doc_id", F.col("quality").alias("y"))
-    return quality_scores(rows, fit(rows.join(known, "doc_id"))).select("doc_id", "score")
+    return quality_scores(rows, fit(rows.join(training_labels(labels, folds, held), "doc_id"))).select("doc_id", "score")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

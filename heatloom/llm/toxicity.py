@@ -172,8 +172,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, rows_per_class: int = 150
     return train(*training_rows(docs, labels, "toxic", folds, held, rows_per_class, chars))
 
 
-def toxicity_scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """docs with `score`, computed from the whole text alone. Null and empty texts get the score of a text without words."""
+def toxicity_scores(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
+    """docs with column `name`, computed from the whole text alone. Null and empty texts get the score of a text without words."""
     margin, bias = model
     shared = docs.sparkSession.sparkContext.broadcast(margin)
 
@@ -181,7 +181,7 @@ def toxicity_scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFra
         for texts in batches:
             yield pd.Series([text_score(t, shared.value, bias) for t in texts], dtype="float64")
 
-    return docs.withColumn("score", F.pandas_udf(run, "double")(F.coalesce("text", F.lit(""))))
+    return docs.withColumn(name, F.pandas_udf(run, "double")(F.coalesce("text", F.lit(""))))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,187 @@
-"""All queries of the library, by name."""
+"""All queries of the library, by name. Each takes (spark, sf_dir) and reads the tables there."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from heatloom.functions import geo, names
+from heatloom.jobs import rendering
+from heatloom.operators import archive, maintenance, raster, render, segments, tiles, tracks
+from heatloom.oracles import oracle_sql
+from heatloom.schemas import STYLES
+from heatloom.sources import events as ev
+from heatloom.sources import fit, gpx
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
+
+
+def _points(f: Callable[[DataFrame], DataFrame]):
+    """A query on the derived track points."""
+    return lambda spark, sf_dir: f(ev.trackpoints(spark, sf_dir))
+
+
+def _tracks(f: Callable[[DataFrame], DataFrame]):
+    return lambda spark, sf_dir: f(ev.stored_tracks(spark, sf_dir))
+
+
+def _batch(f: Callable[[DataFrame, DataFrame], DataFrame]):
+    """A query on an import batch and the stored tracks."""
+
+    def run(spark, sf_dir: str) -> DataFrame:
+        stored, batch = ev.candidates(spark, sf_dir)
+        return f(batch, stored)
+
+    return run
+
+
+def _log(f: Callable[[DataFrame], DataFrame]):
+    return _batch(lambda batch, stored: f(tracks.dedup_import(batch, stored)))
+
+
+def _pixel_place(points: DataFrame) -> DataFrame:
+    rows = tiles.with_tile(points, 14)
+    z = F.lit(14)
+    px = geo.global_pixel(geo.mercator_x(F.col("lon")), z) - F.col("x") * geo.TILE
+    py = geo.global_pixel(geo.mercator_y(F.col("lat")), z) - F.col("y") * geo.TILE
+    return rows.select("track_id", "seq", F.round(px, 4).alias("px"), F.round(py, 4).alias("py"))
+
+
+def _in_margin(points: DataFrame) -> DataFrame:
+    rows, z = segments.segments(points), F.lit(14)
+    home = tiles.with_tile(rows.withColumnsRenamed({"lon0": "lon", "lat0": "lat"}), 14)
+    x = lambda c: geo.global_pixel(geo.mercator_x(F.col(c)), z) - F.col("x") * geo.TILE
+    y = lambda c: geo.global_pixel(geo.mercator_y(F.col(c)), z) - F.col("y") * geo.TILE
+    return home.select("track_id", "seq", geo.in_margin(x("lon"), y("lat"), x("lon1"), y("lat1")).alias("inside"))
+
+
+def _zoom_rules(points: DataFrame) -> DataFrame:
+    z = F.col("z")
+    return tiles.data_tiles(points).select("z", geo.line_width(z).alias("width"), geo.segment_cap(z).alias("cap")).distinct()
+
+
+def _spans(points: DataFrame) -> DataFrame:
+    return tiles.track_tile_hits(points, 12, 12).groupBy("z", "x", "y").agg(F.sum(F.col("last_seq") - F.col("first_seq") + 1).alias("span"), F.count("*").alias("tracks"))
+
+
+def _filenames(rows: DataFrame) -> DataFrame:
+    t = F.col("track_id")
+    name = F.when(t % 4 == 0, "").otherwise(F.concat(F.lit("name "), t))
+    return rows.select(t, names.track_filename(F.concat(F.lit("in/ride."), t, F.lit(".gpx")), name, t).alias("filename"))
+
+
+def _index(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    usable = batch.where(F.col("error").isNull() & (F.col("num_points") > 0))
+    return tracks.track_index(usable.select(F.concat(F.lit("file "), F.col("track_id") % 7).alias("path"), F.col("track_id").alias("chunk")))
+
+
+def _routes(log: DataFrame) -> DataFrame:
+    return tracks.route_files(log, log.sparkSession.createDataFrame([], "folder string, name string"))
+
+
+def _formats(spark, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
+    endings = F.array(*[F.lit(x) for x in (".GPX", ".fit", ".tcx", ".kml", ".html")])
+    path = F.concat(F.lit("in/"), F.col("page_id"), F.get(endings, F.col("page_id") % 5))
+    return pages.select("page_id", gpx.format_error(path).alias("error"))
+
+
+def _exports(points: DataFrame) -> DataFrame:
+    disk = ev.tiles_on_disk(points)
+    nothing = points.sparkSession.createDataFrame([], "z int, x long, y long")
+    return maintenance.export_ready(nothing, maintenance.missing_tiles(points, disk))
+
+
+def _known(points: DataFrame) -> DataFrame:
+    blobs = ev.tiles_on_disk(points).withColumn("data", F.lit(b"image"))
+    found = render.empty_tiles(ev.tile_requests(points), blobs)
+    return found.select("style", "z", "x", "y", (F.col("data") == F.lit(b"image")).alias("known"))
+
+
+def _parsed(points: DataFrame) -> DataFrame:
+    parsed = gpx.parsed_track(ev.gpx_texts(points), F.col("xml"))
+    return parsed.select("track_id", "track_name", F.posexplode("points").alias("n", "p")).select("track_id", (F.col("n") + 1).cast("long").alias("seq"), "p.lat", "p.lon", "track_name")
+
+
+def _fit_points(points: DataFrame) -> DataFrame:
+    found = fit.records_to_points(ev.fit_records(points))
+    return found.select("file", "seq", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+def _export(points: DataFrame) -> DataFrame:
+    wanted = tiles.data_tiles(points, 10, 12)
+    return archive.export_archive(render.render_tiles(points, wanted, 10, 12).where(F.col("style") == "warm"))
+
+
+def queries() -> dict[str, Callable]:
+    shifted = lambda d: d.where((F.col("x") + F.col("y")) % 3 == 0)
+    found = {
+        "data_tiles": _points(tiles.data_tiles),
+        "tile_density": _points(tiles.tile_density),
+        "lonlat_to_tile": _points(lambda p: tiles.with_tile(p, 14).select("track_id", "seq", "x", "y")),
+        "zoom_explode": _points(lambda p: tiles.zoom_explode(tiles.with_tile(p, 18).select("x", "y").distinct())),
+        "tile_bounds": _points(lambda p: tiles.with_bounds(tiles.data_tiles(p))),
+        "tile_bounds_padded": _points(lambda p: tiles.with_bounds(tiles.data_tiles(p), geo.PADDING)),
+        "lonlat_to_pixel": _points(_pixel_place),
+        "track_tile_hits": _points(tiles.track_tile_hits),
+        "track_bounds": _points(tracks.track_bounds),
+        "content_hash": _points(tracks.content_hashes),
+        "segments": _points(segments.segments),
+        "gap_km": _points(lambda p: segments.with_gap(segments.segments(p)).select("track_id", "seq", F.round("km", 6).alias("km"))),
+        "drop_gaps": _points(lambda p: segments.drop_gaps(segments.segments(p))),
+        "segment_in_margin": _points(_in_margin),
+        "zoom_rules": _points(_zoom_rules),
+        "cap_segments": _points(lambda p: segments.cap_tracks(tiles.track_tile_hits(p, 14, 14), 10)),
+        "points_in_tiles": _points(_spans),
+        "tile_segments": _points(lambda p: segments.tile_segments(p, tiles.data_tiles(p), 14, 14)),
+        "color_lut": lambda spark, sf_dir: raster.color_lut(spark),
+        "normalize_intensity": _points(lambda p: raster.with_index(raster.pixel_intensity(p, 11))),
+        "colorize": _points(lambda p: raster.colorize(raster.pixel_intensity(p, 11))),
+        "top_tracks_layer": _points(lambda p: raster.top_tracks_layer(raster.pixel_intensity(p, 8))),
+        "stats": _tracks(tracks.stats),
+        "source_file_count": _tracks(tracks.source_file_count),
+        "effective_hash": _tracks(lambda t: t.select("track_id", F.col("file_hash").alias("effective_hash"), names.source_hash(F.col("file_hash")).alias("source_hash"))),
+        "track_filename": _tracks(_filenames),
+        "date_range": _tracks(tracks.date_range),
+        "global_bounds": _tracks(tracks.global_bounds),
+        "new_files": _batch(lambda b, s: tracks.new_files(b, s).select("path")),
+        "content_duplicates": _batch(lambda b, s: tracks.content_duplicates(b, s).select("path", "matched")),
+        "dedup_import": _log(lambda log: log.select("path", "status")),
+        "import_summary": _log(tracks.import_summary),
+        "duplicates_blocked": _log(tracks.duplicates_blocked),
+        "track_index": _batch(_index),
+        "route_files": _log(_routes),
+        "mark_tiles_dirty": _points(lambda p: maintenance.mark_tiles_dirty(p.where(ev.last_tracks(p)), tiles.data_tiles(p.where(F.col("track_id") % 2 == 0)))),
+        "mark_all_tiles_dirty": _points(lambda p: maintenance.mark_all_tiles_dirty(p, ev.dirty_tiles(p))),
+        "sample_points": _points(lambda p: tiles.sample_points(p, target=500, deepest=14)),
+        "clear_dirty": _points(lambda p: maintenance.clear_dirty(d := ev.dirty_tiles(p), shifted(d))),
+        "clear_tiles": _points(lambda p: maintenance.clear_tiles(ev.tiles_on_disk(p), "warm")),
+        "stale_tiles": _points(lambda p: maintenance.stale_tiles(ev.tiles_on_disk(p), ev.dirty_tiles(p)).select("style", "z", "x", "y")),
+        "missing_tiles": _points(lambda p: maintenance.missing_tiles(p, ev.tiles_on_disk(p))),
+        "tiles_needing_queue": _points(lambda p: maintenance.tiles_needing_queue(maintenance.missing_tiles(p, ev.tiles_on_disk(p)), ev.dirty_tiles(p))),
+        "check_tiles": _points(lambda p: maintenance.check_tiles(p, ev.tiles_on_disk(p))),
+        "dirty_by_zoom": _points(lambda p: maintenance.dirty_by_zoom(ev.dirty_tiles(p))),
+        "dirty_batch": _points(lambda p: maintenance.dirty_batch(ev.dirty_tiles(p))),
+        "export_ready": _points(_exports),
+        "valid_tile_address": _points(lambda p: ev.tile_requests(p).withColumn("status", geo.tile_status(F.col("style"), F.col("z"), F.col("x"), F.col("y"), STYLES))),
+        "tile_id": _points(lambda p: archive.with_tile_id(tiles.data_tiles(p))),
+        "archive_order": _points(lambda p: archive.archive_order(tiles.data_tiles(p))),
+        "archive_offsets": _points(lambda p: archive.archive_offsets(ev.tile_blobs(p))),
+        "archive_header": lambda spark, sf_dir: archive.archive_header(tiles.data_tiles(ev.trackpoints(spark, sf_dir)), ev.stored_tracks(spark, sf_dir)),
+        "sanitize_gpx_text": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", names.escaped_text(F.col("text")).alias("text")),
+        "strip_namespace": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", names.without_prefixes(F.col("html")).alias("html")),
+        "parse_trkpts": _points(_parsed),
+        "fit_records_to_points": _points(_fit_points),
+        "first_last_time": _points(lambda p: fit.first_last_time(ev.fit_records(p))),
+        "write_tracks": _points(rendering.laid_out),
+        "unsupported_format": _formats,
+        "empty_tiles": _points(_known),
+        "render_tiles": _points(lambda p: render.render_tiles(p, tiles.data_tiles(p, 14, 16), 14, 16)),
+        "export_archive": _points(_export),
+        "incremental_render": _points(lambda p: rendering.incremental(p, ev.tiles_on_disk(p), ev.dirty_tiles(p), 12, 14)),
+    }
+    for z in (8, 11, 14):
+        found[f"pixel_intensity_z{z}"] = _points(lambda p, z=z: raster.pixel_intensity(p, z))
+    return found

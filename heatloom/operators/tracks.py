@@ -86,9 +86,10 @@ def dedup_import(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 def with_track_ids(imported: DataFrame, last_id: int) -> DataFrame:
     """Imported rows with dense ids after last_id, in (path, track_index) order (one slim row for each new track)."""
-    slim = imported.select("path", "track_index").withColumn("track_id", F.row_number().over(Window.orderBy("path", "track_index")) + F.lit(last_id))
-    same = imported["path"].eqNullSafe(slim["path"]) & imported["track_index"].eqNullSafe(slim["track_index"])
-    return imported.join(slim, same).select("track_id", *[imported[c] for c in imported.columns])
+    order = Window.orderBy("path", "track_index")
+    slim = imported.select(F.col("path").alias("_path"), F.col("track_index").alias("_index"), (F.row_number().over(order) + F.lit(last_id)).cast("long").alias("track_id"))
+    same = F.col("path").eqNullSafe(F.col("_path")) & F.col("track_index").eqNullSafe(F.col("_index"))
+    return imported.join(slim, same).select("track_id", *imported.columns)
 
 
 def import_summary(log: DataFrame) -> DataFrame:

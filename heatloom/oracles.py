@@ -159,8 +159,8 @@ def oracle_sql() -> dict[str, str]:
         "gap_km": q(p, SEGMENTS, "SELECT track_id, seq, round(km, 6) AS km FROM km"),
         "drop_gaps": q(p, SEGMENTS, "SELECT * EXCLUDE (km) FROM near"),
         "segment_in_margin": q(
-            p, SEGMENTS, "w AS (SELECT track_id, seq, " + ", ".join(f"{m.format(**{k: c})} * 16384 * 256 - {f(o, '14')} * 256 AS {n}" for n, m, k, c, f, o in (("ax", MX, "lon", "lon0", tx, "lon0"), ("bx", MX, "lon", "lon1", tx, "lon0"), ("ay", MY, "lat", "lat0", ty, "lat0"), ("by", MY, "lat", "lat1", ty, "lat0"))) + " FROM sg)",
-            "SELECT track_id, seq, greatest(ax, bx) >= -128 AND least(ax, bx) <= 384 AND greatest(ay, by) >= -128 AND least(ay, by) <= 384 AS inside FROM w",
+            p, SEGMENTS, "w AS (SELECT track_id, seq, " + ", ".join(f"{m.format(**{k: c})} * 16384 * 256 - {f(o, '14')} * 256 AS {n}" for n, m, k, c, f, o in (("x0", MX, "lon", "lon0", tx, "lon0"), ("x1", MX, "lon", "lon1", tx, "lon0"), ("y0", MY, "lat", "lat0", ty, "lat0"), ("y1", MY, "lat", "lat1", ty, "lat0"))) + " FROM sg)",
+            "SELECT track_id, seq, greatest(x0, x1) >= -128 AND least(x0, x1) <= 384 AND greatest(y0, y1) >= -128 AND least(y0, y1) <= 384 AS inside FROM w",
         ),
         "zoom_rules": q(p, t, "SELECT DISTINCT z, CASE WHEN z <= 8 THEN 1 WHEN z <= 11 THEN 2 WHEN z <= 13 THEN 3 ELSE 4 END AS width, CASE WHEN z <= 4 THEN 500 WHEN z <= 8 THEN 2000 ELSE 10000 END AS cap FROM dt"),
         "cap_segments": q(p, hits(14, 14), "SELECT z, x, y, track_id, first_seq, last_seq FROM (SELECT *, row_number() OVER (PARTITION BY z, x, y ORDER BY track_id) AS n FROM hits) WHERE n <= 10"),

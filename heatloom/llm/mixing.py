@@ -53,9 +53,13 @@ def due_time(share: Column, levels: Column) -> Column:
     parts = F.size(levels) - 1
     areas = F.transform(F.sequence(F.lit(1), parts), lambda i: (F.get(levels, i - 1) + F.get(levels, i)) / 2)
     goal = share * F.aggregate(areas, F.lit(0.0), lambda a, x: a + x)
-    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"))
-    step = lambda a, x: F.when((a["sum"] + x <= goal) & (a["i"] + 1 < parts), F.struct((a["i"] + 1).alias("i"), (a["sum"] + x).alias("sum"))).otherwise(a)
-    at = F.aggregate(F.transform(areas, lambda x: x), start, step)
+    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(True).alias("open"))
+
+    def step(a: Column, x: Column) -> Column:
+        passed = a["open"] & (a["sum"] + x <= goal) & (a["i"] + 1 < parts)
+        return F.struct(F.when(passed, a["i"] + 1).otherwise(a["i"]).alias("i"), F.when(passed, a["sum"] + x).otherwise(a["sum"]).alias("sum"), passed.alias("open"))
+
+    at = F.aggregate(areas, start, step)
     low, high = F.get(levels, at["i"]), F.get(levels, at["i"] + 1)
     rest = F.greatest(F.lit(0.0), goal - at["sum"])
     inside = F.when(rest == 0, F.lit(0.0)).otherwise(2 * rest / (low + F.sqrt(F.greatest(F.lit(0.0), low * low + 2 * (high - low) * rest))))

@@ -1,0 +1,164 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from heatloom.llm import nearest, wrappers
+from heatloom.llm.common import save
+
+PAGES = "page_id long, url string, html string, host string, wrapper string, main_text string"
+
+PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li><a href="/a">menu {n}</a></li><li><a href='/b'>x</a></li></ul></nav>
+<div class="cookie-notice">We use cookies</div><div class="ad">Buy {n}</div>
+<article><h1>Title&amp;more {n}</h1><p>First   <b>bold</b>te&eacute;xt {n}<p>Second &lt;b&gt; para<br></p>
+<ul><li>one</li><li>two {n}</li></ul><form><input name="q">Search</form><div class="comments"><p>reader {n}</p></div></article>
+<aside><p>side {n}</p></aside><footer>&copy; {n}</footer></body></html>"""
+WANT = "Title&more {n}\nFirst boldteéxt {n}\nSecond <b> para\none\ntwo {n}"
+
+
+def run(spark, rows):
+    pages = spark.createDataFrame([(i, u, h, "a", "b", "c") for i, u, h in rows], PAGES)
+    return {r["page_id"]: r["main_text"] for r in wrappers.main_text(pages.drop("main_text"), wrappers.infer_wrappers(pages)).collect()}
+
+
+def test_articles(spark):
+    rows = [(i, "https://a.example/" + str(i), PAGE.format(n=i)) for i in range(8)]
+    rows += [(20, None, None), (21, "x", ""), (22, "http://b.example", "just text\n & more"), (23, "http://a.example/9", PAGE.format(n=9)[: PAGE.index("<ul><li>one") + 20])]
+    rows += [(24, "http://c.example", "<div>" * 300 + "deep" + "</div>" * 300), (25, "http://c.example/2", "<p>" + "long " * 50_000)]
+    found = run(spark, rows)
+    assert len(found) == len(rows)
+    assert all(found[i] == WANT.format(n=i) for i in range(8))
+    assert found[20] == found[21] == "" and found[22] == "just text & more"
+    assert found[23].startswith("Title&more 9\nFirst boldteéxt 9\nSecond <b> para") and found[24] == "deep"
+    assert found[25] == ("long " * 50_000).strip()
+
+
+def test_pages_of_no_articles_drop_what_never_changes(spark):
+    page = '<body><div id="top"><p>Our site, since 1999</p></div><div id="links"><p><a href="/">home</a> <a href="/x">news of today {n}</a></p></div><div id="text"><p>Story {n}</p><p>More {n}</p></div></body>'
+    found = run(spark, [(i, "http://d.example/", page.format(n=i)) for i in range(6)])
+    assert found == {i: f"Story {i}\nMore {i}" for i in range(6)}
+
+
+def test_wrapper_is_an_expression():
+    """Repeated siblings become a group, what a page lacks becomes optional, all pages fit."""
+    a, b = "<ul><li>x</li><li>y</li></ul><p>t</p>", "<h2>k</h2><ul><li>z</li></ul>"
+    whole = wrappers.merge(wrappers._skeleton(wrappers.parse(a)), wrappers._skeleton(wrappers.parse(b)))
+    assert wrappers.as_expression(whole) == "<#root>(<h2>#text</h2>)?<ul>(<li>#text</li>)+</ul>(<p>#text</p>)?</#root>"
+    again = wrappers.from_json(wrappers.to_json(whole))
+    assert wrappers.as_expression(again) == wrappers.as_expression(whole)
+    pair = "<dl>" + "<dt>a</dt><dd>b</dd>" * 5 + "</dl>"
+    assert wrappers.as_expression(wrappers._skeleton(wrappers.parse(pair))) == "<#root><dl>(<dt>#text</dt>)+(<dd>#text</dd>)+</dl></#root>"
+
+
+def test_partial_wrappers_give_the_same_texts(spark):
+    rows = [(i, f"http://{'ab'[i % 2]}.example/{i}", PAGE.format(n=i)) for i in range(40)]
+    pages = spark.createDataFrame([(i, u, h, "a", "b", "c") for i, u, h in rows], PAGES)
+    many = {r["page_id"]: r["main_text"] for r in wrappers.main_text(pages, wrappers.infer_wrappers(pages.repartition(13))).collect()}
+    assert many == {i: WANT.format(n=i) for i in range(40)}
+
+
+def test_empty_pages(spark):
+    assert run(spark, []) == {}
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, rank int, score string"
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], 0, 0, "x") for i, v in rows], VECTORS)
+
+
+def brute(rows, every, k=10):
+    rows = [(i, np.array(v, dtype=np.float32).astype(float)) for i, v in rows]
+    out = {}
+    for q, v in rows:
+        if q % every == 0:
+            near = sorted((float(np.sqrt(((v - w) ** 2).sum())), i) for i, w in rows if i != q)[:k]
+            out[q] = [(i, d) for d, i in near]
+    return out
+
+
+def test_recall_and_scores(spark, sf_dir):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    want = brute(rows, 100)
+    found = {}
+    for r in nearest.op8_nearest(spark, sf_dir).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(found) == set(want)
+    hits = sum(len({v for _, v, _ in found[q]} & {v for v, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+    exact = {q: dict(w) for q, w in want.items()}
+    for q, got in found.items():
+        assert [r for r, _, _ in got] == list(range(1, len(got) + 1))
+        assert [(s, v) for _, v, s in got] == sorted((s, v) for _, v, s in got)
+        assert all(s == pytest.approx(exact[q][v], abs=1e-12) for _, v, s in got if v in exact[q])
+
+
+def test_copies_ties_and_unusable_vectors(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, rng.normal(size=7) * (1 + i % 3)) for i in range(1, 60)] + [(i, np.ones(7)) for i in range(100, 160)] + [(200, np.ones(7))]
+    bad = [(300, None), (400, []), (500, [0.0] * 7), (600, [float("nan")] * 7), (700, [1.0, None, 1, 1, 1, 1, 1]), (800, [float("inf")] + [1.0] * 6), (900, [1.0, 2.0]), (None, [1.0] * 7)]
+    got = nearest.nearest(vectors(spark, [*rows, *bad, rows[3]]), F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
+    want = brute(rows, 100)
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], []).append((r["vec_id"], pytest.approx(r["score"], abs=1e-9)))
+    assert found == want
+
+
+def test_few_and_no_candidates(spark):
+    found = nearest.nearest(vectors(spark, [(0, [1.0, 2.0]), (1, [1.0, 2.5]), (2, [3.0, 1.0])]), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["rank"]) for r in found] == [(1, 1), (2, 2)]
+    assert nearest.nearest(vectors(spark, [(0, [1.0, 2.0])]), F.col("vec_id") == 0).count() == 0
+    assert nearest.nearest(vectors(spark, []), F.col("vec_id") == 0).count() == 0
+
+
+def test_parallel_errors_weigh_more():
+    """The anisotropic codes have a smaller error along the vector than plain nearest centroids."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 64))
+    q = nearest.Quantizer(64).fit(x)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    decoded = lambda c: np.concatenate([q.centroids[p][c[:, p]] for p in range(q.parts)], axis=1)
+    plain = ((q.split(x)[:, :, None, :] - q.centroids[None]) ** 2).sum(axis=3).argmin(axis=2)
+    along = lambda c: float((((x - decoded(c)) * unit).sum(axis=1) ** 2).mean())
+    assert along(q.encode(x)) < 0.7 * along(plain)
+
+
+def test_pipeline_stages(spark, sf_dir):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, counts = docs.columns, [docs.count()]
+    for name, stage in p.STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir), name)
+        assert docs.columns == columns
+        counts.append(docs.count())
+    assert counts[0] > counts[1] > counts[2] >= counts[3] > 0
+    pieces = save(p.STAGES[-1][1](spark, docs, sf_dir), "pieces")
+    assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").distinct().collect()}
+    assert save(p.run(spark, sf_dir), "run").count() > 0
+
+
+def test_pipeline_of_odd_rows(spark, sf_dir):
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string, copies string, score string"
+    rows = [(1, None, None, None, None, "a", "b", "c"), (None, "some words here", "en", "s", 1, "a", "b", "c"), (2, "", "en", "s", 0, "a", "b", "c"), (3, "x y z", "en", None, 5, "a", "b", "c"), (3, "x y z", "en", None, 5, "a", "b", "c")]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in p.STAGES[:-1]:
+            out = save(stage(spark, docs, sf_dir), name)
+            assert out.columns == docs.columns
+        p.pack_sequences(spark, docs, sf_dir).count()
+
+
+def test_mixing_order_reaches_packing(spark, sf_dir):
+    """Sequences follow the order of the mixed files, not of doc_id."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = save(p.mix_sources(spark, docs, sf_dir), "mixed")
+    order = [r["doc_id"] for r in mixed.select("doc_id", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).orderBy("f", "i").collect()]
+    pieces = p.pack_sequences(spark, mixed, sf_dir).where("start = 0").orderBy("sequence_id", "offset").collect()
+    assert [r["doc_id"] for r in pieces] == order

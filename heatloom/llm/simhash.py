@@ -29,8 +29,8 @@ CHUNK = 4096
 #: Words of fewer bytes say little about a text: most are function words of its language.
 LONG_WORD = 5
 LEAST_WORDS = 8
-#: Candidates at an anchor: all pairs of so many texts, else each text with so many members.
-SMALL_ANCHOR, STARS = 6, 3
+#: Candidates at an anchor: all pairs of so many texts, else each text with one member.
+SMALL_ANCHOR = 6
 #: Share of differing bits beyond which two texts met by chance; texts at similarity 0.8 differ in 7 to 15 of 100.
 FARTHEST = 0.3
 #: Texts of a cluster that a task compares with as many others.
@@ -198,19 +198,18 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     """(id, group) for the distinct texts of docs (doc_id, text) that have a near neighbour: linked texts share a group.
 
     id is `text_key`. Texts that meet at an anchor are candidates: all pairs at anchors of up to SMALL_ANCHOR texts; at a
-    larger one each text with STARS of its members, which connects the same texts without all pairs. Candidates of far too
+    larger one each text with one member, another at each anchor, which connects the same texts without all pairs. Candidates of far too
     different fingerprints met by chance and are left out; the others form clusters. Inside each cluster every pair is
     compared exactly, in blocks of up to BLOCK texts, and a task returns only links that connect, so that a group of
     near-copies costs neither a row for each pair nor one large task, and no link inside a cluster is lost.
     """
     nodes = save(docs.select(text_key().alias("id"), F.pandas_udf(_word_batches, "array<long>")(F.coalesce("text", F.lit(""))).alias("fp")).dropDuplicates(["id"]), "near-nodes")
     homes = at_home(nodes, longs)
-    shared = homes.groupBy("anchor").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64("id", F.lit(i)), "id"))["id"].alias(f"h{i}") for i in range(STARS)]).where("n > 1")
+    shared = homes.groupBy("anchor").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("anchor", "id"), "id"))["id"].alias("b")).where("n > 1")
     members = save(homes.join(shared, "anchor"), "near-members")
     few, many = members.where(F.col("n") <= SMALL_ANCHOR).select("anchor", "id"), members.where(F.col("n") > SMALL_ANCHOR)
     pairs = few.join(few.withColumnRenamed("id", "b"), "anchor").where(F.col("id") < F.col("b")).select(F.col("id").alias("a"), "b")
-    heads = many.select("id", F.explode(F.array(*[f"h{i}" for i in range(STARS)])).alias("b")).where(F.col("id") != F.col("b"))
-    pairs = pairs.unionByName(heads.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))).distinct()
+    pairs = pairs.unionByName(many.where(F.col("id") != F.col("b")).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))).distinct()
     x, y = nodes.select(F.col("id").alias("a"), F.col("fp").alias("x")), nodes.select(F.col("id").alias("b"), F.col("fp").alias("y"))
     differing = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     near = pairs.join(x, "a").join(y, "b").where(differing <= int(FARTHEST * 64 * longs)).select("a", "b")

@@ -24,10 +24,13 @@ from heatloom.llm.common import save
 
 CENTROIDS = 16
 SAMPLE = 4096
+RERANKED = 300
+#: Vectors of an index block and of a query block, at 64 dimensions; fewer at more.
 BLOCK_ROWS = 8192
 QUERY_BLOCK = 256
-RERANKED = 300
-SPREAD = 64
+#: A task scans up to PLACE_BLOCKS index blocks for up to SPLIT_BLOCKS query blocks and keeps the best of each query.
+PLACE_BLOCKS = 32
+SPLIT_BLOCKS = 8
 
 
 def eta(dimensions: int, threshold: float = 0.2) -> float:
@@ -109,11 +112,17 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _sized(rows: int, dimensions: int) -> int:
+    return max(16, rows * 64 // max(64, dimensions))
+
+
 def _blocks(quantizer: Quantizer):
+    size = _sized(BLOCK_ROWS, quantizer.dimensions)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i in range(0, len(batch), BLOCK_ROWS):
-                part = batch.iloc[i : i + BLOCK_ROWS]
+            for i in range(0, len(batch), size):
+                part = batch.iloc[i : i + size]
                 x = np.stack(part["vector"].to_numpy()).astype(np.float64)
                 codes = quantizer.encode(x)
                 if codes.shape[1] % 2:
@@ -126,18 +135,40 @@ def _blocks(quantizer: Quantizer):
     return run
 
 
+class _Best:
+    """The best rows so far of each query of a block."""
+
+    def __init__(self, quantizer: Quantizer, asked: np.ndarray, vectors: list, best: int):
+        self.asked, self.best = asked, best
+        self.tables = quantizer.tables(np.stack([np.asarray(v, dtype=np.float64) for v in vectors]))
+        if self.tables.shape[1] % 2:
+            self.tables = np.pad(self.tables, ((0, 0), (0, 1), (0, 0)))
+        self.reps, self.scores = np.empty((len(asked), 0), dtype=np.int64), np.empty((len(asked), 0), dtype=np.float32)
+
+    def add(self, reps: np.ndarray, packed: np.ndarray, halves: np.ndarray) -> None:
+        at, scores = scan(self.tables, packed, halves, self.best)
+        self.reps, self.scores = np.concatenate([self.reps, reps[at]], axis=1), np.concatenate([self.scores, scores], axis=1)
+        if self.reps.shape[1] > self.best:
+            top = np.argpartition(-self.scores, self.best - 1, axis=1)[:, : self.best]
+            self.reps, self.scores = np.take_along_axis(self.reps, top, axis=1), np.take_along_axis(self.scores, top, axis=1)
+
+    def rows(self) -> pd.DataFrame:
+        return pd.DataFrame({"query": np.repeat(self.asked, self.reps.shape[1]), "rep": self.reps.ravel(), "approximate": self.scores.ravel()})
+
+
 def _scans(quantizer: Quantizer, best: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[bytes, _Best] = {}  # of as many query blocks as a split has, so bounded; the oldest goes out early
         for batch in batches:
             for r in batch.itertuples():
-                queries = np.stack([np.asarray(v, dtype=np.float64) for v in r.query_vectors])
-                tables = quantizer.tables(queries)
-                if tables.shape[1] % 2:
-                    tables = np.pad(tables, ((0, 0), (0, 1), (0, 0)))
-                reps = np.frombuffer(r.reps, dtype="<i8")
-                packed = np.frombuffer(r.codes, dtype=np.uint8).reshape(r.rows, -1)
-                at, scores = scan(tables, packed, np.frombuffer(r.halves, dtype=np.float32), best)
-                yield pd.DataFrame({"query": np.repeat(np.asarray(r.query_reps, dtype=np.int64), at.shape[1]), "rep": reps[at].ravel(), "approximate": scores.ravel()})
+                asked = np.asarray(r.query_reps, dtype=np.int64)
+                if (key := asked.tobytes()) not in held:
+                    if len(held) >= 2 * SPLIT_BLOCKS:
+                        yield held.pop(next(iter(held))).rows()
+                    held[key] = _Best(quantizer, asked, r.query_vectors, best)
+                held[key].add(np.frombuffer(r.reps, dtype="<i8"), np.frombuffer(r.codes, dtype=np.uint8).reshape(r.rows, -1), np.frombuffer(r.halves, dtype=np.float32))
+        for block in held.values():
+            yield block.rows()
 
     return run
 
@@ -153,7 +184,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, reranked: int = RE
 
     Rows with a null vec_id, an unusable vector, or another number of components than most take no part. The quantizer is
     fitted on at most `sample` vectors (smallest hashes of vec_id); every usable vector is indexed and scanned. Queries go
-    in blocks of QUERY_BLOCK, copied to SPREAD groups of index blocks. Rows with equal vec_id and vector count once; ties
+    in blocks of QUERY_BLOCK, against groups of index blocks. Rows with equal vec_id and vector count once; ties
     in distance go to the smaller vec_id.
     """
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.transform("embedding", lambda x: x + F.lit(0).cast("float")).alias("vector"), queries.alias("asked"))
@@ -171,12 +202,17 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, reranked: int = RE
     chosen = index.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("vector").collect()
     quantizer = Quantizer(common["d"]).fit(np.array([r["vector"] for r in chosen], dtype=np.float64))
     blocks = index.select("rep", "vector").mapInPandas(_blocks(quantizer), "reps binary, codes binary, halves binary, rows int")
-    blocks = blocks.withColumn("place", F.pmod(F.xxhash64("reps"), F.lit(SPREAD)))
     distinct = asked.select("query", "vector").dropDuplicates(["query"])
-    n_blocks = max(1, -(-distinct.count() // QUERY_BLOCK))
+    n_blocks = max(1, -(-distinct.count() // _sized(QUERY_BLOCK, common["d"])))
+    places, splits = max(1, -(-index.count() // (PLACE_BLOCKS * _sized(BLOCK_ROWS, common["d"])))), -(-n_blocks // SPLIT_BLOCKS)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     groups = distinct.groupBy(F.pmod(F.xxhash64("query"), F.lit(n_blocks)).alias("block")).agg(F.collect_list("query").alias("query_reps"), F.collect_list("vector").alias("query_vectors"))
-    groups = groups.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))).drop("block")
-    found = blocks.join(groups, "place").drop("place").mapInPandas(_scans(quantizer, reranked), "query long, rep long, approximate float")
+    groups = groups.withColumn("split", F.pmod("block", F.lit(splits))).withColumn("place", each(places)).drop("block")
+    blocks = blocks.withColumn("place", F.pmod(F.xxhash64("reps"), F.lit(places))).withColumn("split", each(splits))
+    # All blocks of a place meet a split's queries in one task, which merges them.
+    tasks, key = min(places * splits, 20_000), ["place", "split"]
+    met = groups.repartition(tasks, *key).join(blocks.repartition(tasks, *key), key).drop(*key)
+    found = met.mapInPandas(_scans(quantizer, reranked), "query long, rep long, approximate float")
     best = Window.partitionBy("query").orderBy(F.desc("approximate"), "rep")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= reranked).select("query", "rep")
     found = found.unionByName(distinct.select("query", F.col("query").alias("rep"))).distinct()

@@ -6,9 +6,11 @@ home, and 16 within 2 (only itself, if the block is an anchor). Blocks that diff
 goes to its home and the other visits every anchor within radius 1 + 1; blocks that agree meet at home alone.
 
 op7: 64 bits, 3 differing bits, so one of two blocks differs in at most one: every link is found.
-near_duplicates: 1536 bits over a text's longer words, 48 blocks that meet at home; each meeting is then checked by the
-exact Jaccard similarity of five-word shingles. Texts at 0.8 differ in about 7 % of the bits, which a block of 31 survives
-often enough that one of 48 does in about 999 of 1000 pairs.
+near_duplicates: texts at Jaccard similarity 0.8 of five-word shingles differ in up to 15 % of the bits of a SimHash over all
+shingles. A block of 31 bits meets at home then with probability 0.014, so recall 0.999 would take about 490 blocks. Instead a
+fingerprint has WORDS SimHashes of 64 bits, each over SAMPLED shingles chosen by least hash, as MinHash chooses them. Texts at
+similarity J have an equal word with probability 1 - (1 - J**SAMPLED)**WORDS: 0.9995 at 0.8, 0.007 at 0.3. Meeting texts are
+then compared by the exact similarity of the same shingles.
 """
 
 from __future__ import annotations
@@ -26,13 +28,9 @@ from heatloom.llm.graph import components
 
 SEED = 42
 CHUNK = 4096
-#: Words of fewer bytes say little about a text: most are function words of its language.
-LONG_WORD = 5
-LEAST_WORDS = 8
-#: Candidates at an anchor: all pairs of so many texts, else each text with one member.
-SMALL_ANCHOR = 6
-#: Share of differing bits beyond which two texts met by chance; texts at similarity 0.8 differ in 7 to 15 of 100.
-FARTHEST = 0.3
+#: 64-bit words of a near-duplicate fingerprint, and shingles sampled for each: 1 - (1 - 0.8**7)**32 = 0.9995.
+WORDS = 32
+SAMPLED = 7
 #: Texts of a cluster that a task compares with as many others.
 BLOCK = 400
 
@@ -55,17 +53,31 @@ def shingle_fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(_bits(hashes.reshape(-1, 1))[0])
 
 
-def word_fingerprint(text: str | None, longs: int = 24) -> np.ndarray:
-    """SimHash of 64 * longs bits over a text's distinct longer words (all words if it has few of those)."""
-    found = {w.strip(b".,;:!?\"'()") for w in (text or "").encode().lower().split()}
-    chosen = [w for w in found if len(w) >= LONG_WORD]
-    if len(chosen) < LEAST_WORDS:
-        chosen = list(found)
-    base = np.array([xxhash.xxh64_intdigest(w, SEED) for w in chosen], dtype=np.uint64).reshape(-1, 1)
-    x = base + np.arange(longs, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # splitmix64 makes further hashes of one
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """splitmix64's finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return _bits(x ^ (x >> np.uint64(31)))
+    return x ^ (x >> np.uint64(31))
+
+
+#: One odd factor for each sampled shingle of each word of a fingerprint.
+FACTORS = _mixed(np.arange(1, WORDS * SAMPLED + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def sampled_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """WORDS 64-bit SimHashes of a set of shingle hashes, each over SAMPLED of them: those that are least under its own hashes.
+
+    Sets of Jaccard similarity J agree in a sample with probability J, so in a word with J**SAMPLED, whatever their sizes.
+    """
+    least = np.full(len(FACTORS), 2**64 - 1, dtype=np.uint64)
+    own = np.asarray(shingles, dtype=np.int64).view(np.uint64)
+    for i in range(0, len(own), 256):
+        x = FACTORS[:, None] * own[None, i : i + 256]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        np.minimum(least, x.min(axis=1), out=least)
+    votes = np.unpackbits(_mixed(least ^ FACTORS).reshape(WORDS, SAMPLED, 1).view(np.uint8), axis=2, bitorder="little").sum(axis=1, dtype=np.uint8)
+    return np.packbits(2 * votes > SAMPLED, axis=1, bitorder="little").view(np.int64).ravel()
 
 
 def _shingle_batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -73,9 +85,9 @@ def _shingle_batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([shingle_fingerprint(t) for t in batch], dtype="int64")
 
 
-def _word_batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series([word_fingerprint(t) for t in batch])
+def _sampled_batches(sets: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in sets:
+        yield pd.Series([sampled_fingerprint(x) for x in batch], dtype=object)
 
 
 def _syndrome(block: str) -> str:
@@ -194,29 +206,24 @@ def _exact_links(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, longs: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """(id, group) for the distinct texts of docs (doc_id, text) that have a near neighbour: linked texts share a group.
 
-    id is `text_key`. Texts that meet at an anchor are candidates: all pairs at anchors of up to SMALL_ANCHOR texts; at a
-    larger one each text with one member, another at each anchor, which connects the same texts without all pairs. Candidates of far too
-    different fingerprints met by chance and are left out; the others form clusters. Inside each cluster every pair is
-    compared exactly, in blocks of up to BLOCK texts, and a task returns only links that connect, so that a group of
-    near-copies costs neither a row for each pair nor one large task, and no link inside a cluster is lost.
+    id is `text_key`. Texts that share a word of their fingerprints are candidates, and candidates form clusters: each text
+    of a word is joined to the word's smallest one, which connects all of them, however many they are and whatever that one
+    is like. Inside each cluster every pair is compared exactly, in blocks of up to BLOCK texts, and a task returns only
+    links that connect, so that a group of near-copies costs neither a row for each pair nor one large task, and no pair of
+    candidates goes uncompared.
     """
-    nodes = save(docs.select(text_key().alias("id"), F.pandas_udf(_word_batches, "array<long>")(F.coalesce("text", F.lit(""))).alias("fp")).dropDuplicates(["id"]), "near-nodes")
-    homes = at_home(nodes, longs)
-    shared = homes.groupBy("anchor").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("anchor", "id"), "id"))["id"].alias("b")).where("n > 1")
-    members = save(homes.join(shared, "anchor"), "near-members")
-    few, many = members.where(F.col("n") <= SMALL_ANCHOR).select("anchor", "id"), members.where(F.col("n") > SMALL_ANCHOR)
-    pairs = few.join(few.withColumnRenamed("id", "b"), "anchor").where(F.col("id") < F.col("b")).select(F.col("id").alias("a"), "b")
-    pairs = pairs.unionByName(many.where(F.col("id") != F.col("b")).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))).distinct()
-    x, y = nodes.select(F.col("id").alias("a"), F.col("fp").alias("x")), nodes.select(F.col("id").alias("b"), F.col("fp").alias("y"))
-    differing = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    near = pairs.join(x, "a").join(y, "b").where(differing <= int(FARTHEST * 64 * longs)).select("a", "b")
-    clusters = components(near)
+    every = docs.select(text_key().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    prints = _with_shingles(every, shingle).select("id", F.pandas_udf(_sampled_batches, "array<long>")("shingles").alias("fp"))
+    nodes = save(prints.dropDuplicates(["id"]), "near-nodes")
+    at = nodes.select("id", F.explode("fp").alias("word"))
+    shared = save(at.groupBy("word").agg(F.count("*").alias("n"), F.min("id").alias("b")).where("n > 1").select("word", "b"), "near-shared")
+    clusters = components(at.join(shared, "word").where(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b"))
     sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     placed = save(clusters.join(sizes, "root").select(F.col("node").alias("id"), F.col("root").alias("cluster"), "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")), "near-clusters")
-    texts = docs.select(text_key().alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(placed.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    texts = every.join(placed.select("id"), "id", "left_semi").dropDuplicates(["id"])
     rows = save(_with_shingles(texts, shingle).join(placed, "id"), "near-shingles")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     blocks = rows.select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "shingles")

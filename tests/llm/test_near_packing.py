@@ -151,6 +151,37 @@ def test_a_large_group_of_near_copies(spark):
     assert kept == [0, *range(400, 420)]
 
 
+def kept_and_wanted(spark, rows):
+    sets = [shingles(t) for t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return {r["doc_id"] for r in simhash.drop_near_duplicates(frame(spark, enumerate(rows))).collect()}, set(lowest(len(rows), links)), len(links)
+
+
+def test_long_passages_added_or_inserted(spark):
+    """Pairs at similarity 0.80 to 0.85, of which word fingerprints of 1536 bits lost up to half."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(200):
+        n = int(rng.integers(60, 200))
+        base = [f"longword{rng.integers(10**9)}" for _ in range(n)]
+        lost = 4 * (g % 2)  # shingles that an insertion breaks
+        more = int((n - 4 - lost) / rng.uniform(0.8, 0.85)) - (n - 4 + lost)
+        at = n if g % 2 == 0 else n // 2
+        rows += [" ".join(base), " ".join(base[:at] + [f"morewords{rng.integers(10**9)}" for _ in range(more)] + base[at:])]
+    kept, want, links = kept_and_wanted(spark, rows)
+    assert links == 200 and kept == want
+
+
+def test_a_word_of_sampled_shingles_agrees_as_stated():
+    rng = np.random.default_rng(6)
+    for n, more in ((5, 1), (40, 10), (400, 100), (4000, 1000)):
+        equal = []
+        for _ in range(300 if n < 4000 else 60):
+            x = rng.integers(-(2**63), 2**63, n + more, dtype=np.int64)
+            equal.append((simhash.sampled_fingerprint(x) == simhash.sampled_fingerprint(x[:n])).mean())
+        assert np.mean(equal) == pytest.approx((n / (n + more)) ** simhash.SAMPLED, abs=0.03)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None), (5, "")]
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()) == [3, 4]

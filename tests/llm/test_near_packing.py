@@ -172,6 +172,20 @@ def test_long_passages_added_or_inserted(spark):
     assert links == 200 and kept == want
 
 
+def test_words_differ_in_length(spark):
+    """One long word more, of seven; and texts of short words only."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(30):
+        base = [f"longer{g}x{i}" for i in range(7)] + [f"{g:02d}{i:02d}" for i in range(33)]
+        rng.shuffle(base)
+        rows += [" ".join(base), " ".join([*base, f"longest{g}"])]
+        short = [str(rng.integers(10**4)) for _ in range(60)]
+        rows += [" ".join(short), " ".join([*short, "x", "y"])]
+    kept, want, links = kept_and_wanted(spark, rows)
+    assert links == 60 and kept == want
+
+
 def test_a_word_of_sampled_shingles_agrees_as_stated():
     rng = np.random.default_rng(6)
     for n, more in ((5, 1), (40, 10), (400, 100), (4000, 1000)):

@@ -4,8 +4,9 @@ The nearest vector by Euclidean distance is the one with the largest inner produ
 is maximum inner product search with an exact length term. Vectors are cut into two-dimensional parts with 16 centroids
 each (four bits). Codes and centroids minimise an anisotropic loss (Guo et al., 2020): the residual along the vector weighs
 ETA times the residual across it, because only the former moves the inner products that matter. A query's products with
-all centroids form a table for each part; scanning sums table entries by code, and the best candidates of each block are
-ranked again by the exact distance.
+all centroids form a table for each part; scanning sums table entries by code. The scores and the stored length of each
+vector's residual bound its distance from below; every vector whose bound reaches the nearest found so far is ranked again
+by the exact distance, inside the task, so the result is exact however many vectors are nearly equal.
 
 Equal vectors are one index entry with their smallest ids (more are never needed), so copies don't crowd out others.
 """
@@ -24,7 +25,10 @@ from heatloom.llm.common import save
 
 CENTROIDS = 16
 SAMPLE = 4096
+#: Best scores of a first block that give the distances to start from.
 RERANKED = 300
+#: Pairs whose exact distance is taken at once.
+CHUNK = 65536
 #: Vectors of an index block and of a query block, at 64 dimensions; fewer at more.
 BLOCK_ROWS = 8192
 QUERY_BLOCK = 256
@@ -92,18 +96,14 @@ class Quantizer:
         return np.einsum("qpd,pcd->qpc", self.split(queries), self.centroids).astype(np.float32)
 
 
-def scan(tables: np.ndarray, packed: np.ndarray, half_squares: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the rows of the block with the `best` largest approximate scores, and those scores."""
+def scan(tables: np.ndarray, packed: np.ndarray, half_squares: np.ndarray) -> np.ndarray:
+    """Approximate scores (queries, rows) of a block."""
     codes = np.empty((packed.shape[0], packed.shape[1] * 2), dtype=np.uint8)
     codes[:, ::2], codes[:, 1::2] = packed & 15, packed >> 4
     scores = np.repeat(-half_squares[None].astype(np.float32), len(tables), axis=0)
     for p in range(tables.shape[1]):
         scores += tables[:, p][:, codes[:, p]]
-    if best >= scores.shape[1]:
-        at = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
-    else:
-        at = np.argpartition(-scores, best - 1, axis=1)[:, :best]
-    return at, np.take_along_axis(scores, at, axis=1)
+    return scores
 
 
 def usable(vector: Column) -> Column:
@@ -125,50 +125,73 @@ def _blocks(quantizer: Quantizer):
                 part = batch.iloc[i : i + size]
                 x = np.stack(part["vector"].to_numpy()).astype(np.float64)
                 codes = quantizer.encode(x)
+                decoded = np.stack([quantizer.centroids[p][codes[:, p]] for p in range(quantizer.parts)], axis=1)
+                residuals = np.sqrt(((quantizer.split(x) - decoded) ** 2).sum(axis=(1, 2)))
+                squares = (decoded**2).sum(axis=(1, 2))
                 if codes.shape[1] % 2:
                     codes = np.pad(codes, ((0, 0), (0, 1)))
                 packed = codes[:, ::2] | codes[:, 1::2] << 4
                 half = (0.5 * (x * x).sum(axis=1)).astype(np.float32)
                 rep = part["rep"].to_numpy().astype("<i8")
-                yield pd.DataFrame({"reps": [rep.tobytes()], "codes": [packed.tobytes()], "halves": [half.tobytes()], "rows": [len(part)]})
+                yield pd.DataFrame({"reps": [rep.tobytes()], "codes": [packed.tobytes()], "halves": [half.tobytes()], "rows": [len(part)], "vectors": [x.astype("<f4").tobytes()], "squares": [squares.tobytes()], "residuals": [residuals.tobytes()]})
 
     return run
 
 
 class _Best:
-    """The best rows so far of each query of a block."""
+    """The nearest rows so far of each query of a block, by exact squared distance."""
 
-    def __init__(self, quantizer: Quantizer, asked: np.ndarray, vectors: list, best: int):
-        self.asked, self.best = asked, best
-        self.tables = quantizer.tables(np.stack([np.asarray(v, dtype=np.float64) for v in vectors]))
+    def __init__(self, quantizer: Quantizer, asked: np.ndarray, vectors: list, keep: int, reranked: int):
+        self.asked, self.keep, self.reranked = asked, keep, reranked
+        self.queries = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+        self.own = (self.queries**2).sum(axis=1)
+        self.tables = quantizer.tables(self.queries)
         if self.tables.shape[1] % 2:
             self.tables = np.pad(self.tables, ((0, 0), (0, 1), (0, 0)))
-        self.reps, self.scores = np.empty((len(asked), 0), dtype=np.int64), np.empty((len(asked), 0), dtype=np.float32)
-
-    def add(self, reps: np.ndarray, packed: np.ndarray, halves: np.ndarray) -> None:
-        at, scores = scan(self.tables, packed, halves, self.best)
-        self.reps, self.scores = np.concatenate([self.reps, reps[at]], axis=1), np.concatenate([self.scores, scores], axis=1)
-        if self.reps.shape[1] > self.best:
-            top = np.argpartition(-self.scores, self.best - 1, axis=1)[:, : self.best]
-            self.reps, self.scores = np.take_along_axis(self.reps, top, axis=1), np.take_along_axis(self.scores, top, axis=1)
+        self.at, self.reps, self.found = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+        self.worst = np.full(len(asked), np.inf)
+
+    def add(self, reps: np.ndarray, packed: np.ndarray, halves: np.ndarray, vectors: np.ndarray, squares: np.ndarray, residuals: np.ndarray) -> None:
+        scores = scan(self.tables, packed, halves)
+        left = np.ones(scores.shape, dtype=bool)
+        if np.isinf(self.worst).any() and self.reranked < scores.shape[1]:  # distances to start from
+            top = np.argpartition(-scores, self.reranked - 1, axis=1)[:, : self.reranked]
+            self._rank(np.repeat(np.arange(len(top)), top.shape[1]), top.ravel(), reps, vectors)
+            np.put_along_axis(left, top, False, axis=1)
+        lengths = 2.0 * halves
+        for i in range(len(left)):
+            rounding = 1e-5 * (self.own[i] + lengths)
+            bound = np.sqrt(np.maximum(self.own[i] - 2.0 * scores[i] + squares - lengths - rounding, 0)) - residuals
+            left[i] &= bound <= np.sqrt(self.worst[i]) * (1 + 1e-9)
+        self._rank(*np.nonzero(left), reps, vectors)
+
+    def _rank(self, at: np.ndarray, rows: np.ndarray, reps: np.ndarray, vectors: np.ndarray) -> None:
+        for i in range(0, len(at), CHUNK):
+            q, r = at[i : i + CHUNK], rows[i : i + CHUNK]
+            d = ((self.queries[q] - vectors[r].astype(np.float64)) ** 2).sum(axis=1)
+            near = d <= self.worst[q]
+            at_, reps_, found = np.concatenate([self.at, q[near]]), np.concatenate([self.reps, reps[r[near]]]), np.concatenate([self.found, d[near]])
+            order = np.lexsort((reps_, found, at_))
+            at_, reps_, found = at_[order], reps_[order], found[order]
+            n = np.arange(len(at_)) - np.searchsorted(at_, at_)
+            self.at, self.reps, self.found = at_[n < self.keep], reps_[n < self.keep], found[n < self.keep]
+            full = n == self.keep - 1
+            self.worst[at_[full]] = found[full]
 
     def rows(self) -> pd.DataFrame:
-        return pd.DataFrame({"query": np.repeat(self.asked, self.reps.shape[1]), "rep": self.reps.ravel(), "approximate": self.scores.ravel()})
+        return pd.DataFrame({"query": self.asked[self.at], "rep": self.reps, "square": self.found})
 
 
-def _scans(quantizer: Quantizer, best: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[bytes, _Best] = {}  # of as many query blocks as a split has, so bounded; the oldest goes out early
-        for batch in batches:
-            for r in batch.itertuples():
-                asked = np.asarray(r.query_reps, dtype=np.int64)
-                if (key := asked.tobytes()) not in held:
-                    if len(held) >= 2 * SPLIT_BLOCKS:
-                        yield held.pop(next(iter(held))).rows()
-                    held[key] = _Best(quantizer, asked, r.query_vectors, best)
-                held[key].add(np.frombuffer(r.reps, dtype="<i8"), np.frombuffer(r.codes, dtype=np.uint8).reshape(r.rows, -1), np.frombuffer(r.halves, dtype=np.float32))
-        for block in held.values():
-            yield block.rows()
+def _scans(quantizer: Quantizer, keep: int, reranked: int):
+    def run(groups: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query": np.empty(0, np.int64), "rep": np.empty(0, np.int64), "square": np.empty(0)})]
+        for g in groups.itertuples():
+            best = _Best(quantizer, np.asarray(g.query_reps, dtype=np.int64), g.query_vectors, keep, reranked)
+            for r in blocks.itertuples():
+                codes, vectors = np.frombuffer(r.codes, dtype=np.uint8).reshape(r.rows, -1), np.frombuffer(r.vectors, dtype="<f4").reshape(r.rows, -1)
+                best.add(np.frombuffer(r.reps, dtype="<i8"), codes, np.frombuffer(r.halves, dtype=np.float32), vectors, np.frombuffer(r.squares), np.frombuffer(r.residuals))
+            out.append(best.rows())
+        return pd.concat(out)
 
     return run
 
@@ -201,7 +224,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, reranked: int = RE
 
     chosen = index.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("vector").collect()
     quantizer = Quantizer(common["d"]).fit(np.array([r["vector"] for r in chosen], dtype=np.float64))
-    blocks = index.select("rep", "vector").mapInPandas(_blocks(quantizer), "reps binary, codes binary, halves binary, rows int")
+    blocks = index.select("rep", "vector").mapInPandas(_blocks(quantizer), "reps binary, codes binary, halves binary, rows int, vectors binary, squares binary, residuals binary")
     distinct = asked.select("query", "vector").dropDuplicates(["query"])
     n_blocks = max(1, -(-distinct.count() // _sized(QUERY_BLOCK, common["d"])))
     places, splits = max(1, -(-index.count() // (PLACE_BLOCKS * _sized(BLOCK_ROWS, common["d"])))), -(-n_blocks // SPLIT_BLOCKS)
@@ -209,13 +232,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, reranked: int = RE
     groups = distinct.groupBy(F.pmod(F.xxhash64("query"), F.lit(n_blocks)).alias("block")).agg(F.collect_list("query").alias("query_reps"), F.collect_list("vector").alias("query_vectors"))
     groups = groups.withColumn("split", F.pmod("block", F.lit(splits))).withColumn("place", each(places)).drop("block")
     blocks = blocks.withColumn("place", F.pmod(F.xxhash64("reps"), F.lit(places))).withColumn("split", each(splits))
-    # All blocks of a place meet a split's queries in one task, which merges them.
+    # All blocks of a place meet a split's queries in one task, which keeps the k + 1 nearest (one may be the query).
     tasks, key = min(places * splits, 20_000), ["place", "split"]
-    met = groups.repartition(tasks, *key).join(blocks.repartition(tasks, *key), key).drop(*key)
-    found = met.mapInPandas(_scans(quantizer, reranked), "query long, rep long, approximate float")
-    best = Window.partitionBy("query").orderBy(F.desc("approximate"), "rep")
-    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= reranked).select("query", "rep")
-    found = found.unionByName(distinct.select("query", F.col("query").alias("rep"))).distinct()
+    met = groups.repartition(tasks, *key).groupBy(*key).cogroup(blocks.repartition(tasks, *key).groupBy(*key))
+    found = met.applyInPandas(_scans(quantizer, k + 1, reranked), "query long, rep long, square double")
+    best = Window.partitionBy("query").orderBy("square", "rep")
+    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("query", "rep")
 
     exact = found.join(index, "rep").join(distinct.withColumnRenamed("vector", "query_vector"), "query")
     exact = exact.select("query", "ids", distance(F.col("query_vector"), F.col("vector")).alias("score"))

@@ -106,6 +106,16 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert found == want
 
 
+def test_a_dense_group_of_near_copies(spark):
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=64)
+    rows = [(i, centre + 0.05 * rng.normal(size=64) if i < 4000 else rng.normal(size=64)) for i in range(9000)]
+    found = {}
+    for r in nearest.nearest(vectors(spark, rows), F.col("vec_id") % 1000 == 0).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], pytest.approx(r["score"], abs=1e-9)))
+    assert found == brute(rows, 1000)
+
+
 def test_few_and_no_candidates(spark):
     found = nearest.nearest(vectors(spark, [(0, [1.0, 2.0]), (1, [1.0, 2.5]), (2, [3.0, 1.0])]), F.col("vec_id") == 0).orderBy("rank").collect()
     assert [(r["vec_id"], r["rank"]) for r in found] == [(1, 1), (2, 2)]

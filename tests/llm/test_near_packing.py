@@ -186,6 +186,18 @@ def test_words_differ_in_length(spark):
     assert links == 60 and kept == want
 
 
+def test_pairs_among_texts_of_one_boilerplate(spark):
+    """Many texts that share a passage but aren't near, with near pairs among them."""
+    rng = np.random.default_rng(5)
+    passage = [f"license{i}" for i in range(100)]
+    rows = []
+    for _ in range(150):
+        own = [f"ownword{rng.integers(10**9)}" for _ in range(60)]
+        rows += [" ".join(passage + own), " ".join(passage + own[:-8] + [f"other{rng.integers(10**9)}" for _ in range(8)])]
+    kept, want, links = kept_and_wanted(spark, rows)
+    assert links == 150 and kept == want
+
+
 def test_a_word_of_sampled_shingles_agrees_as_stated():
     rng = np.random.default_rng(6)
     for n, more in ((5, 1), (40, 10), (400, 100), (4000, 1000)):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from heatloom.tables import forget, new_folder, save, shared_dir
+
+__all__ = ["forget", "new_folder", "save", "shared_dir", "small_table", "table", "words", "word_count", "range_buckets"]
 
 #: White space that separates words.
 SPACES = " \t\n\x0b\f\r"
@@ -20,29 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="heatloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet under the shared folder and read again: cuts lineage, survives lost executors.
-
-    The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/heatloom-{uuid.uuid4().hex[:12]}-{name}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """Array of the maximal runs without SPACES; empty for null or blank text."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
@@ -57,50 +34,29 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(rows, T._parse_datatype_string(schema))
 
 
-def range_buckets(df: DataFrame, key: str, rows_per_bucket: int = 20_000, cells: int = 4096) -> DataFrame:
-    """df with `bucket` (long), which never falls as `key` (a number) rises and holds about rows_per_bucket rows.
+#: Bounds of buckets that pass the driver, at most.
+BOUNDS = 1 << 16
 
-    Keys are cut into `cells` equal ranges, and each range into as many equal parts as its row count needs; the table of
-    ranges (at most `cells` rows) is all that passes the driver. Null keys are in bucket -1. Equal keys share a bucket.
-    """
-    x = F.col(key).cast("double")
-    low, high = df.agg(F.min(x), F.max(x)).first()
-    if low is None:
-        return df.withColumn("bucket", F.lit(-1).cast("long"))
-    width = (high - low) / cells or 1.0
-    cell = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(cells - 1))
-    counts = sorted((r["c"], r["count"]) for r in df.where(x.isNotNull()).groupBy(cell.alias("c")).count().collect())
-    first, rows = 0, []
-    for c, n in counts:
-        parts = -(-n // rows_per_bucket)
-        rows.append((c, first, parts))
-        first += parts
-    known = small_table(df.sparkSession, rows, "_cell long, _first long, _parts long")
-    inside = (x - F.lit(low)) / F.lit(width) - F.col("_cell")
-    part = F.greatest(F.lit(0), F.least(F.floor(inside * F.col("_parts")), F.col("_parts") - 1))
-    return (
-        df.join(F.broadcast(known), cell == F.col("_cell"), "left")
-        .withColumn("bucket", F.coalesce(F.col("_first") + part, F.lit(-1)).cast("long"))
-        .drop("_cell", "_first", "_parts")
-    )
-
-
-def numbered(df: DataFrame, group: str, order: list[str], name: str, rows_per_bucket: int = 50_000) -> DataFrame:
-    """df with `name` (long), gapless from 0 within `group`, without a task that holds a whole group.
-
-    Rows are spread over buckets by a hash of `order`; buckets are counted, and each row gets its number inside the bucket
-    plus the rows of earlier buckets. df is read twice and should be a saved table.
+
+def range_buckets(df: DataFrame, key: str, tie: str, parts: int) -> DataFrame:
+    """df with `bucket` (long), which never falls as (key, tie) rises, in about `parts` buckets (BOUNDS at most) of like counts.
+
+    key and tie are longs that are not null; tie is a hash. The bounds are approximate quantiles of key, so a few far values
+    don't matter, and a key that takes up several of them is split by tie.
     """
-    n = df.count()
-    spread = max(1, -(-n // rows_per_bucket))
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(spread)))
-    counts = df.groupBy(group, "_bucket").count()
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col(group).alias("_g"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order)) - 1
-    return (
-        df.withColumn("_n", inside)
-        .join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_bucket") == F.col("_b")))
-        .withColumn(name, F.col("_start") + F.col("_n"))
-        .drop("_bucket", "_g", "_b", "_start", "_n")
-    )
+    parts = max(1, min(parts, BOUNDS))
+    shares = [i / parts for i in range(1, parts)]
+    found = df.agg(F.percentile_approx(key, shares, 20 * parts)).first()[0] if shares else None
+    if not found:
+        return df.withColumn("bucket", F.lit(0).cast("long"))
+    bounds = F.array(*[F.lit(x) for x in found]) if len(found) < 100 else F.from_json(F.lit(str(found)), "array<bigint>")
+    steps = [1 << i for i in reversed(range(len(found).bit_length()))]
+
+    def passed(test) -> Column:
+        """How many of the sorted bounds pass, by halving."""
+        at = lambda n, step: F.when((n + step <= len(found)) & test(F.get(bounds, n + step - 1)), n + step).otherwise(n)
+        return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), at)
+
+    below, upto = passed(lambda b: b < F.col(key)), passed(lambda b: b <= F.col(key))
+    share = (F.col(tie).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    return df.withColumn("bucket", (below + F.least(F.floor(share * (upto - below + 1)), upto - below)).cast("long"))

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.llm.common import save
+from heatloom.llm.common import forget, save
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node that can be reached.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), each a group-by and a join, until the edge list
-    stays the same; each round's edges are a saved table. Self-loops and repeated edges don't matter. Without edges the
-    result is empty.
+    stays the same; each round's edges are a saved table, and the last round's are deleted. Self-loops and repeated edges
+    don't matter. Without edges the result is empty.
     """
     links = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links, seen = save(links, "links"), None
@@ -27,7 +27,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         first = large.groupBy("a").agg(F.min("b").alias("m"))
         others = large.join(first, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = save(others.unionByName(first.select("a", F.col("m").alias("b"))).distinct(), "links")
+        before, links = links, save(others.unionByName(first.select("a", F.col("m").alias("b"))).distinct(), "links")
+        forget(before, least)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heatloom.llm.common import save, word_count
+from heatloom.tables import in_ranges, running
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Relative weight at the start, the middle and the end of the run, for sources of each of WEIGHTS.
 CURVES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 20_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -25,23 +26,21 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -
 
     Sources by code point, null last, take the weights in turn. All sizes are shared by weight; a target stops at cap times
     its source's size and the excess goes to the others by weight until no target is above its stop. In order of stop per
-    weight the stopped sources come first, so one running sum finds the level (words per weight) of the rest.
+    weight the stopped sources come first, so running sums find the level (words per weight) of the rest. Ranks and running
+    sums go by range partitions, so many sources don't meet in one task. No rows give no sources.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).withColumn("none", F.col("source").isNull())
+    per = running(in_ranges(per, "none", "source"), ["none", "source"], name="place").drop("none")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), F.pmod(F.col("place"), F.lit(len(weights))).cast("int") + 1)
-    per = per.withColumn("place", place).withColumn("weight", weight.cast("long"))
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), "place")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    per = per.withColumn("total", F.sum("source_size").over(whole))
-    stopped = F.coalesce(F.sum(F.col("source_size") * cap).over(before), F.lit(0))
-    waiting = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    per = per.withColumn("level", (F.col("total") - stopped).cast("double") / waiting.cast("double"))
-    per = per.withColumn("free", F.col("source_size") * cap > F.col("weight") * F.col("level"))
-    level = F.coalesce(F.min(F.when(F.col("free"), F.struct(F.col("source_size") / F.col("weight"), "place", "level"))).over(whole)["level"], F.lit(0.0))
+    per = per.withColumn("weight", weight.cast("long")).withColumn("share", F.col("source_size") / F.col("weight"))
+    ranged = in_ranges(per, "share", "place")
+    per = running(ranged, ["share", "place"], F.col("source_size"), "earlier_size").join(running(ranged, ["share", "place"], F.col("weight"), "earlier_weight").select("place", "earlier_weight"), "place")
+    total, weights_sum = (x or 0 for x in ranged.agg(F.sum("source_size"), F.sum("weight")).first())
+    per = per.withColumn("level", (F.lit(total) - F.col("earlier_size") * cap).cast("double") / (F.lit(weights_sum) - F.col("earlier_weight")).cast("double"))
+    per = save(per.withColumn("free", F.col("source_size") * cap > F.col("weight") * F.col("level")), "mix-sources")
+    level = per.where("free").agg(F.min(F.struct("share", "place", "level"))["level"]).first()[0] or 0.0
     stop = (F.col("source_size") * cap).cast("double")
-    return per.select("source", "source_size", "rows", "place", F.least(stop, F.col("weight") * level).alias("target"))
+    return per.select("source", "source_size", "rows", "place", F.least(stop, F.col("weight") * F.lit(level)).alias("target"))
 
 
 def _curve(place: Column, curves: tuple) -> Column:
@@ -67,51 +66,55 @@ def due_time(share: Column, levels: Column) -> Column:
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, curves: tuple = CURVES) -> DataFrame:
-    """docs (doc_id, source, size, ...) with source_size, target, taken and copies (array of start share, words, time).
+    """docs (doc_id, source, size, ...) with source_size, target, taken and copies (array of words and time).
 
-    A source's stream is its documents in the order of the MD5 of doc_id, repeated; the mix takes the first `target` words
-    of it, so that a document is taken a whole number of times except the one at the end. Documents of size 0 are taken 0
-    times; repeated rows are rows of their own; null sources are one source.
+    A source's stream is its documents in the order of the MD5 of doc_id and size, repeated; the mix takes the first `target`
+    words of it, so that a document is taken a whole number of times except the one at the end. The time of a copy, 0 to 1,
+    is its training position: when the curve has asked for the words before it. Documents of size 0 are taken 0 times;
+    repeated rows are rows of their own; null sources are one source; an empty table stays empty. Columns of docs named like
+    the four new ones are replaced; all others are kept, whatever their names.
     """
+    columns = [c for c in docs.columns if c not in ("source_size", "target", "taken", "copies")]
     targets = save(source_targets(docs.select("source", "size"), weights, cap), "mix-targets")
-    known = targets.select(F.col("source").alias("_s"), "source_size", "target", _curve(F.col("place"), curves).alias("_levels"), F.ceil(F.col("rows") / ROWS_PER_BUCKET).alias("_parts"))
-    rows = docs.withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    rows = rows.join(F.broadcast(known) if targets.count() <= 100_000 else known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * F.col("_parts") / F.lit(2**32)))
-    sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
-    earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("source", "_bucket").orderBy("_order", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn("_before", F.col("_before") + F.col("_start"))
+    known = targets.select(F.col("source").alias("of"), "source_size", "target", _curve(F.col("place"), curves).alias("levels"), F.ceil(F.col("rows") / ROWS_PER_BUCKET).alias("parts"))
+    place = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string")).cast("binary"))
+    rows = docs.select(F.struct(*columns).alias("row"), "source", "size", place.alias("order"))
+    rows = rows.join(F.broadcast(known) if targets.count() <= 100_000 else known, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * F.col("parts") / F.lit(2**32)))
+    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("source", "bucket").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("before", F.col("before") + F.col("start"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.round("target").cast("long") - whole * F.col("source_size")
-    last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))
+    last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
     rows = rows.withColumn("taken", whole * F.col("size") + last)
     n = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     indices = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
     def copy(i: Column) -> Column:
-        share = (i * F.col("source_size") + F.col("_before")) / F.col("target")
-        return F.struct(F.least(F.col("size"), F.col("taken") - i * F.col("size")).alias("words"), due_time(share, F.col("_levels")).alias("time"))
+        share = (i * F.col("source_size") + F.col("before")) / F.col("target")
+        return F.struct(F.least(F.col("size"), F.col("taken") - i * F.col("size")).alias("words"), due_time(share, F.col("levels")).alias("time"))
 
-    rows = rows.withColumn("copies", F.transform(indices, copy))
-    return rows.drop("_order", "_bucket", "_s", "_b", "_start", "_before", "_levels", "_parts")
+    return rows.select(*[F.col("row")[c].alias(c) for c in columns], "source_size", "target", "taken", F.transform(indices, copy).alias("copies"))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of every document, sorted by the time the first of them is due."""
+    """How many words the mix takes of every document, and the training position (0 to 1) of its first and last copy, sorted
+    by the first. A document of which nothing is taken has null positions and comes first."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     rows = mixed(save(docs, "mix-sizes"))
-    rows = rows.withColumn("time", F.get("copies", F.lit(0))["time"])
-    found = rows.select("doc_id", "size", "source_size", "target", "taken", "time")
-    return found.repartitionByRange("time", "doc_id").sortWithinPartitions("time", "doc_id").drop("time")
+    first, last = F.get("copies", F.lit(0))["time"], F.get("copies", F.size("copies") - 1)["time"]
+    found = rows.select("doc_id", "size", "source_size", "target", "taken", first.alias("position"), last.alias("last_position"))
+    return found.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS VARCHAR)) AS o
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s),
@@ -121,13 +124,28 @@ l AS (
   FROM w
   WINDOW b AS (ORDER BY source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT coalesce((SELECT level FROM l WHERE source_size * 3 > weight * level ORDER BY source_size / weight, place LIMIT 1), 0.0) AS level),
-t AS (SELECT l.source, l.source_size, least(CAST(l.source_size * 3 AS DOUBLE), l.weight * f.level) AS target FROM l, f),
+t AS (SELECT l.source, l.source_size, l.place, least(CAST(l.source_size * 3 AS DOUBLE), l.weight * f.level) AS target FROM l, f),
 r AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.place,
          CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS whole,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(whole * size + greatest(0, least(size, CAST(round(target) AS BIGINT) - whole * source_size - earlier)) AS BIGINT) AS taken
-FROM r
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+m AS (
+  SELECT *, CAST(whole * size + greatest(0, least(size, CAST(round(target) AS BIGINT) - whole * source_size - earlier)) AS BIGINT) AS taken,
+         CASE place % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS l0, CASE place % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 1.5 END::DOUBLE AS l2
+  FROM r),
+c AS (SELECT *, CASE WHEN size > 0 THEN CAST(ceil(taken / size) AS BIGINT) ELSE 0 END AS n, (l0 + 1.0::DOUBLE) / 2 AS a0, (1.0::DOUBLE + l2) / 2 AS a1 FROM m),
+g AS (
+  SELECT *, (CAST(earlier AS DOUBLE) / target) * (a0 + a1) AS goal0, (CAST((n - 1) * source_size + earlier AS DOUBLE) / target) * (a0 + a1) AS goal1 FROM c WHERE n > 0),
+p2 AS (
+  SELECT *, CASE WHEN a0 <= goal0 THEN goal0 - a0 ELSE goal0 END AS rest0, CASE WHEN a0 <= goal1 THEN goal1 - a0 ELSE goal1 END AS rest1,
+         CASE WHEN a0 <= goal0 THEN 1.0 ELSE l0 END::DOUBLE AS low0, CASE WHEN a0 <= goal0 THEN l2 ELSE 1.0 END::DOUBLE AS high0, CASE WHEN a0 <= goal0 THEN 1 ELSE 0 END AS i0,
+         CASE WHEN a0 <= goal1 THEN 1.0 ELSE l0 END::DOUBLE AS low1, CASE WHEN a0 <= goal1 THEN l2 ELSE 1.0 END::DOUBLE AS high1, CASE WHEN a0 <= goal1 THEN 1 ELSE 0 END AS i1
+  FROM g)
+SELECT doc_id, size, source_size, target, taken,
+       least(1.0::DOUBLE, (i0 + CASE WHEN rest0 = 0 THEN 0.0::DOUBLE ELSE 2 * rest0 / (low0 + sqrt(greatest(0.0::DOUBLE, low0 * low0 + 2 * (high0 - low0) * rest0))) END) / 2) AS position,
+       least(1.0::DOUBLE, (i1 + CASE WHEN rest1 = 0 THEN 0.0::DOUBLE ELSE 2 * rest1 / (low1 + sqrt(greatest(0.0::DOUBLE, low1 * low1 + 2 * (high1 - low1) * rest1))) END) / 2) AS last_position
+FROM p2
+UNION ALL
+SELECT doc_id, size, source_size, target, taken, NULL, NULL FROM c WHERE n = 0
 """

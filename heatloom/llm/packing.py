@@ -173,7 +173,8 @@ def pack(docs: DataFrame, tokenizer_file: str, rank_file: str, order: tuple[str,
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"_order{i}") for i, c in enumerate(order)])
     keys = [f"_order{i}" for i in range(len(order))]
-    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, F.xxhash64("text"))
+    keys.append(F.xxhash64("text"))  # so that null or repeated keys don't meet in one task
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     return rows.select("doc_id", "text").mapInPandas(run, PIECES)
 
 

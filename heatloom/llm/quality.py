@@ -65,6 +65,8 @@ def statistics(text: str | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, name: str = "statistics") -> DataFrame:
+    """docs (text, ...) with the statistics of each whole text; a null text counts as empty, repeated rows have equal ones.
+    A column `name` of docs is replaced, all others are kept."""
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([statistics(t) for t in texts])
@@ -111,7 +113,8 @@ def discriminant(statistics: np.ndarray, model: list) -> np.ndarray:
 
 
 def quality_scores(rows: DataFrame, model: list, statistics_name: str = "statistics", name: str = "score") -> DataFrame:
-    """rows with column `name`, 0 to 1, higher for label 1."""
+    """rows with column `name`, 0 to 1, higher for label 1; it replaces a column of that name. Repeated rows, and empty and
+    null texts (whose statistics are zeros), are scored like any other."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for values in batches:
@@ -122,25 +125,29 @@ def quality_scores(rows: DataFrame, model: list, statistics_name: str = "statist
 
 
 def training_labels(labels: DataFrame, folds: int, held: int) -> DataFrame:
-    """doc_id and y of usable labels outside fold `held`."""
+    """doc_id and y of usable labels outside fold `held`: 0 or 1, for a doc_id that is not null; of several the largest."""
     fold = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % folds
-    return labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold != held)).select("doc_id", F.col("quality").alias("y"))
+    return labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold != held)).groupBy("doc_id").agg(F.max("quality").alias("y"))
 
 
-def quality_model(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> list:
-    """The model of all labelled rows of docs (doc_id, text) outside fold `held`."""
-    rows = save(with_statistics(docs).select("doc_id", "statistics"), "statistics")
+def quality_model(rows: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, statistics_name: str = "statistics") -> list:
+    """The model of all labelled rows of rows (doc_id, statistics) outside fold `held`."""
+    rows = rows.select("doc_id", F.col(statistics_name).alias("statistics"))
     return fit(rows.join(training_labels(labels, folds, held), "doc_id"))
 
 
 def quality_rows(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
-    """doc_id and score of every row of docs (doc_id, text); labels (doc_id, quality) of fold `held` are not used."""
+    """doc_id and score of every row of docs (doc_id, text); labels (doc_id, quality) of fold `held` are not used.
+
+    Null texts and repeated rows are rows like others, further columns are ignored, and an empty table gives no rows.
+    """
     rows = save(with_statistics(docs.select("doc_id", "text")).select("doc_id", "statistics"), "statistics")
-    return quality_scores(rows, fit(rows.join(training_labels(labels, folds, held), "doc_id"))).select("doc_id", "score")
+    return quality_scores(rows, quality_model(rows, labels, folds, held)).select("doc_id", "score")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
-    """Quality of every document, by a model that never sees the labels of one in four."""
+    """Quality of every document, by a model that never sees the labels of one in four. One row for each row of documents,
+    null and empty texts and null doc_ids included (held_out is null for a null doc_id)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 == 2

@@ -31,7 +31,7 @@ CHUNK = 4096
 #: 64-bit words of a near-duplicate fingerprint, and shingles sampled for each: 1 - (1 - 0.8**7)**32 = 0.9995.
 WORDS = 32
 SAMPLED = 7
-#: Texts of a cluster that a task compares with as many others.
+#: Texts that are compared with each other at once.
 BLOCK = 400
 
 
@@ -197,38 +197,81 @@ def alike(sets: list[np.ndarray], similarity: float, columns: int = 4096) -> np.
     return np.argwhere(np.triu(near, 1))
 
 
-def _exact_links(similarity: float):
+def _links_across(similarity: float):
+    """Exact links between texts of different components that share a part of a word's group; at most those that connect."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = rows["id"].to_numpy()
-        kept = _spanning(alike([np.asarray(x, dtype=np.int64) for x in rows["shingles"]], similarity), len(ids))
+        found = []
+        for _, group in rows.groupby(["word", "i", "j"], sort=False):
+            ids, roots = group["id"].to_numpy(), group["root"].to_numpy()
+            if (roots == roots[0]).all():
+                continue
+            pairs = alike([np.asarray(x, dtype=np.int64) for x in group["shingles"]], similarity)
+            found += [(ids[i], ids[j]) for i, j in pairs if roots[i] != roots[j]]
+        found = np.array(found, dtype=np.int64).reshape(-1, 2)
+        ids, place = np.unique(found, return_inverse=True)
+        kept = _spanning(place.reshape(-1, 2), len(ids))
         return pd.DataFrame({"a": [ids[i] for i, _ in kept], "b": [ids[j] for _, j in kept]}, dtype="int64")
 
     return run
 
 
+def _similar(a: Column, b: Column, similarity: float) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    return shared >= similarity * (F.size(a) + F.size(b) - shared)
+
+
+def _across_components(met: DataFrame, links: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between texts that share a word but that `links` don't connect.
+
+    A word whose texts are all connected is done, and so is one of two texts. In any other group the largest component's
+    texts need no comparison with each other, so parts of up to BLOCK / 2 texts are formed of it and of the others; each
+    part of the others meets every part. Groups of up to BLOCK texts are one part.
+    """
+    roots = save(components(links), "near-roots")
+    rows = met.where("n > 2").join(roots, met["id"] == roots["node"], "left").select("word", "id", F.coalesce("root", "id").alias("root"))
+    sides = rows.groupBy("word", "root").agg(F.count("*").alias("n"))
+    sides = sides.groupBy("word").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).where(F.col("most.n") < F.col("n"))
+    few = F.col("n") <= BLOCK
+    inner, outer = F.ceil(F.col("most.n") * 2 / BLOCK), F.ceil((F.col("n") - F.col("most.n")) * 2 / BLOCK)
+    sides = save(sides.select("word", F.col("most.root").alias("most"), F.when(few, 0).otherwise(inner).alias("inner"), F.when(few, 1).otherwise(outer).alias("outer")), "near-mixed")
+    rows = rows.join(sides, "word")
+    is_inner = (F.col("inner") > 0) & (F.col("root") == F.col("most"))
+    place = F.pmod(F.xxhash64("id"), F.when(is_inner, F.col("inner")).otherwise(F.col("outer")))
+    rows = rows.withColumn("part", F.when(is_inner, F.col("outer") + place).otherwise(place))
+    others = F.when(is_inner, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    rows = save(rows.select("word", "id", "root", "part", others.cast("long").alias("others")), "near-across")
+    n = rows.count()
+    if not n:
+        return links.limit(0)
+    blocks = rows.join(shingles, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others"))))
+    blocks = blocks.select("word", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "root", "shingles")
+    dealt = blocks.withColumn("deal", F.pmod(F.xxhash64("word", "i", "j"), F.lit(1 + n // BLOCK)))
+    return dealt.groupBy("deal").applyInPandas(_links_across(similarity), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """(id, group) for the distinct texts of docs (doc_id, text) that have a near neighbour: linked texts share a group.
 
-    id is `text_key`. Texts that share a word of their fingerprints are candidates, and candidates form clusters: each text
-    of a word is joined to the word's smallest one, which connects all of them, however many they are and whatever that one
-    is like. Inside each cluster every pair is compared exactly, in blocks of up to BLOCK texts, and a task returns only
-    links that connect, so that a group of near-copies costs neither a row for each pair nor one large task, and no pair of
-    candidates goes uncompared.
+    id is `text_key`. Texts that share a word of their fingerprints meet. Each is first compared with the smallest id of the
+    word's texts, which most words of a group of near copies have in common, so that few pairs are left. What these links
+    connect needs no further comparison. Where a word's texts are still of several components, all its pairs across
+    components are compared inside tasks. All comparisons are exact, and no pair that shares a word goes uncompared unless
+    links connect it already.
     """
     every = docs.select(text_key().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     prints = _with_shingles(every, shingle).select("id", F.pandas_udf(_sampled_batches, "array<long>")("shingles").alias("fp"))
     nodes = save(prints.dropDuplicates(["id"]), "near-nodes")
-    at = nodes.select("id", F.explode("fp").alias("word"))
-    shared = save(at.groupBy("word").agg(F.count("*").alias("n"), F.min("id").alias("b")).where("n > 1").select("word", "b"), "near-shared")
-    clusters = components(at.join(shared, "word").where(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b"))
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    placed = save(clusters.join(sizes, "root").select(F.col("node").alias("id"), F.col("root").alias("cluster"), "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")), "near-clusters")
-    texts = every.join(placed.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    rows = save(_with_shingles(texts, shingle).join(placed, "id"), "near-shingles")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    blocks = rows.select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "shingles")
-    links = save(blocks.groupBy("cluster", "i", "j").applyInPandas(_exact_links(similarity), "a long, b long"), "near-links")
-    return components(links).select(F.col("node").alias("id"), F.col("root").alias("group"))
+    at = nodes.select("id", F.explode(F.array_distinct("fp")).alias("word"))
+    shared = save(at.groupBy("word").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"), "near-shared")
+    met = save(at.join(shared, "word"), "near-met")
+    texts = every.join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    shingles = save(_with_shingles(texts, shingle), "near-shingles")
+    pairs = met.where(F.col("id") != F.col("hub")).select("id", "hub").distinct()
+    both = pairs.join(shingles, "id").join(shingles.select(F.col("id").alias("hub"), F.col("shingles").alias("of_hub")), "hub")
+    links = save(both.where(_similar(F.col("shingles"), F.col("of_hub"), similarity)).select(F.col("id").alias("a"), F.col("hub").alias("b")), "near-links")
+    more = save(_across_components(met, links, shingles, similarity), "near-more")
+    return components(links.unionByName(more)).select(F.col("node").alias("id"), F.col("root").alias("group"))
 
 
 def text_key() -> Column:

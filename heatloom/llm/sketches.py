@@ -19,16 +19,17 @@ SHINGLE = 5
 def with_sketch(df: DataFrame, text: str, name: str, k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """df with the sketch of a text column.
 
-    A text of fewer words than a shingle is one shingle of all its words; a null or blank text has an empty sketch.
+    A text of fewer words than a shingle is one shingle of all its words; a null or blank text has an empty sketch. Repeated
+    rows have equal sketches; a column `name` of df is replaced.
     """
-    df = df.withColumn("_words", words(F.col(text)))
-    df = df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    at = lambda i, j: F.get(F.col("_hashes"), i + j)
-    many = F.transform(F.sequence(F.lit(0), F.size("_hashes") - shingle), lambda i: F.xxhash64(*[at(i, j) for j in range(shingle)]))
-    one = F.array(F.xxhash64(F.array_join("_words", " ")))
+    df = df.withColumn("__words", words(F.col(text)))
+    df = df.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
+    at = lambda i, j: F.get(F.col("__hashes"), i + j)
+    many = F.transform(F.sequence(F.lit(0), F.size("__hashes") - shingle), lambda i: F.xxhash64(*[at(i, j) for j in range(shingle)]))
+    one = F.array(F.xxhash64(F.array_join("__words", " ")))
     none = F.array().cast("array<bigint>")
-    hashes = F.when(F.size("_hashes") >= shingle, many).when(F.size("_hashes") > 0, one).otherwise(none)
-    return df.withColumn(name, F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)).drop("_words", "_hashes")
+    hashes = F.when(F.size("__hashes") >= shingle, many).when(F.size("__hashes") > 0, one).otherwise(none)
+    return df.withColumn(name, F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)).drop("__words", "__hashes")
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:
@@ -61,27 +62,38 @@ def sketch_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
+#: Bytes of text in a bucket of neighbouring ids, about.
+BUCKET_BYTES = 16 << 20
+
+
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     """docs (doc_id, text, ...) with next_<column> of the next row by doc_id (ties: by text hash); the last gets the first.
 
-    Rows go to buckets of neighbouring ids, and each bucket also gets the first row of the bucket after it, so that one
-    window over buckets is enough and no task orders the whole table.
+    Null ids come first; of repeated rows each has another as its next. Columns of docs named next_<column> are replaced;
+    all others are kept, whatever their names. Rows go to buckets of neighbouring (id, hash), and each bucket also gets the
+    first row of the next one, so that one window over buckets is enough and no task orders the whole table.
     """
-    keyed = range_buckets(docs.withColumn("_hash", F.xxhash64("text")), "doc_id")
-    heads = save(keyed.groupBy("bucket").agg(F.min(F.struct("doc_id", "_hash")).alias("h")), "sketch-heads")
-    back = F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.partitionBy()))
-    heads = heads.select("bucket", F.col("h.doc_id").alias("_id"), F.col("h._hash").alias("_h"), back.alias("_back"))
-    guests = keyed.join(heads, "bucket").where(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
-    guests = guests.dropDuplicates(["bucket"]).withColumn("bucket", F.col("_back")).withColumn("_guest", F.lit(1)).drop("_id", "_h", "_back")
-    rows = keyed.withColumn("_guest", F.lit(0)).unionByName(guests)
-    order = Window.partitionBy("bucket").orderBy("_guest", "doc_id", "_hash")
-    for c in carried:
-        rows = rows.withColumn(f"next_{c}", F.lead(c).over(order))
-    return rows.where(F.col("_guest") == 0).drop("_guest", "bucket", "_hash")
+    replaced = {f"next_{c}" for c in carried}
+    row = F.struct(*[F.col(c) for c in docs.columns if c not in replaced]).alias("row")
+    keyed = docs.select(row, F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes"))
+    size = keyed.agg(F.sum("bytes")).first()[0] or 0
+    keyed = range_buckets(keyed.drop("bytes"), "key", "hash", -(-size // BUCKET_BYTES))
+    firsts = save(keyed.groupBy("bucket").agg(F.min(F.struct("key", "hash")).alias("first")), "sketch-heads")
+    back = F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.partitionBy()))  # BOUNDS rows at most
+    firsts = firsts.select("bucket", "first.key", "first.hash", back.alias("back"))
+    guests = keyed.join(firsts, ["bucket", "key", "hash"]).dropDuplicates(["bucket"])
+    guests = guests.select("row", "key", "hash", F.col("back").alias("bucket"), F.lit(1).alias("guest"))
+    rows = keyed.select("row", "key", "hash", "bucket", F.lit(0).alias("guest")).unionByName(guests)
+    order = Window.partitionBy("bucket").orderBy("guest", "key", "hash")
+    rows = rows.select("row", "guest", *[F.lead(f"row.{c}").over(order).alias(f"next_{c}") for c in carried])
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in replaced]
+    return rows.where(F.col("guest") == 0).select(*kept, *replaced)
 
 
 def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
-    """Sketches of every document and of its edited text (last quarter from the next document), with their likeness."""
+    """Sketches of every document and of its edited text (last quarter from the next document), with their likeness.
+
+    A null text counts as empty; a single document is its own next; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(with_sketch(docs, "text", "sketch"), ["text", "sketch"])
     n = F.length("text")

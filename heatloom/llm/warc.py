@@ -12,8 +12,11 @@ A bundle is a row (bundle_id, data, index) of a Parquet table: Spark's writers c
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,32 +45,53 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*groups)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+#: The first 48 bits of record ids.
+NAMESPACE = 0x68656174_6C6F
+
+
 def record_name(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+    """A UUID of version 8 that holds the page id (64 bits, or none) in its free bits, so equal ids have equal names."""
+    low = 0 if page_id is None else page_id & (2**64 - 1)
+    middle = (low >> 62) | (0 if page_id is None else 4)
+    return f"<urn:uuid:{uuid.UUID(int=NAMESPACE << 80 | 8 << 76 | middle << 64 | 2 << 62 | low & (2**62 - 1))}>"
 
 
 def page_of(name: str) -> int | None:
-    return int(x) if (x := name[len("<urn:page:") : -1]) else None
+    whole = uuid.UUID(name[len("<urn:uuid:") : -1]).int
+    if not whole >> 66 & 1:
+        return None
+    low = (whole >> 64 & 3) << 62 | whole & (2**62 - 1)
+    return low - 2**64 if low >> 63 else low
+
+
+def target_uri(url: str) -> str:
+    """The URL with white space and control characters percent-encoded, so that it fits on a header line."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, payload_bytes: int, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit has no payload but the full payload's digest and length."""
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_name(page_id)}"]
+def warc_record(page_id: int | None, url: str | None, payload: bytes, payload_bytes: int, digest: str, refers_to: int | None, date: str) -> bytes:
+    """One WARC/1.1 record, its block an HTTP response; a revisit's block ends after the HTTP header."""
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_name(page_id)}", f"WARC-Date: {date}"]
     if url:
-        head.append("WARC-Target-URI: " + "".join(url.split()))
-    head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {payload_bytes}"]
+        head.append("WARC-Target-URI: " + target_uri(url))
+    head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
         head += [f"WARC-Refers-To: {record_name(refers_to)}", f"WARC-Profile: {REVISIT_PROFILE}"]
-    head.append(f"Content-Length: {len(payload)}")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode() + payload
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields by lower-case name, and the content."""
+def _fields(head: bytes) -> dict[str, str]:
+    return {k.lower(): v for k, v in (line.split(": ", 1) for line in head.decode().split("\r\n")[1:])}
+
+
+def parse_record(record: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
+    """WARC fields and HTTP fields by lower-case name, and the payload."""
     head, _, rest = record.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    fields = {k.lower(): v for k, v in fields.items()}
-    return fields, rest[: int(fields["content-length"])]
+    fields = _fields(head)
+    http, _, payload = rest[: int(fields["content-length"])].partition(b"\r\n\r\n")
+    return fields, _fields(http), payload
 
 
 def seek_table(sizes: list[tuple[int, int]]) -> bytes:
@@ -122,27 +146,33 @@ class _Bundle:
         return pd.DataFrame({"bundle_id": [bundle_id], "data": [b"".join(self.frames) + seek_table(self.sizes)], "index": [[dict(zip(names, x, strict=True)) for x in self.index]]})
 
 
-def _write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    task, bundle, n = TaskContext.get().partitionId(), _Bundle(), 0
-    for batch in batches:
-        columns = [batch[c].astype("Int64") for c in ("page_id", "payload_bytes", "refers_to")]
-        for page_id, size, refers_to, url, payload, digest in zip(*columns, batch["url"], batch["payload"], batch["digest"], strict=True):
-            page_id, refers_to = (None if x is pd.NA else int(x) for x in (page_id, refers_to))
-            bundle.add(record_name(page_id), warc_record(page_id, url, bytes(payload), int(size), digest, refers_to))
-            if bundle.bytes >= BUNDLE_BYTES:
-                yield bundle.row(f"{task:06d}-{n:06d}")
-                bundle, n = _Bundle(), n + 1
-    if bundle.index:
-        yield bundle.row(f"{task:06d}-{n:06d}")
+def _write(date: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, bundle, n = TaskContext.get().partitionId(), _Bundle(), 0
+        for batch in batches:
+            columns = [batch[c].astype("Int64") for c in ("page_id", "payload_bytes", "refers_to")]
+            for page_id, size, refers_to, url, payload, digest in zip(*columns, batch["url"], batch["payload"], batch["digest"], strict=True):
+                page_id, refers_to = (None if x is pd.NA else int(x) for x in (page_id, refers_to))
+                bundle.add(record_name(page_id), warc_record(page_id, url, bytes(payload), int(size), digest, refers_to, date))
+                if bundle.bytes >= BUNDLE_BYTES:
+                    yield bundle.row(f"{task:06d}-{n:06d}")
+                    bundle, n = _Bundle(), n + 1
+        if bundle.index:
+            yield bundle.row(f"{task:06d}-{n:06d}")
+
+    return run
 
 
-def write_bundles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Bundles with a record for each row of pages (page_id, url, html).
+def write_bundles(pages: DataFrame, min_bytes: int = 0, date: str | None = None) -> DataFrame:
+    """Bundles with a record for each row of pages (page_id, url, html); date (ISO 8601, UTC) is when the pages were fetched,
+    by default now.
 
     The payload is the html in UTF-8 (null: empty). Of equal payloads of min_bytes or more the largest page_id is the
     response and the others are revisits of it; smaller ones are responses. A repeated page_id with an equal payload is a
-    response each time; a null page_id is a revisit where another page has the payload.
+    response each time; a null page_id is a revisit where another page has the payload. Further columns are ignored, and an
+    empty table gives no bundles.
     """
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload")))
@@ -153,7 +183,7 @@ def write_bundles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     same = rows["page_id"].eqNullSafe(revisits["_page"]) & (rows["digest"] == revisits["_digest"])
     rows = rows.join(revisits, same, "left").drop("_page", "_digest")
     kept = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))
-    return rows.select("page_id", "url", kept.alias("payload"), "payload_bytes", "digest", "refers_to").mapInPandas(_write, BUNDLES)
+    return rows.select("page_id", "url", kept.alias("payload"), "payload_bytes", "digest", "refers_to").mapInPandas(_write(date), BUNDLES)
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,12 +197,12 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     at = x["frame"]
                     start, size = starts[at]
                     frame = unpack.decompressobj().decompress(data[start : start + size])
-                fields, content = parse_record(frame[x["offset"] : x["offset"] + x["length"]])
+                fields, http, content = parse_record(frame[x["offset"] : x["offset"] + x["length"]])
                 kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
                 if fields["warc-record-id"] != x["record_id"] or kind == "response" and base64.b32encode(hashlib.sha1(content).digest()).decode() != digest:
                     raise ValueError(f"damaged record {x['record_id']}")
                 refers_to = page_of(fields["warc-refers-to"]) if kind == "revisit" else None
-                rows.append((page_of(x["record_id"]), int(fields["x-payload-length"]), digest, kind, refers_to))
+                rows.append((page_of(x["record_id"]), int(http["content-length"]), digest, kind, refers_to))
             found = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
             yield found.astype({"page_id": "Int64", "refers_to": "Int64"})
 
@@ -203,7 +233,7 @@ def save_bundles(bundles: DataFrame, folder: str) -> None:
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
-    """All pages written as WARC bundles and read back."""
+    """All pages written as WARC bundles and read back; null ids, urls and pages and repeated rows as in `write_bundles`."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return read_bundles(save(write_bundles(pages), "warc-bundles"))
 

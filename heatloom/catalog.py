@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.functions import geo, names
-from heatloom.jobs import rendering
+from heatloom.jobs import importing, rendering
 from heatloom.operators import archive, maintenance, raster, render, segments, tiles, tracks
 from heatloom.oracles import oracle_sql
 from heatloom.schemas import STYLES
 from heatloom.sources import events as ev
-from heatloom.sources import fit, gpx
+from heatloom.sources import files, fit, gpx, tcx
+from heatloom.streaming import imports
+from heatloom.tables import new_folder, save
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -63,7 +65,7 @@ def _zoom_rules(points: DataFrame) -> DataFrame:
 
 
 def _spans(points: DataFrame) -> DataFrame:
-    return tiles.track_tile_hits(points, 12, 12).groupBy("z", "x", "y").agg(F.sum(F.col("last_seq") - F.col("first_seq") + 1).alias("span"), F.count("*").alias("tracks"))
+    return tiles.track_tile_hits(points).groupBy("z", "x", "y").agg(F.sum(F.col("last_seq") - F.col("first_seq") + 1).alias("span"), F.count("*").alias("tracks"))
 
 
 def _filenames(rows: DataFrame) -> DataFrame:
@@ -78,7 +80,8 @@ def _index(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def _routes(log: DataFrame) -> DataFrame:
-    return tracks.route_files(log, log.sparkSession.createDataFrame([], "folder string, name string"))
+    there = log.where(F.col("path").startswith("a/")).select(F.lit("done").alias("folder"), F.substring_index("path", "/", -1).alias("name"))
+    return tracks.route_files(log, there)
 
 
 def _formats(spark, sf_dir: str) -> DataFrame:
@@ -89,9 +92,12 @@ def _formats(spark, sf_dir: str) -> DataFrame:
 
 
 def _exports(points: DataFrame) -> DataFrame:
-    disk = ev.tiles_on_disk(points)
-    nothing = points.sparkSession.createDataFrame([], "z int, x long, y long")
-    return maintenance.export_ready(nothing, maintenance.missing_tiles(points, disk))
+    """With holes, with a queue, and complete."""
+    disk, dirty = ev.tiles_on_disk(points), ev.dirty_tiles(points)
+    missing = maintenance.missing_tiles(points, disk)
+    cases = (("holes", dirty.limit(0), missing), ("queue", dirty, missing), ("whole", dirty.limit(0), missing.limit(0)))
+    found = [maintenance.export_ready(queue, lacking).withColumn("case", F.lit(name)) for name, queue, lacking in cases]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def _known(points: DataFrame) -> DataFrame:
@@ -110,9 +116,131 @@ def _fit_points(points: DataFrame) -> DataFrame:
     return found.select("file", "seq", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
+def _drawn(points: DataFrame) -> DataFrame:
+    """Every tile's image, as sums over its pixels where no blur applies (zoom 12 and deeper)."""
+    found = render.with_sums(render.render_tiles(points, tiles.data_tiles(points), geo.MIN_ZOOM, geo.MAX_ZOOM))
+    sums = {c: F.when(F.col("z") >= 12, F.col(c)) for c in ("shown", "r", "g", "b", "a")}
+    return found.withColumns(sums)
+
+
+def _overviews(points: DataFrame) -> DataFrame:
+    """Zooms 2 to 8, where a tile may hold every track."""
+    return render.render_tiles(points, tiles.data_tiles(points, 2, 8), 2, 8).select("style", "z", "x", "y", "tracks")
+
+
 def _export(points: DataFrame) -> DataFrame:
-    wanted = tiles.data_tiles(points, 10, 12)
-    return archive.export_archive(render.render_tiles(points, wanted, 10, 12).where(F.col("style") == "warm"))
+    """Each style's archive: tiles, whether offsets are gapless in the order of tile ids, whether equal images share one."""
+    images = save(render.render_tiles(points, tiles.data_tiles(points), geo.MIN_ZOOM, geo.MAX_ZOOM), "images")
+    found = None
+    for style in STYLES:
+        manifest = archive.export_archive(images.where(F.col("style") == style))
+        blobs = manifest.groupBy("offset").agg(F.max("length").alias("length"), F.countDistinct("sha256").alias("images"), F.min("tile_id").alias("first"))
+        one = blobs.agg(F.sum("length").alias("bytes"), F.max(F.col("offset") + F.col("length")).alias("end"), F.max("images").alias("images"), F.count("*").alias("blobs"))
+        whole = manifest.agg(F.count("*").alias("tiles"), F.countDistinct("sha256").alias("distinct"), F.min("tile_id").alias("first_id"), F.max("tile_id").alias("last_id"))
+        row = whole.join(one).select(F.lit(style).alias("style"), "tiles", "first_id", "last_id", (F.col("bytes") == F.col("end")).alias("gapless"), ((F.col("blobs") == F.col("distinct")) & (F.col("images") == 1)).alias("shared"))
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+def _incremental(points: DataFrame) -> DataFrame:
+    folder = new_folder(points.sparkSession, "cells")
+    rendering.write_points(points, folder)
+    stored = points.sparkSession.read.parquet(folder).drop("batch_id")
+    return rendering.incremental(stored, ev.tiles_on_disk(points), ev.dirty_tiles(points), geo.MIN_ZOOM, geo.MAX_ZOOM)
+
+
+def _stored_tracks(points: DataFrame) -> DataFrame:
+    folder = new_folder(points.sparkSession, "tracks")
+    rendering.write_tracks(points, folder)
+    read = points.sparkSession.read
+    counts = read.parquet(f"{folder}/trackpoints").groupBy("track_id").agg(F.count("*").alias("stored_points"), F.max("seq").alias("last_seq"))
+    return read.parquet(f"{folder}/tracks").drop("batch_id").join(counts, "track_id")
+
+
+def _stored_tiles(points: DataFrame) -> DataFrame:
+    folder = new_folder(points.sparkSession, "tiles")
+    images = ev.tiles_on_disk(points).withColumn("data", F.lit(b"image"))
+    rendering.write_tiles(images, folder)
+    return points.sparkSession.read.parquet(folder).select("style", "z", "x", "y", F.length("data").cast("long").alias("bytes"))
+
+
+def _tile_paths(points: DataFrame) -> DataFrame:
+    """Paths of a tile folder with other files among them."""
+    disk, style = ev.tiles_on_disk(points), F.col("style")
+    path = F.concat(F.lit("out/"), F.concat_ws("/", "style", "z", "x", "y"), F.when(style == "cool", ".txt").otherwise(".png"))
+    return files.tile_addresses(disk.select(F.when(style == "top10", F.replace(path, F.lit("top10/"), F.lit("top10/z"))).otherwise(path).alias("path")))
+
+
+def _colours(points: DataFrame) -> DataFrame:
+    """Each style's colours, with the pixels of zoom 11 that have them."""
+    pixels = raster.with_index(raster.pixel_intensity(points, 11)).groupBy("idx").agg(F.count("*").alias("pixels"))
+    return raster.color_lut(points.sparkSession).join(pixels, "idx", "left").withColumn("pixels", F.coalesce("pixels", F.lit(0)))
+
+
+def _base(path: str = "path"):
+    return names.file_name(F.col(path)).alias("file")
+
+
+def _scan(points: DataFrame) -> DataFrame:
+    folder, _ = ev.activity_files(points, "gpx", "prefixed", "tcx", "fit")
+    return files.scan_activity_files(points.sparkSession, folder).select(_base(), "ext")
+
+
+def _gpx_files(points: DataFrame) -> DataFrame:
+    folder, _ = ev.activity_files(points, "gpx", "prefixed", "tcx", "fit")
+    found = gpx.parsed_gpx(gpx.read_gpx_tracks(points.sparkSession, folder))
+    return found.select(_base(), "track_index", "track_name", F.size("points").cast("long").alias("num_points"), tracks.points_hash(F.col("points")).alias("content_hash"))
+
+
+def _tcx_files(points: DataFrame) -> DataFrame:
+    folder, _ = ev.activity_files(points, "gpx", "prefixed", "tcx", "fit")
+    found = tcx.parsed_tcx(files.file_contents(points.sparkSession, folder, "*.[tT][cC][xX]"))
+    return found.select(_base(), F.size("points").cast("long").alias("num_points"), tracks.points_hash(F.col("points")).alias("content_hash"), "error")
+
+
+def _import(points: DataFrame) -> DataFrame:
+    """A folder of all formats, imported; and again as another batch."""
+    folder, records = ev.activity_files(points, "gpx", "prefixed", "tcx", "fit")
+    spark, store = points.sparkSession, new_folder(points.sparkSession, "store")
+    first = importing.import_job(spark, folder, store, 0, records).select(F.lit(0).alias("batch"), _base(), "track_index", "status", "num_points")
+    again = importing.import_job(spark, folder, store, 1, records).select(F.lit(1).alias("batch"), _base(), "track_index", "status", "num_points")
+    return first.unionByName(again)
+
+
+def _streamed(points: DataFrame) -> tuple[str, str]:
+    """A store that a stream imported from two folders with the same tracks, and the folder of its checkpoints."""
+    spark, store, work = points.sparkSession, new_folder(points.sparkSession, "store"), new_folder(points.sparkSession, "work")
+    for turn, kind in enumerate(("gpx", "prefixed")):
+        folder, _ = ev.activity_files(points, kind)
+        imports.stream_import(spark, folder, store, f"{work}/import-{turn}", first_batch=turn * 1000).awaitTermination()
+    return store, work
+
+
+def _stream_import(points: DataFrame) -> DataFrame:
+    store, _ = _streamed(points)
+    read = points.sparkSession.read
+    stored = read.parquet(f"{store}/trackpoints").groupBy("track_id").agg(F.count("*").alias("num_points"))
+    return stored.groupBy("num_points").agg(F.count("*").alias("tracks"))
+
+
+def _stream_dedup(points: DataFrame) -> DataFrame:
+    store, _ = _streamed(points)
+    log = points.sparkSession.read.parquet(f"{store}/log")
+    return log.groupBy(F.regexp_extract("filename", "^[a-z]+", 0).alias("kind"), "status").agg(F.count("*").alias("tracks"))
+
+
+def _stream_dirty(points: DataFrame) -> DataFrame:
+    store, work = _streamed(points)
+    imports.stream_dirty_tiles(points.sparkSession, store, f"{work}/dirty", f"{work}/c").awaitTermination()
+    return points.sparkSession.read.parquet(f"{work}/dirty").select("z", "x", "y").distinct()
+
+
+def _stream_render(points: DataFrame) -> DataFrame:
+    store, work = _streamed(points)
+    spark = points.sparkSession
+    imports.stream_dirty_tiles(spark, store, f"{work}/dirty", f"{work}/c").awaitTermination()
+    imports.stream_render(spark, store, f"{work}/dirty", f"{work}/tiles", f"{work}/d", geo.MIN_ZOOM, geo.MAX_ZOOM).awaitTermination()
+    return imports.latest_tiles(spark, f"{work}/tiles").select("style", "z", "x", "y")
 
 
 def queries() -> dict[str, Callable]:
@@ -133,10 +261,10 @@ def queries() -> dict[str, Callable]:
         "drop_gaps": _points(lambda p: segments.drop_gaps(segments.segments(p))),
         "segment_in_margin": _points(_in_margin),
         "zoom_rules": _points(_zoom_rules),
-        "cap_segments": _points(lambda p: segments.cap_tracks(tiles.track_tile_hits(p, 14, 14), 10)),
+        "cap_segments": _points(lambda p: segments.cap_tracks(tiles.track_tile_hits(p), 10)),
         "points_in_tiles": _points(_spans),
-        "tile_segments": _points(lambda p: segments.tile_segments(p, tiles.data_tiles(p), 14, 14)),
-        "color_lut": lambda spark, sf_dir: raster.color_lut(spark),
+        "tile_segments": _points(lambda p: segments.tile_segments(p, tiles.data_tiles(p), geo.MIN_ZOOM, geo.MAX_ZOOM)),
+        "color_lut": _points(_colours),
         "normalize_intensity": _points(lambda p: raster.with_index(raster.pixel_intensity(p, 11))),
         "colorize": _points(lambda p: raster.colorize(raster.pixel_intensity(p, 11))),
         "top_tracks_layer": _points(lambda p: raster.top_tracks_layer(raster.pixel_intensity(p, 8))),
@@ -153,7 +281,7 @@ def queries() -> dict[str, Callable]:
         "duplicates_blocked": _log(tracks.duplicates_blocked),
         "track_index": _batch(_index),
         "route_files": _log(_routes),
-        "mark_tiles_dirty": _points(lambda p: maintenance.mark_tiles_dirty(p.where(ev.last_tracks(p)), tiles.data_tiles(p.where(F.col("track_id") % 2 == 0)))),
+        "mark_tiles_dirty": _points(lambda p: maintenance.mark_tiles_dirty(p, tiles.data_tiles(p).withColumn("x", F.col("x") + 1))),
         "mark_all_tiles_dirty": _points(lambda p: maintenance.mark_all_tiles_dirty(p, ev.dirty_tiles(p))),
         "sample_points": _points(lambda p: tiles.sample_points(p, target=500, deepest=14)),
         "clear_dirty": _points(lambda p: maintenance.clear_dirty(d := ev.dirty_tiles(p), shifted(d))),
@@ -175,12 +303,23 @@ def queries() -> dict[str, Callable]:
         "parse_trkpts": _points(_parsed),
         "fit_records_to_points": _points(_fit_points),
         "first_last_time": _points(lambda p: fit.first_last_time(ev.fit_records(p))),
-        "write_tracks": _points(rendering.laid_out),
+        "write_tracks": _points(_stored_tracks),
+        "write_tiles": _points(_stored_tiles),
+        "list_tiles_on_disk": _points(_tile_paths),
+        "scan_activity_files": _points(_scan),
+        "read_gpx_tracks": _points(_gpx_files),
+        "read_tcx_tracks": _points(_tcx_files),
+        "import_job": _points(_import),
+        "stream_import": _points(_stream_import),
+        "stream_dedup": _points(_stream_dedup),
+        "stream_dirty_tiles": _points(_stream_dirty),
+        "stream_render": _points(_stream_render),
         "unsupported_format": _formats,
         "empty_tiles": _points(_known),
-        "render_tiles": _points(lambda p: render.render_tiles(p, tiles.data_tiles(p, 14, 16), 14, 16)),
+        "render_tiles": _points(_drawn),
+        "render_overviews": _points(_overviews),
         "export_archive": _points(_export),
-        "incremental_render": _points(lambda p: rendering.incremental(p, ev.tiles_on_disk(p), ev.dirty_tiles(p), 12, 14)),
+        "incremental_render": _points(_incremental),
     }
     for z in (8, 11, 14):
         found[f"pixel_intensity_z{z}"] = _points(lambda p, z=z: raster.pixel_intensity(p, z))

@@ -69,8 +69,8 @@ def line_width(z: Column, width: float = 2.0) -> Column:
 
 
 def segment_cap(z: Column, most: int = 10_000) -> Column:
-    """Tracks drawn in a tile at most."""
-    return F.when(z <= 4, 500).when(z <= 8, 2000).otherwise(most)
+    """Tracks drawn in a tile at most: `most`, and on overviews no more than 500 and 2,000."""
+    return F.when(z <= 4, min(most, 500)).when(z <= 8, min(most, 2000)).otherwise(most)
 
 
 def intensity_cap(z: Column) -> Column:

@@ -8,15 +8,28 @@ from pyspark.sql import functions as F
 
 from heatloom import schemas
 from heatloom.functions import names
+from heatloom.jobs import rendering
 from heatloom.operators import tiles, tracks
-from heatloom.sources import files, gpx, tcx
+from heatloom.sources import files, fit, gpx, tcx
 
 
-def parsed_tracks(spark: SparkSession, folder: str) -> DataFrame:
-    """Every track of the GPX and TCX files below a folder, and a row for each file that has none."""
-    hashes = files.file_contents(spark, folder).select("path", "ext", "file_hash")
+NOT_DECODED = "no decoded records"
+
+
+def parsed_tracks(spark: SparkSession, folder: str, fit_records: DataFrame | None = None) -> DataFrame:
+    """Every track of the GPX, TCX and FIT files below a folder, and a row for each file that has none.
+
+    Spark reads no FIT: fit_records has the decoded records of such files (file, seq, position_lat, position_long, ts), where
+    `file` is the path below the folder. A FIT file without records there is an error, not a file without positions.
+    """
+    hashes = files.file_hashes(spark, folder)
     found = gpx.parsed_gpx(gpx.read_gpx_tracks(spark, folder))
-    return _with_files(hashes, found, tcx.parsed_tcx(files.file_contents(spark, folder, "*.[tT][cC][xX]")))
+    whole = tcx.parsed_tcx(files.file_contents(spark, folder, "*.[tT][cC][xX]"))
+    if fit_records is not None:
+        paths = hashes.where("ext = 'fit'").select("path", files.name_below(F.col("path"), folder).alias("file"))
+        decoded = paths.join(fit.parsed_fit(fit_records), "file").withColumn("error", F.lit(None).cast("string"))
+        whole = whole.unionByName(decoded.drop("file"))
+    return _with_files(hashes, found, whole)
 
 
 def parsed_contents(contents: DataFrame) -> DataFrame:
@@ -26,11 +39,12 @@ def parsed_contents(contents: DataFrame) -> DataFrame:
     return _with_files(rows.select("path", "ext", "file_hash"), found, tcx.parsed_tcx(rows.where("ext = 'tcx'")))
 
 
-def _with_files(hashes: DataFrame, gpx_tracks: DataFrame, tcx_tracks: DataFrame) -> DataFrame:
-    whole = tcx_tracks.select("path", F.lit(None).cast("int").alias("track_index"), F.lit(None).cast("string").alias("track_name"), "start_time", "end_time", "points", "error")
+def _with_files(hashes: DataFrame, gpx_tracks: DataFrame, whole_files: DataFrame) -> DataFrame:
+    whole = whole_files.select("path", F.lit(None).cast("int").alias("track_index"), F.lit(None).cast("string").alias("track_name"), "start_time", "end_time", "points", "error")
     found = gpx_tracks.withColumn("error", F.lit(None).cast("string")).unionByName(whole)
     rows = hashes.join(found, "path", "left")
-    error = F.coalesce("error", gpx.format_error(F.col("path")))
+    undecoded = F.when((F.col("ext") == "fit") & F.col("points").isNull(), NOT_DECODED)
+    error = F.coalesce("error", gpx.format_error(F.col("path")), undecoded)
     return rows.withColumn("error", error).withColumn("points", F.coalesce("points", F.array())).select("path", "file_hash", "track_index", "ext", "track_name", "start_time", "end_time", "points", "error")
 
 
@@ -45,14 +59,14 @@ def _stored(spark: SparkSession, store: str, table: str, schema: str, batch_id:
 def import_batch(spark: SparkSession, parsed: DataFrame, store: str, batch_id: int) -> DataFrame:
     """Stores what is new of parsed tracks and returns the batch's log.
 
-    Tables tracks, trackpoints, dirty and log have a folder for each batch, which the batch replaces if it runs again, so a
+    Tables tracks, trackpoints, cells (the points by place), dirty and log have a folder for each batch, which the batch replaces if it runs again, so a
     retried batch changes nothing.
     """
     stored = _stored(spark, store, "tracks", schemas.TRACKS + ", batch_id long", batch_id)
     rows = parsed.withColumn("num_points", F.size("points").cast("long"))
     rows = rows.withColumn("effective_hash", names.effective_hash(F.col("file_hash"), F.col("track_index")))
     rows = rows.withColumn("content_hash", F.when(F.col("num_points") > 0, tracks.points_hash(F.col("points"))))
-    base = F.substring_index("path", "/", -1)
+    base = names.file_name(F.col("path"))
     rows = rows.withColumn("filename", F.when(F.col("track_index").isNull(), base).otherwise(names.track_filename(F.col("path"), F.col("track_name"), F.col("track_index"))))
     work = f"{store}/_parsed/batch_id={batch_id}"
     tracks.dedup_import(rows, stored).write.mode("overwrite").parquet(work)
@@ -67,12 +81,13 @@ def import_batch(spark: SparkSession, parsed: DataFrame, store: str, batch_id: i
     points = new.select("track_id", F.posexplode("points").alias("i", "p")).select("track_id", (F.col("i") + 1).cast("long").alias("seq"), "p.lat", "p.lon")
     points.repartition("track_id").sortWithinPartitions("track_id", "seq").write.mode("overwrite").parquet(f"{store}/trackpoints/batch_id={batch_id}")
     kept = spark.read.parquet(f"{store}/trackpoints/batch_id={batch_id}")
+    rendering.write_points(kept, f"{store}/cells", batch_id)
     tiles.data_tiles(kept).write.mode("overwrite").parquet(f"{store}/dirty/batch_id={batch_id}")
     log = judged.select("path", "track_index", "filename", "status", F.when(F.col("status") == "imported", F.col("num_points")).otherwise(0).alias("num_points"), "error")
     log.write.mode("overwrite").parquet(f"{store}/log/batch_id={batch_id}")
     return spark.read.parquet(f"{store}/log/batch_id={batch_id}")
 
 
-def import_job(spark: SparkSession, folder: str, store: str, batch_id: int = 0) -> DataFrame:
+def import_job(spark: SparkSession, folder: str, store: str, batch_id: int = 0, fit_records: DataFrame | None = None) -> DataFrame:
     """One scan of a folder."""
-    return import_batch(spark, parsed_tracks(spark, folder), store, batch_id)
+    return import_batch(spark, parsed_tracks(spark, folder, fit_records), store, batch_id)

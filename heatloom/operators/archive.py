@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from heatloom.functions import geo
-
-TILES_PER_RUN = 1 << 16
+from heatloom.tables import in_ranges, running
 
 
 def with_tile_id(tiles: DataFrame) -> DataFrame:
@@ -21,17 +19,9 @@ def archive_order(tiles: DataFrame) -> DataFrame:
 
 
 def archive_offsets(blobs: DataFrame) -> DataFrame:
-    """z, x, y, tile_id, length, offset of blobs (z, x, y, length) written in tile_id order.
-
-    Neighbouring ids form runs; a run starts where the earlier runs end, and a tile where the earlier tiles of its run do,
-    so no task sums the whole archive.
-    """
-    rows = with_tile_id(blobs).withColumn("run", F.floor(F.col("tile_id") / TILES_PER_RUN))
-    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = rows.groupBy("run").agg(F.sum("length").alias("bytes")).select("run", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("run").orderBy("tile_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("length").over(inside), F.lit(0))).join(runs, "run")
-    return rows.select("z", "x", "y", "tile_id", "length", (F.col("start") + F.col("inside")).alias("offset"))
+    """z, x, y, tile_id, length, offset of blobs (z, x, y, length) written in tile_id order, summed over range partitions."""
+    rows = in_ranges(with_tile_id(blobs).select("z", "x", "y", "tile_id", "length"), "tile_id")
+    return running(rows, ["tile_id"], F.col("length"), "offset").select("z", "x", "y", "tile_id", "length", "offset")
 
 
 def archive_header(tiles: DataFrame, tracks: DataFrame) -> DataFrame:

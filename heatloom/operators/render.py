@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.functions import geo
-from heatloom.operators import raster, segments
+from heatloom.operators import raster, segments, tiles
 
 TILE = geo.TILE
 SCHEMA = "style string, z int, x long, y long, tracks long, data binary"
@@ -41,31 +42,41 @@ def cover(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, width:
     return (px[:, None] + np.where(flat[:, None], 0, offsets)).ravel(), (py[:, None] + np.where(flat[:, None], offsets, 0)).ravel()
 
 
+#: Segments that are drawn at once.
+CHUNK = 1 << 16
+
+
 def tile_counts(tracks: np.ndarray, ends: np.ndarray, x: int, y: int, z: int) -> np.ndarray:
     """Distinct tracks over each pixel of a tile; ends: (n, 4) global pixels x0, y0, x1, y1."""
-    counts = np.zeros((TILE, TILE), dtype=np.int64)
-    order = np.argsort(tracks, kind="stable")
-    tracks, ends = tracks[order], ends[order]
-    starts = np.flatnonzero(np.r_[True, tracks[1:] != tracks[:-1]]) if len(tracks) else []
-    for a, b in zip(starts, [*starts[1:], len(tracks)], strict=True):
-        px, py = cover(*ends[a:b].T, raster.WIDTHS.get(z, 4))
-        px, py = px - x * TILE, py - y * TILE
+    _, rank = np.unique(tracks, return_inverse=True)
+    found = np.empty(0, dtype=np.int64)
+    for i in range(0, len(rank), CHUNK):
+        part, width = ends[i : i + CHUNK], raster.WIDTHS.get(z, 4)
+        px, py = cover(*part.T, width)
+        steps = np.maximum(1, np.ceil(np.maximum(np.abs(part[:, 2] - part[:, 0]), np.abs(part[:, 3] - part[:, 1])))).astype(np.int64) + 1
+        px, py, own = px - x * TILE, py - y * TILE, np.repeat(rank[i : i + CHUNK], steps * width)
         inside = (px >= 0) & (px < TILE) & (py >= 0) & (py < TILE)
-        mask = np.zeros((TILE, TILE), dtype=bool)
-        mask[py[inside], px[inside]] = True
-        counts += mask
-    return counts
+        found = np.union1d(found, own[inside] * TILE * TILE + py[inside] * TILE + px[inside])
+    return np.bincount(found % (TILE * TILE), minlength=TILE * TILE).reshape(TILE, TILE)
 
 
 def blurred(rgba: np.ndarray, sigma: float) -> np.ndarray:
-    """Gaussian blur of each channel, edges repeated."""
+    """Gaussian blur of each channel, edges repeated; only what lies around coloured pixels is computed."""
     reach = max(1, int(np.ceil(3 * sigma)))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     kernel /= kernel.sum()
-    out = np.pad(rgba.astype(np.float64), ((reach, reach), (reach, reach), (0, 0)), mode="edge")
-    out = sum(k * out[i : i + TILE] for i, k in enumerate(kernel))
-    out = sum(k * out[:, i : i + TILE] for i, k in enumerate(kernel))
-    return np.rint(out).astype(np.uint8)
+    shown = rgba.any(axis=2)
+    if not shown.any():
+        return rgba
+    rows, columns = np.flatnonzero(shown.any(axis=1)), np.flatnonzero(shown.any(axis=0))
+    top, bottom = max(0, rows[0] - 2 * reach), min(TILE, rows[-1] + 2 * reach + 1)
+    left, right = max(0, columns[0] - 2 * reach), min(TILE, columns[-1] + 2 * reach + 1)
+    out = np.pad(rgba[top:bottom, left:right].astype(np.float64), ((reach, reach), (reach, reach), (0, 0)), mode="edge")
+    out = sum(k * out[i : i + bottom - top] for i, k in enumerate(kernel))
+    out = sum(k * out[:, i : i + right - left] for i, k in enumerate(kernel))
+    whole = np.zeros_like(rgba)
+    whole[top:bottom, left:right] = np.rint(out).astype(np.uint8)
+    return whole
 
 
 def lut_array(style: str) -> np.ndarray:
@@ -97,21 +108,67 @@ def _draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["style", "z", "x", "y", "tracks", "data"])
 
 
-def render_tiles(points: DataFrame, wanted: DataFrame, first: int, deepest: int, most: int = 10_000) -> DataFrame:
+#: Zooms that are drawn from one reading of the points. The first has lines of one pixel.
+BANDS = ((0, 8), (9, 13), (14, 22))
+
+
+def drawn_segments(points: DataFrame, wanted: DataFrame, first: int, deepest: int, most: int = 10_000, prune: bool = False) -> DataFrame:
+    """z, x, y, track_id and the ends (x0, y0, x1, y1, in global pixels) of what is drawn in each wanted tile.
+
+    In bands of zooms; with `prune` each reads only the points that its wanted tiles need (`tiles.points_near`). Where
+    lines are one pixel wide, a segment within a pixel is moved to the pixel's centre and each track has it once, so an
+    overview tile has no more such rows than its tracks have pixels, however many points lie in it.
+    """
+    z, found = F.col("z"), None
+    for low, high in BANDS:
+        low, high = max(low, first), min(high, deepest)
+        if low > high:
+            continue
+        own = wanted.where(z.between(low, high))
+        near = tiles.points_near(points, own, low) if prune else points.drop("cell")
+        drawn = segments.tile_segments(near, own, low, high, most, whole=not prune)
+        drawn = drawn.select("z", "x", "y", "track_id", *[geo.global_pixel(f(F.col(c)), z).alias(n) for n, f, c in (("x0", geo.mercator_x, "lon0"), ("y0", geo.mercator_y, "lat0"), ("x1", geo.mercator_x, "lon1"), ("y1", geo.mercator_y, "lat1"))])
+        if high <= BANDS[0][1]:
+            one = (F.floor("x0") == F.floor("x1")) & (F.floor("y0") == F.floor("y1"))
+            drawn = drawn.withColumn("one", one)
+            drawn = drawn.select("z", "x", "y", "track_id", *[F.when(F.col("one"), F.floor(c) + 0.5).otherwise(F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")]).distinct()
+        found = drawn if found is None else found.unionByName(drawn)
+    return found
+
+
+def render_tiles(points: DataFrame, wanted: DataFrame, first: int, deepest: int, most: int = 10_000, prune: bool = False) -> DataFrame:
     """style, z, x, y, tracks, data (PNG) of each wanted tile (z, x, y) with something to draw.
 
-    What is shuffled are segments, not pixels. A tile's segments are bounded by the cap on its tracks.
+    What is shuffled are segments, not pixels: `drawn_segments`, bounded by the cap on a tile's tracks and, on overviews,
+    by the pixels of each. `prune` pays where few tiles are wanted.
     """
-    drawn = segments.tile_segments(points, wanted, first, deepest, most)
-    z = F.col("z")
-    pixels = drawn.select("z", "x", "y", "track_id", *[geo.global_pixel(f(F.col(c)), z).alias(n) for n, f, c in (("x0", geo.mercator_x, "lon0"), ("y0", geo.mercator_y, "lat0"), ("x1", geo.mercator_x, "lon1"), ("y1", geo.mercator_y, "lat1"))])
-    return pixels.groupBy("z", "x", "y").applyInPandas(_draw, SCHEMA)
+    return drawn_segments(points, wanted, first, deepest, most, prune).groupBy("z", "x", "y").applyInPandas(_draw, SCHEMA)
+
+
+def pixels_of(data: bytes) -> np.ndarray:
+    """(height, width, 4) of an image that `png` wrote."""
+    width, height = struct.unpack(">II", data[16:24])
+    size = struct.unpack(">I", data[33:37])[0]
+    rows = np.frombuffer(zlib.decompress(data[41 : 41 + size]), np.uint8).reshape(height, 1 + 4 * width)
+    return rows[:, 1:].reshape(height, width, 4)
+
+
+def with_sums(images: DataFrame) -> DataFrame:
+    """style, z, x, y, tracks of images, with the number of visible pixels and the sums of their four channels."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for images in batches:
+            sums = [[int((p[..., 3] > 0).sum()), *p[p[..., 3] > 0].sum(axis=0, dtype=np.int64).tolist()] for p in map(pixels_of, images)]
+            yield pd.DataFrame(sums, columns=["shown", "r", "g", "b", "a"], dtype="int64")
+
+    sums = F.pandas_udf(run, "shown long, r long, g long, b long, a long")("data")
+    return images.withColumn("sums", sums).select("style", "z", "x", "y", "tracks", "sums.*")
 
 
 #: A transparent tile.
 EMPTY_PNG = png(np.zeros((TILE, TILE, 4), dtype=np.uint8))
 
 
-def empty_tiles(requests: DataFrame, tiles: DataFrame) -> DataFrame:
+def empty_tiles(requests: DataFrame, images: DataFrame) -> DataFrame:
     """Requested addresses (style, z, x, y) with their image, or the transparent one."""
-    return requests.join(tiles.select("style", "z", "x", "y", "data"), ["style", "z", "x", "y"], "left").withColumn("data", F.coalesce("data", F.lit(EMPTY_PNG)))
+    return requests.join(images.select("style", "z", "x", "y", "data"), ["style", "z", "x", "y"], "left").withColumn("data", F.coalesce("data", F.lit(EMPTY_PNG)))

@@ -13,11 +13,15 @@ LONGEST_KM = 1.0
 MOST_TRACKS = 200_000
 
 
-def segments(points: DataFrame) -> DataFrame:
-    """track_id, seq, lat0, lon0, lat1, lon1 of each point and the next of its track."""
+def segments(points: DataFrame, whole: bool = True) -> DataFrame:
+    """track_id, seq, lat0, lon0, lat1, lon1 of each point and the next of its track.
+
+    Where points are only a part of the tracks (not `whole`), a segment's ends must have consecutive seqs.
+    """
     order = Window.partitionBy("track_id").orderBy("seq")
-    pairs = points.select("track_id", "seq", F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), F.lead("lat").over(order).alias("lat1"), F.lead("lon").over(order).alias("lon1"))
-    return pairs.where(F.col("lat1").isNotNull())
+    pairs = points.select("track_id", "seq", F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), F.lead("lat").over(order).alias("lat1"), F.lead("lon").over(order).alias("lon1"), F.lead("seq").over(order).alias("next"))
+    joined = F.lit(True) if whole else F.col("next") == F.col("seq") + 1
+    return pairs.where(F.col("lat1").isNotNull() & joined).drop("next")
 
 
 def with_gap(pairs: DataFrame) -> DataFrame:
@@ -37,10 +41,10 @@ def cap_tracks(hits: DataFrame, most: int = 10_000) -> DataFrame:
     """
     cap = F.least(geo.segment_cap(F.col("z"), most), F.lit(MOST_TRACKS))
     rank = F.row_number().over(Window.partitionBy("z", "x", "y").orderBy("track_id"))
-    return hits.withColumn("rank", rank).where((F.col("rank") <= max(most, 2000)) & (F.col("rank") <= cap)).drop("rank")
+    return hits.withColumn("rank", rank).where((F.col("rank") <= most) & (F.col("rank") <= cap)).drop("rank")
 
 
-def tile_segments(points: DataFrame, wanted: DataFrame, first: int, deepest: int, most: int = 10_000) -> DataFrame:
+def tile_segments(points: DataFrame, wanted: DataFrame, first: int, deepest: int, most: int = 10_000, whole: bool = True) -> DataFrame:
     """z, x, y, track_id, seq, lat0, lon0, lat1, lon1: what is drawn in each wanted tile (z, x, y).
 
     A track is in a tile if a point of it is in the padded box; then all its segments from one before the first such point
@@ -49,7 +53,7 @@ def tile_segments(points: DataFrame, wanted: DataFrame, first: int, deepest: int
     """
     hits = tiles.track_tile_hits(points, first, deepest).join(wanted.select("z", "x", "y"), ["z", "x", "y"], "left_semi")
     hits = cap_tracks(hits, most)
-    short = drop_gaps(segments(points)).withColumn("z", F.explode(F.sequence(F.lit(first), F.lit(deepest))))
+    short = drop_gaps(segments(points, whole)).withColumn("z", F.explode(F.sequence(F.lit(first), F.lit(deepest))))
     z = F.col("z")
     ends = {n: geo.global_pixel(f(F.col(c)), z) for n, f, c in (("gx0", geo.mercator_x, "lon0"), ("gx1", geo.mercator_x, "lon1"), ("gy0", geo.mercator_y, "lat0"), ("gy1", geo.mercator_y, "lat1"))}
     short = short.withColumns(ends)

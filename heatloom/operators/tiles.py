@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heatloom.functions import geo
 from heatloom.functions.geo import MAX_ZOOM, MIN_ZOOM, PADDING
+from heatloom.tables import in_ranges, running
 
 
 def with_tile(points: DataFrame, z: int) -> DataFrame:
@@ -41,6 +42,44 @@ def with_bounds(tiles: DataFrame, padding: float = 0.0) -> DataFrame:
     return tiles.select("z", "x", "y", *[F.round(c, 6).alias(n) for n, c in box.items()])
 
 
+#: Zoom of the cells by which stored points are laid out: at most 4^8 cells, so a list of them is bounded.
+CELL_ZOOM = 8
+
+
+def cell_of(x: Column, y: Column, z: Column | int, zoom: int = CELL_ZOOM) -> Column:
+    """Number of the cell at `zoom` that holds a tile of zoom z (not below `zoom`)."""
+    up = (F.lit(z) if isinstance(z, int) else z) - zoom
+    return F.call_function("shiftright", x.cast("long"), up.cast("int")) * (1 << zoom) + F.call_function("shiftright", y.cast("long"), up.cast("int"))
+
+
+def with_cell(points: DataFrame) -> DataFrame:
+    rows = with_tile(points, CELL_ZOOM)
+    return rows.withColumn("cell", cell_of(F.col("x"), F.col("y"), CELL_ZOOM)).drop("x", "y")
+
+
+def points_near(points: DataFrame, wanted: DataFrame, first: int) -> DataFrame:
+    """The points that drawing wanted tiles of zoom `first` and deeper can need.
+
+    These lie in the wanted tiles' ancestors three zooms above `first` or in the eight cells around one: the padded box of a
+    tile, its margin and a segment of 1 km beyond are all smaller than such a cell. If points have a column `cell` (that of
+    `with_cell`, the folders of a stored table), only these cells' files are read; the list of them is bounded by 4^CELL_ZOOM.
+    """
+    zoom = first - 3
+    if zoom < 2:
+        return points.drop("cell")
+    up = F.col("z") - zoom
+    own = wanted.where(F.col("z") >= first).select(F.call_function("shiftright", "x", up).alias("x"), F.call_function("shiftright", "y", up).alias("y")).distinct()
+    around = lambda c: F.explode(F.sequence(F.greatest(F.col(c) - 1, F.lit(0)), F.least(F.col(c) + 1, F.lit((1 << zoom) - 1))))
+    cells = own.withColumn("x", around("x")).withColumn("y", around("y")).distinct()
+    if "cell" in points.columns:
+        coarse = min(zoom, CELL_ZOOM)
+        listed = [r[0] for r in cells.select(cell_of(F.col("x"), F.col("y"), zoom, coarse).alias("c")).distinct().collect()]
+        side = F.lit(1 << CELL_ZOOM)
+        points = points.where(cell_of(F.floor(F.col("cell") / side), F.col("cell") % side, CELL_ZOOM, coarse).isin(listed))
+    kept = [c for c in points.columns if c != "cell"]
+    return with_tile(points, zoom).join(cells, ["x", "y"], "left_semi").select(*kept)
+
+
 def track_tile_hits(points: DataFrame, first: int = MIN_ZOOM, deepest: int = MAX_ZOOM, padding: float = PADDING) -> DataFrame:
     """First and last seq of each track inside each tile grown by `padding`.
 
@@ -68,11 +107,9 @@ def track_tile_hits(points: DataFrame, first: int = MIN_ZOOM, deepest: int = MAX
 
 def sample_points(points: DataFrame, target: int = 5000, deepest: int = MAX_ZOOM) -> DataFrame:
     """Every n-th point in (track_id, seq) order, n such that about target * 2^(deepest - 14) remain (an option of the full
-    rebuild). A point's place is its seq plus the points of earlier tracks, so no task orders the whole table."""
-    from pyspark.sql.window import Window
-
-    sizes = points.groupBy("track_id").agg(F.max("seq").alias("n"))
-    before = Window.orderBy("track_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("track_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    step = F.greatest(F.lit(1), F.floor(F.col("total") / (target * 2 ** max(0, deepest - 14))))
+    rebuild). A point's place is its seq plus the points of earlier tracks, summed over range partitions of tracks."""
+    sizes = in_ranges(points.groupBy("track_id").agg(F.max("seq").alias("n")), "track_id")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    step = max(1, total // (target * 2 ** max(0, deepest - 14)))
+    starts = running(sizes, ["track_id"], F.col("n")).select("track_id", "before")
     return points.join(starts, "track_id").where((F.col("before") + F.col("seq")) % step == 0).select(*points.columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heatloom.functions import names
+from heatloom.tables import in_ranges, running
 
 
 def track_bounds(points: DataFrame) -> DataFrame:
@@ -85,9 +86,9 @@ def dedup_import(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def with_track_ids(imported: DataFrame, last_id: int) -> DataFrame:
-    """Imported rows with dense ids after last_id, in (path, track_index) order (one slim row for each new track)."""
-    order = Window.orderBy("path", "track_index")
-    slim = imported.select(F.col("path").alias("_path"), F.col("track_index").alias("_index"), (F.row_number().over(order) + F.lit(last_id)).cast("long").alias("track_id"))
+    """Imported rows with dense ids after last_id, in (path, track_index) order, numbered by range partitions of slim rows."""
+    slim = in_ranges(imported.select(F.col("path").alias("_path"), F.col("track_index").alias("_index")), "_path", "_index")
+    slim = running(slim, ["_path", "_index"]).select("_path", "_index", (F.col("before") + 1 + F.lit(last_id)).cast("long").alias("track_id"))
     same = F.col("path").eqNullSafe(F.col("_path")) & F.col("track_index").eqNullSafe(F.col("_index"))
     return imported.join(slim, same).select("track_id", *imported.columns)
 

@@ -68,6 +68,7 @@ log AS (SELECT b.*, CASE
     WHEN b.content_hash IN (SELECT content_hash FROM stored) THEN 'content_duplicate'
     WHEN win.won = b.path THEN 'imported' ELSE 'content_duplicate' END AS status
   FROM batch b LEFT JOIN win ON win.content_hash = b.content_hash LEFT JOIN wh ON wh.effective_hash = b.effective_hash)"""
+# Colour ramps of the three styles, in stretches from (t0, r0, g0, b0) to (t1, r1, g1, b1).
 RAMPS = """ramp(style, part, t0, r0, g0, b0, t1, r1, g1, b1) AS (VALUES
   ('warm',0,0.0,0,0,0,0.05,40,5,0),('warm',1,0.05,40,5,0,0.15,80,15,0),('warm',2,0.15,80,15,0,0.3,160,30,0),('warm',3,0.3,160,30,0,0.5,220,70,5),('warm',4,0.5,220,70,5,0.75,255,120,20),('warm',5,0.75,255,120,20,1.0,200,60,5),
   ('cool',0,0.0,0,0,0,0.05,0,5,40),('cool',1,0.05,0,5,40,0.15,0,15,80),('cool',2,0.15,0,15,80,0.3,0,40,160),('cool',3,0.3,0,40,160,0.5,10,80,220),('cool',4,0.5,10,80,220,0.75,30,140,255),('cool',5,0.75,30,140,255,1.0,10,60,200),
@@ -104,15 +105,47 @@ hits AS (SELECT z, x, y, track_id, CAST(min(seq) AS BIGINT) AS first_seq, CAST(m
   WHERE x >= 0 AND y >= 0 AND x < pow(2.0, z) AND y < pow(2.0, z) AND {box} GROUP BY ALL)"""
 
 
-def drawn(z: int, most: int) -> str:
-    gx = lambda c: f"{MX.format(lon=c)} * pow(2.0, {z}) * 256"
-    gy = lambda c: f"{MY.format(lat=c)} * pow(2.0, {z}) * 256"
-    return f"""capped AS (SELECT * FROM (SELECT h.*, row_number() OVER (PARTITION BY h.z, h.x, h.y ORDER BY track_id) AS n FROM hits h JOIN dt USING (z, x, y)) WHERE n <= {most}),
+def drawn(wanted: str = "dt") -> str:
+    """Segments in each wanted tile (z, x, y)."""
+    gx = lambda c: f"{MX.format(lon=c)} * pow(2.0, c.z) * 256"
+    gy = lambda c: f"{MY.format(lat=c)} * pow(2.0, c.z) * 256"
+    most = "CASE WHEN z <= 4 THEN 500 WHEN z <= 8 THEN 2000 ELSE 10000 END"
+    return f"""capped AS (SELECT * FROM (SELECT h.*, row_number() OVER (PARTITION BY h.z, h.x, h.y ORDER BY track_id) AS n FROM hits h JOIN {wanted} USING (z, x, y)) WHERE n <= {most}),
 ts AS (SELECT c.z, c.x, c.y, c.track_id, k.seq, lat0, lon0, lat1, lon1 FROM capped c JOIN near k ON k.track_id = c.track_id AND k.seq BETWEEN c.first_seq - 1 AND c.last_seq
   WHERE c.x BETWEEN floor((least({gx('lon0')}, {gx('lon1')}) - 128) / 256) AND floor((greatest({gx('lon0')}, {gx('lon1')}) + 128) / 256)
     AND c.y BETWEEN floor((least({gy('lat0')}, {gy('lat1')}) - 128) / 256) AND floor((greatest({gy('lat0')}, {gy('lat1')}) + 128) / 256))"""
 
 
+def images(wanted: str = "dt", least: int = 2) -> str:
+    """im: z, x, y, tracks of tiles in which a pixel is drawn; sums: of the visible pixels of each style, from zoom `least`."""
+    gx = lambda c: f"{MX.format(lon=c)} * pow(2.0, z) * 256"
+    gy = lambda c: f"{MY.format(lat=c)} * pow(2.0, z) * 256"
+    return f"""{drawn(wanted)},
+g AS (SELECT z, x, y, track_id, {gx('lon0')} AS x0, {gy('lat0')} AS y0, {gx('lon1')} AS x1, {gy('lat1')} AS y1, CASE WHEN z <= 8 THEN 1 WHEN z <= 11 THEN 2 WHEN z <= 13 THEN 3 ELSE 4 END AS width FROM ts),
+n AS (SELECT *, CAST(greatest(1, ceil(greatest(abs(x1 - x0), abs(y1 - y0)))) AS BIGINT) AS n, abs(x1 - x0) >= abs(y1 - y0) AS flat FROM g),
+s AS (SELECT *, unnest(range(0, n + 1)) AS i FROM n),
+w AS (SELECT DISTINCT z, x, y, track_id, CAST(floor(x0 + (x1 - x0) * i / n) AS BIGINT) AS px, CAST(floor(y0 + (y1 - y0) * i / n) AS BIGINT) AS py, flat, width FROM s),
+o AS (SELECT *, unnest(range(-((width - 1) // 2), width // 2 + 1)) AS o FROM w),
+pix AS (SELECT z, x, y, px + CASE WHEN flat THEN 0 ELSE o END AS px, py + CASE WHEN flat THEN o ELSE 0 END AS py, count(DISTINCT track_id) AS tracks FROM o GROUP BY ALL),
+inside AS (SELECT * FROM pix WHERE px // 256 = x AND py // 256 = y),
+ix AS (SELECT *, CAST(trunc(least(ln(1 + tracks) / ln(1 + CASE WHEN z <= 8 THEN 5 WHEN z <= 11 THEN 15 WHEN z <= 14 THEN 10 ELSE 5 END), 1.0) * 255) AS INT) AS idx FROM inside),
+im AS (SELECT z, x, y, tracks FROM (SELECT DISTINCT z, x, y FROM inside) JOIN (SELECT z, x, y, count(DISTINCT track_id) AS tracks FROM ts GROUP BY ALL) USING (z, x, y)),
+{RAMPS},
+sums AS (SELECT style, z, x, y, count(*) AS shown, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b, CAST(sum(a) AS BIGINT) AS a FROM ix JOIN lut USING (idx) WHERE a > 0 AND z >= {least} GROUP BY ALL)"""
+
+
+def files(*formats: str) -> str:
+    """f: track_id, kind and file of the activity files made of the points; gx: the tracks of GPX files; wx: the others."""
+    kinds = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(formats))
+    n = len(formats)
+    return f"""k AS (SELECT DISTINCT track_id, CASE track_id % {n} {kinds} END AS kind, (track_id // {n}) % 8 AS part FROM tp),
+f AS (SELECT track_id, kind, kind || '-' || part || '.' || CASE kind WHEN 'prefixed' THEN 'gpx' ELSE kind END AS file FROM k),
+fh AS (SELECT track_id, count(*) AS num_points, sha256(string_agg(printf('%.6f,%.6f', lat, lon) || chr(10), '' ORDER BY seq)) AS content_hash FROM tp GROUP BY track_id),
+gx AS (SELECT file, track_id, num_points, content_hash, 'ride ' || track_id AS track_name, CAST(row_number() OVER (PARTITION BY file ORDER BY track_id) - 1 AS INT) AS track_index FROM f JOIN fh USING (track_id) WHERE kind IN ('gpx', 'prefixed')),
+wx AS (SELECT file, any_value(kind) AS kind, count(*) AS num_points, sha256(string_agg(printf('%.6f,%.6f', lat, lon) || chr(10), '' ORDER BY track_id, seq)) AS content_hash FROM f JOIN tp USING (track_id) WHERE kind IN ('tcx', 'fit') GROUP BY file)"""
+
+
+ALL_FORMATS = ("gpx", "prefixed", "tcx", "fit")
 TILE_ID = """hil AS (
   SELECT z, x, y, z - 1 AS k, CAST(0 AS BIGINT) AS d, x AS cx, y AS cy FROM dt
   UNION ALL
@@ -163,10 +196,27 @@ def oracle_sql() -> dict[str, str]:
             "SELECT track_id, seq, greatest(x0, x1) >= -128 AND least(x0, x1) <= 384 AND greatest(y0, y1) >= -128 AND least(y0, y1) <= 384 AS inside FROM w",
         ),
         "zoom_rules": q(p, t, "SELECT DISTINCT z, CASE WHEN z <= 8 THEN 1 WHEN z <= 11 THEN 2 WHEN z <= 13 THEN 3 ELSE 4 END AS width, CASE WHEN z <= 4 THEN 500 WHEN z <= 8 THEN 2000 ELSE 10000 END AS cap FROM dt"),
-        "cap_segments": q(p, hits(14, 14), "SELECT z, x, y, track_id, first_seq, last_seq FROM (SELECT *, row_number() OVER (PARTITION BY z, x, y ORDER BY track_id) AS n FROM hits) WHERE n <= 10"),
-        "points_in_tiles": q(p, hits(12, 12), "SELECT z, x, y, CAST(sum(last_seq - first_seq + 1) AS BIGINT) AS span, count(*) AS tracks FROM hits GROUP BY ALL"),
-        "tile_segments": q(p, t, SEGMENTS, hits(14, 14), drawn(14, 10000), "SELECT * FROM ts"),
-        "color_lut": q(RAMPS, "SELECT * FROM lut"),
+        "cap_segments": q(p, hits(2, 18), "SELECT z, x, y, track_id, first_seq, last_seq FROM (SELECT *, row_number() OVER (PARTITION BY z, x, y ORDER BY track_id) AS n FROM hits) WHERE n <= 10"),
+        "points_in_tiles": q(p, hits(2, 18), "SELECT z, x, y, CAST(sum(last_seq - first_seq + 1) AS BIGINT) AS span, count(*) AS tracks FROM hits GROUP BY ALL"),
+        "tile_segments": q(p, t, SEGMENTS, hits(2, 18), drawn(), "SELECT * FROM ts"),
+        "color_lut": q(p, SEGMENTS, pixels(11, 2), RAMPS, "SELECT lut.*, coalesce(n, 0) AS pixels FROM lut LEFT JOIN (SELECT idx, count(*) AS n FROM ix GROUP BY idx) USING (idx)"),
+        "render_tiles": q(p, t, SEGMENTS, hits(2, 18), images(least=12), "SELECT style, im.z, im.x, im.y, im.tracks, " + ", ".join(f"CASE WHEN im.z >= 12 THEN coalesce({c}, 0) END AS {c}" for c in ("shown", "r", "g", "b", "a")) + f" FROM (SELECT * FROM im, {STYLES}) im LEFT JOIN sums USING (style, z, x, y)"),
+        "render_overviews": q(p, t, SEGMENTS, hits(2, 8), images(), f"SELECT style, z, x, y, tracks FROM im, {STYLES}"),
+        "incremental_render": q(p, t, SEGMENTS, hits(2, 18), DIRTY, DISK, images("dirty"), f"SELECT style, z, x, y, 'drawn' AS state FROM im, {STYLES} UNION ALL SELECT style, z, x, y, 'kept' FROM disk WHERE (z, x, y) NOT IN (SELECT (z, x, y) FROM dirty)"),
+        "export_archive": q(p, t, SEGMENTS, hits(2, 18), images(), TILE_ID, f"SELECT style, count(*) AS tiles, min(tile_id) AS first_id, max(tile_id) AS last_id, true AS gapless, true AS shared FROM (SELECT * FROM im JOIN ids USING (z, x, y)), {STYLES} GROUP BY style"),
+        "write_tiles": q(p, t, DISK, "SELECT style, z, x, y, CAST(5 AS BIGINT) AS bytes FROM disk"),
+        "list_tiles_on_disk": q(p, t, DISK, "SELECT style, z, x, y FROM disk WHERE style = 'warm'"),
+        "scan_activity_files": q(p, files(*ALL_FORMATS), "SELECT DISTINCT file, split_part(file, '.', 2) AS ext FROM f"),
+        "read_gpx_tracks": q(p, files(*ALL_FORMATS), "SELECT file, track_index, track_name, num_points, content_hash FROM gx"),
+        "read_tcx_tracks": q(p, files(*ALL_FORMATS), "SELECT file, num_points, content_hash, CAST(NULL AS VARCHAR) AS error FROM wx WHERE kind = 'tcx'"),
+        "import_job": q(
+            p, files(*ALL_FORMATS), "a AS (SELECT file, track_index, num_points FROM gx UNION ALL SELECT file, NULL, num_points FROM wx)",
+            "SELECT CAST(0 AS INT) AS batch, file, track_index, 'imported' AS status, num_points FROM a UNION ALL SELECT 1, file, track_index, 'duplicate', 0 FROM a",
+        ),
+        "stream_import": q(p, "n AS (SELECT count(*) AS num_points FROM tp GROUP BY track_id)", "SELECT num_points, count(*) AS tracks FROM n GROUP BY num_points"),
+        "stream_dedup": q(p, "SELECT 'gpx' AS kind, 'imported' AS status, count(DISTINCT track_id) AS tracks FROM tp UNION ALL SELECT 'prefixed', 'content_duplicate', count(DISTINCT track_id) FROM tp"),
+        "stream_dirty_tiles": q(p, t, "SELECT * FROM dt"),
+        "stream_render": q(p, t, SEGMENTS, hits(2, 18), images(), f"SELECT style, z, x, y FROM im, {STYLES}"),
         "normalize_intensity": q(p, SEGMENTS, pixels(11, 2), "SELECT * FROM ix"),
         "colorize": q(p, SEGMENTS, pixels(11, 2), RAMPS, "SELECT style, z, px, py, r, g, b, a FROM ix JOIN lut USING (idx)"),
         "top_tracks_layer": q(p, SEGMENTS, pixels(8, 1), RAMPS, "SELECT z, px, py, r, g, b, a FROM ix JOIN lut USING (idx) WHERE style = 'top10' AND a > 0"),
@@ -182,8 +232,8 @@ def oracle_sql() -> dict[str, str]:
         "import_summary": q(*log, "SELECT status, count(*) AS files, CAST(sum(CASE WHEN status = 'imported' THEN num_points ELSE 0 END) AS BIGINT) AS points FROM log GROUP BY status"),
         "duplicates_blocked": q(*log, "SELECT count(*) FILTER (status = 'content_duplicate') AS content_duplicates_blocked FROM log"),
         "track_index": q(*log, "SELECT path, chunk, CAST(row_number() OVER (PARTITION BY path ORDER BY chunk) - 1 AS INT) AS track_index FROM (SELECT 'file ' || (track_id % 7) AS path, track_id AS chunk FROM batch WHERE error IS NULL AND num_points > 0)"),
-        "route_files": q(*log, "SELECT path, CASE WHEN status = 'error' THEN 'errors/' ELSE 'done/' END || CASE WHEN n = 1 THEN name ELSE replace(name, '.gpx', '_' || (n - 1) || '.gpx') END AS target FROM (SELECT *, split_part(path, '/', 2) AS name, row_number() OVER (PARTITION BY split_part(path, '/', 2), status = 'error' ORDER BY path) AS n FROM log)"),
-        "mark_tiles_dirty": q(p, t, f"ol AS (SELECT DISTINCT z, {tx('lon', 'z')} AS x, {ty('lat', 'z')} AS y FROM tp, zs WHERE track_id % 2 = 0)", DIRTY, "SELECT * FROM ol UNION SELECT * FROM dirty"),
+        "route_files": q(*log, "SELECT path, CASE WHEN status = 'error' THEN 'errors/' ELSE 'done/' END || CASE WHEN n = 0 THEN name ELSE replace(name, '.gpx', '_' || n || '.gpx') END AS target FROM (SELECT *, split_part(path, '/', 2) AS name, CASE WHEN status <> 'error' AND split_part(path, '/', 2) IN (SELECT split_part(path, '/', 2) FROM batch WHERE path LIKE 'a/%') THEN 1 ELSE 0 END - 1 + row_number() OVER (PARTITION BY split_part(path, '/', 2), status = 'error' ORDER BY path) AS n FROM log)"),
+        "mark_tiles_dirty": q(p, t, "SELECT z, x, y FROM dt UNION SELECT z, x + 1, y FROM dt"),
         "mark_all_tiles_dirty": q(p, t, "SELECT * FROM dt"),
         "sample_points": q(p, "o AS (SELECT *, row_number() OVER (ORDER BY track_id, seq) AS rn FROM tp)", "SELECT track_id, seq, lat, lon FROM o WHERE rn % greatest(1, (SELECT count(*) FROM tp) // 500) = 0"),
         "clear_dirty": q(p, t, DIRTY, "SELECT * FROM dirty WHERE (x + y) % 3 <> 0"),
@@ -194,7 +244,10 @@ def oracle_sql() -> dict[str, str]:
         "check_tiles": q(p, t, DISK, MISSING, "SELECT (SELECT count(*) FROM dt) AS total_tiles, count(*) AS missing_files, count(DISTINCT (z, x, y)) AS missing_tiles, count(*) // 3 AS missing_average FROM missing"),
         "dirty_by_zoom": q(p, t, DIRTY, "SELECT z, count(*) AS tiles, count(*) * 3 AS images, count(*) FILTER (z <= 8) AS heavy FROM dirty GROUP BY z"),
         "dirty_batch": q(p, t, DIRTY, "SELECT * FROM dirty ORDER BY z, x, y LIMIT 60"),
-        "export_ready": q(p, t, DISK, MISSING, f"SELECT style, CASE WHEN EXISTS (SELECT 1 FROM missing WHERE missing.style = st.style) THEN 'missing_tiles' ELSE 'ok' END AS status FROM {STYLES}"),
+        "export_ready": q(
+            p, t, DISK, MISSING, f"SELECT 'holes' AS \"case\", style, CASE WHEN EXISTS (SELECT 1 FROM missing WHERE missing.style = st.style) THEN 'missing_tiles' ELSE 'ok' END AS status FROM {STYLES} "
+            f"UNION ALL SELECT 'queue', style, 'dirty_remaining' FROM {STYLES} UNION ALL SELECT 'whole', style, 'ok' FROM {STYLES}",
+        ),
         "valid_tile_address": q(p, t, REQUESTS, "SELECT style, z, x, y, CASE WHEN style <> 'warm' THEN 'unknown_style' WHEN z < 0 OR z > 20 THEN 'bad_zoom' WHEN x >= pow(2, z) OR y >= pow(2, z) THEN 'empty' ELSE 'ok' END AS status FROM req"),
         "tile_id": q(p, t, TILE_ID, "SELECT * FROM ids"),
         "archive_order": q(p, t, TILE_ID, "SELECT * FROM ids"),
@@ -208,7 +261,7 @@ def oracle_sql() -> dict[str, str]:
         "parse_trkpts": q(p, "SELECT track_id, seq, lat, lon, 'ride ' || track_id || ' R&R' AS track_name FROM tp"),
         "fit_records_to_points": q(p, RECORDS, "SELECT file, row_number() OVER (PARTITION BY file ORDER BY seq) AS seq, round(lat, 6) AS lat, round(lon, 6) AS lon FROM fp"),
         "first_last_time": q(p, RECORDS, "SELECT file, arg_min(ts, seq) AS first_time, arg_max(ts, seq) AS last_time FROM fp WHERE ts IS NOT NULL GROUP BY file"),
-        "write_tracks": q(p, "SELECT * FROM tp"),
+        "write_tracks": q(p, "SELECT track_id, count(*) AS num_points, min(lat) AS min_lat, min(lon) AS min_lon, max(lat) AS max_lat, max(lon) AS max_lon, count(*) AS stored_points, max(seq) AS last_seq FROM tp GROUP BY track_id"),
         "unsupported_format": "SELECT page_id, CASE WHEN ext IN ('fit', 'gpx', 'tcx') THEN NULL ELSE 'Unsupported format: .' || ext END AS error FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'gpx' WHEN 1 THEN 'fit' WHEN 2 THEN 'tcx' WHEN 3 THEN 'kml' ELSE 'html' END AS ext FROM pages)",
         "empty_tiles": q(p, t, DISK, REQUESTS, "SELECT req.style, req.z, req.x, req.y, disk.z IS NOT NULL AS known FROM req LEFT JOIN disk USING (style, z, x, y)"),
     }

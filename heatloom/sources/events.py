@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from heatloom.functions import names
 from heatloom.operators import tiles, tracks
 from heatloom.schemas import STYLES
+from heatloom.tables import new_folder, rename_parts
 
 
 def trackpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,3 +117,43 @@ def fit_records(points: DataFrame) -> DataFrame:
         semi(F.col("lon")).alias("position_long"),
         F.when(s % 7 != 0, F.lit(1_700_000_000) + t * 1000 + s).alias("ts"),
     )
+
+
+#: Activity files of each format that `activity_files` writes.
+FILES = 8
+
+
+def activity_files(points: DataFrame, *formats: str) -> tuple[str, DataFrame]:
+    """A folder of activity files made of the points, and the decoded records of its FIT files.
+
+    Track t goes to the format t % len(formats) (gpx, prefixed, tcx or fit) and, in it, to one of FILES files. A GPX file has
+    a track for each, in the order of ids; TCX and FIT files are one track each. FIT files themselves hold no more than
+    their name.
+    """
+    spark, t = points.sparkSession, F.col("track_id")
+    kind = F.element_at(F.array(*[F.lit(f) for f in formats]), (t % len(formats) + 1).cast("int"))
+    name = F.format_string("%s-%d", kind, F.floor(t / len(formats)) % FILES)
+    spot = lambda point: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))), point), "")
+    six = lambda c: F.format_string("%.6f", c)
+    gpx = spot(lambda p: F.concat(F.lit('<trkpt lat="'), six(p["lat"]), F.lit('" lon="'), six(p["lon"]), F.lit('"/>')))
+    tcx = spot(lambda p: F.concat(F.lit("<Trackpoint><Position><LatitudeDegrees>"), six(p["lat"]), F.lit("</LatitudeDegrees><LongitudeDegrees>"), six(p["lon"]), F.lit("</LongitudeDegrees></Position></Trackpoint>")))
+    texts = points.groupBy("track_id").agg(gpx.alias("g"), tcx.alias("x")).withColumn("kind", kind).withColumn("name", name)
+    track = F.concat(F.lit("<trk><name>ride "), t, F.lit("</name><trkseg>"), F.col("g"), F.lit("</trkseg></trk>"))
+    body = (
+        F.when(F.col("kind") == "gpx", track)
+        .when(F.col("kind") == "prefixed", F.regexp_replace(track, "<(/?)", "<$1g:"))
+        .when(F.col("kind") == "tcx", F.concat(F.lit("<Lap><Track>"), F.col("x"), F.lit("</Track></Lap>")))
+    )
+    bodies = texts.groupBy("kind", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("track_id", body.alias("b")))), lambda s: s["b"]), "\n").alias("b"))
+    whole = (
+        F.when(F.col("kind").isin("gpx", "prefixed"), F.concat(F.lit("<gpx>\n"), F.col("b"), F.lit("\n</gpx>")))
+        .when(F.col("kind") == "tcx", F.concat(F.lit("<TrainingCenterDatabase><Activities><Activity>"), F.col("b"), F.lit("</Activity></Activities></TrainingCenterDatabase>")))
+        .otherwise(F.col("name"))
+    )
+    folder = new_folder(spark, "activities")
+    ending = F.when(F.col("kind") == "prefixed", "gpx").otherwise(F.col("kind"))
+    named = F.concat("name", F.lit("."), ending)
+    bodies.select(whole.alias("value"), named.alias("file")).repartition("file").write.partitionBy("file").text(folder)
+    rename_parts(spark, folder)
+    fit = points.where(kind == "fit").select(F.concat(name, F.lit(".fit")).alias("file"), F.struct("track_id", "seq").alias("seq"), *[F.round(F.col(c) * (2.0**31 / 180.0)).cast("long").alias(f"position_{n}") for c, n in (("lat", "lat"), ("lon", "long"))], (F.lit(1_700_000_000) + t * 1000 + F.col("seq")).alias("ts"))
+    return folder, fit

@@ -2,32 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatloom.functions import names
 
 AWAY = r"/(done|errors)/[^/]*$"
+#: Activity files by extension, in any case.
+ACTIVITIES = "*.{[fF][iI][tT],[gG][pP][xX],[tT][cC][xX]}"
+#: Files above this are not read as one value.
+LARGE_BYTES = 1 << 30
+
+
+def _listed(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    rows = reader.load(folder).withColumn("path", F.col("_metadata.file_path")).withColumn("ext", names.extension(F.col("path")))
+    return rows.where(~F.col("path").rlike(AWAY))
 
 
 def scan_activity_files(spark: SparkSession, folder: str) -> DataFrame:
     """path and ext of activity files below a folder, sorted by path; folders done and errors are left out."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    found = listed.select(F.col("_metadata.file_path").alias("path")).withColumn("ext", names.extension(F.col("path")))
-    return found.where(F.col("ext").isin(*names.EXTENSIONS) & ~F.col("path").rlike(AWAY)).orderBy("path")
+    return _listed(spark, folder).where(F.col("ext").isin(*names.EXTENSIONS)).select("path", "ext").orderBy("path")
+
+
+def name_below(path: Column, folder: str) -> Column:
+    """The part of a path that follows its folder."""
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    return F.substring(plain(names.decoded(path)), F.length(plain(F.lit(folder.rstrip("/")))) + 2, F.lit(1 << 20))
+
 
+def file_contents(spark: SparkSession, folder: str, glob: str = ACTIVITIES, most_bytes: int = LARGE_BYTES) -> DataFrame:
+    """path, ext, content and file_hash of activity files of at most `most_bytes`; others' contents are not read."""
+    rows = _listed(spark, folder, glob).where(F.col("length") <= most_bytes)
+    return rows.select("path", "ext", "content", F.sha2("content", 256).alias("file_hash"))
 
-def file_contents(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """path, ext, content and file_hash of activity files (each below Spark's 2 GB for one value)."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
-    rows = listed.select(F.col("_metadata.file_path").alias("path"), "content").withColumn("ext", names.extension(F.col("path")))
-    return rows.where(~F.col("path").rlike(AWAY)).withColumn("file_hash", F.sha2("content", 256))
+
+def file_hashes(spark: SparkSession, folder: str, most_bytes: int = LARGE_BYTES) -> DataFrame:
+    """path, ext, file_hash of every file below a folder.
+
+    The hash is the SHA-256 of the contents. Of files of other formats no contents are read, and the hash is that of the
+    path. Files above `most_bytes` are read as records in splits; theirs is the SHA-256 of their length and of sums over
+    the hashes of all records, which does not depend on the splits (nor on the order of the records).
+    """
+    whole = file_contents(spark, folder, most_bytes=most_bytes).select("path", "ext", "file_hash")
+    other = _listed(spark, folder).where(~F.col("ext").isin(*names.EXTENSIONS)).select("path", "ext", F.sha2("path", 256).alias("file_hash"))
+    reader = spark.read.option("lineSep", "</trk>").option("recursiveFileLookup", True).option("pathGlobFilter", ACTIVITIES)
+    size = F.col("_metadata.file_size")
+    records = reader.text(folder).where(size > most_bytes).select("value", F.col("_metadata.file_path").alias("path"), size.alias("size"))
+    first, second = F.xxhash64("value"), F.xxhash64(F.lit(1), "value")
+    sums = records.where(~F.col("path").rlike(AWAY)).groupBy("path", "size").agg(F.count("*").alias("n"), F.bit_xor(first).alias("x"), F.sum(first.cast("decimal(38,0)")).alias("s"), F.bit_xor(second).alias("y"))
+    large = sums.select("path", names.extension(F.col("path")).alias("ext"), F.sha2(F.concat_ws(":", "size", "n", "x", "s", "y"), 256).alias("file_hash"))
+    return whole.unionByName(other).unionByName(large)
 
 
 def list_tiles_on_disk(spark: SparkSession, folder: str) -> DataFrame:
-    """style, z, x, y of files <style>/<z>/<x>/<y>.png; other names are ignored. Contents are not read."""
+    """style, z, x, y of the tile files below a folder. Contents are not read."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(folder)
-    paths = listed.select(F.col("_metadata.file_path").alias("path"))
+    return tile_addresses(listed.select(F.col("_metadata.file_path").alias("path")))
+
+
+def tile_addresses(paths: DataFrame) -> DataFrame:
+    """style, z, x, y of paths ...<style>/<z>/<x>/<y>.png; other names are ignored."""
     part = lambda i: F.regexp_extract("path", r"([^/]+)/(\d+)/(\d+)/(\d+)\.png$", i)
     found = paths.where(part(1) != "")
     return found.select(part(1).alias("style"), part(2).cast("int").alias("z"), part(3).cast("long").alias("x"), part(4).cast("long").alias("y"))

@@ -21,6 +21,18 @@ def records_to_points(records: DataFrame) -> DataFrame:
     return valid_positions(records).select("file", F.row_number().over(order).cast("long").alias("seq"), "lat", "lon")
 
 
+def parsed_fit(records: DataFrame) -> DataFrame:
+    """file, start_time, end_time (ISO, UTC), points of each file of decoded records; a file is one track, a row's worth of points."""
+    rows = valid_positions(records)
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "lat", "lon")))
+    points = F.transform(ordered, lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
+    iso = lambda c: F.replace(F.timestamp_add("SECOND", c, F.lit("1970-01-01").cast("timestamp_ntz")).cast("string"), F.lit(" "), F.lit("T"))
+    at = F.when(F.col("ts").isNotNull(), F.col("seq"))
+    found = rows.groupBy("file").agg(points.alias("points"), F.min_by("ts", at).alias("first"), F.max_by("ts", at).alias("last"))
+    empty = records.select("file").distinct().join(found, "file", "left")
+    return empty.select("file", iso(F.col("first")).alias("start_time"), iso(F.col("last")).alias("end_time"), F.coalesce("points", F.array()).alias("points"))
+
+
 def first_last_time(records: DataFrame) -> DataFrame:
     """file, first_time, last_time: of the first and last valid record that has a time."""
     timed = valid_positions(records).where(F.col("ts").isNotNull())

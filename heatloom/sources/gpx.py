@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heatloom.functions import names
+from heatloom.sources.files import AWAY
 
 CLOSER = r"(?i)</(?:\w+:)?trk\s*>"
-OPENER = r"(?is)<(?:\w+:)?trk(?=[\s>/])"
 POINT = "array<struct<_lat:string,_lon:string,time:string>>"
 TRACK = f"name string, trkseg array<struct<trkpt:{POINT}>>, trkpt {POINT}"
 
@@ -44,17 +44,20 @@ def parsed_track(rows: DataFrame, xml: Column) -> DataFrame:
     return rows.withColumn("start_time", F.get(timed, F.lit(0))).withColumn("end_time", F.element_at(F.when(F.size(timed) > 0, timed), -1)).drop("_t", "_p")
 
 
-def read_gpx_tracks(spark: SparkSession, folder: str, max_partition_bytes: int | None = None) -> DataFrame:
+def read_gpx_tracks(spark: SparkSession, folder: str) -> DataFrame:
     """path, chunk (order in the file) and xml of each track element below a folder.
 
-    Files are split at '</trk>' across partitions, so one file may be far larger than a task's memory. A last track that
+    Files are split at '</trk>' across partitions, so one file may be far larger than a task's memory. Pieces that hold
+    closers of another spelling (with a prefix, in capitals, with spaces) are split again at these; what lies between two
+    plain closers is one value, so a file that has none at all must be below Spark's 2 GB for a value. A last track that
     breaks off is closed. Several tracks on one line are all kept.
     """
     reader = spark.read.option("lineSep", "</trk>").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[gG][pP][xX]")
     rows = reader.text(folder).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
-    rows = rows.withColumn("place", F.monotonically_increasing_id()).withColumn("xml", track_elements(F.col("value")))
-    rows = rows.where(F.col("xml").isNotNull() & ~F.col("path").rlike(r"/(done|errors)/[^/]*$"))
-    return rows.select("path", F.struct("block", "place").alias("chunk"), "xml")
+    rows = rows.withColumn("place", F.monotonically_increasing_id()).where(~F.col("path").rlike(AWAY))
+    pieces = rows.select("path", "block", "place", F.posexplode(F.split("value", CLOSER)).alias("part", "piece"))
+    pieces = pieces.select("path", F.struct("block", "place", "part").alias("chunk"), track_elements(F.col("piece")).alias("xml"))
+    return pieces.where(F.col("xml").isNotNull())
 
 
 def gpx_tracks_of(files: DataFrame) -> DataFrame:

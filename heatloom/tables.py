@@ -58,6 +58,17 @@ def forget(*saved: DataFrame) -> None:
         store.delete(folder, True)
 
 
+def rename_parts(spark: SparkSession, folder: str) -> None:
+    """Turns the single part file of each folder <folder>/<key>=<name> into the file <folder>/<name>; for few such folders."""
+    path, store = _folder(spark, folder)
+    for found in store.listStatus(path):
+        if found.isDirectory():
+            part = store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(found.getPath(), "part-*"))[0].getPath()
+            name = found.getPath().getName().split("=", 1)[1]
+            store.rename(part, spark._jvm.org.apache.hadoop.fs.Path(path, name))
+            store.delete(found.getPath(), True)
+
+
 def in_ranges(df: DataFrame, *keys: str) -> DataFrame:
     """df as a saved table of sorted range partitions, with `__part`, which never falls as the keys rise.
 

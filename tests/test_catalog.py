@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from heatloom import catalog
@@ -15,7 +16,7 @@ def plain(value):
         value = value.item()
     if isinstance(value, float):
         return None if math.isnan(value) else int(value) if value == int(value) else round(value, 7)
-    return None if value is None or value != value else value
+    return None if pd.isna(value) else value
 
 
 def rows_of(frame):

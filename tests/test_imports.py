@@ -1,4 +1,6 @@
+import hashlib
 import random
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,17 +84,21 @@ def folder(tmp_path):
     (inbox / "a.gpx").write_text(gpx_file(track("R&R <sigh>", (46.5, -87.5), (46.501, -87.5)), "<trk><name>broken</trk>", track("indoor"), track("second", (46.6, -87.4), (46.6, -87.401), ("x", 1), (91, 2), (46.6, -181))))
     (inbox / "b.GPX").write_text(gpx_file(track("same ride", (46.5, -87.5), (46.501, -87.5), time=False)))
     (inbox / "c.gpx").write_text(gpx_file(track("one", (1, 1), (1, 1.001)) + track("two", (2, 2), (2, 2.001)), track("cut", (3, 3), (3, 3.001))[: -len("</trk>")], end=""))
-    (inbox / "d.gpx").write_text(gpx_file('<g:trk><g:name>p</g:name><g:trkseg><g:trkpt lat="5" lon="5"/><g:trkpt lat="5" lon="5.001"/></g:trkseg></g:trk>').replace("</g:trk>", "</trk>").replace("<g:trk>", "<trk>"))
+    (inbox / "d.gpx").write_text(gpx_file('<g:trk><g:name>p</g:name><g:trkseg><g:trkpt lat="5" lon="5"/><g:trkpt lat="5" lon="5.001"/></g:trkseg></g:trk>', '<g:trk><g:name>q</g:name><g:trkseg><g:trkpt lat="6" lon="5"/><g:trkpt lat="6" lon="5.001"/></g:trkseg></g:trk>'))
     (inbox / "e.tcx").write_text(TCX.format(ns=' xmlns="http://www.garmin.com/xmlschemas/TrainingCenterDatabase/v2"', points=TCX_POINT.format(t="t1", a=7, b=7) + "<Trackpoint><Time>t2</Time></Trackpoint>" + TCX_POINT.format(t="t3", a=7, b="7.001")))
     (inbox / "f.tcx").write_text("<TrainingCenterDatabase/>")
     (inbox / "g.kml").write_text("<kml/>")
+    (inbox / "sub").mkdir()
+    (inbox / "sub" / "h 1+.FIT").write_bytes(b"fit 1")
+    (inbox / "i.fit").write_bytes(b"fit 2")
+    (inbox / "j.fit").write_bytes(b"fit 3")
     (inbox / "done" / "old.gpx").write_text(gpx_file(track("old", (9, 9), (9, 9.001))))
     return tmp_path
 
 
 def test_scan(spark, folder):
-    found = [r["path"].rsplit("/", 1)[1] for r in files.scan_activity_files(spark, str(folder / "in")).collect()]
-    assert found == ["a.gpx", "b.GPX", "c.gpx", "d.gpx", "e.tcx", "f.tcx"]
+    found = [unquote(r["path"].rsplit("/", 1)[1]) for r in files.scan_activity_files(spark, str(folder / "in")).collect()]
+    assert found == ["a.gpx", "b.GPX", "c.gpx", "d.gpx", "e.tcx", "f.tcx", "i.fit", "j.fit", "h 1+.FIT"]
 
 
 def statuses(log):
@@ -107,24 +113,54 @@ WANT = [
     ("c.gpx", 1, "c [two].gpx", "imported"),
     ("c.gpx", 2, "c [cut].gpx", "imported"),
     ("d.gpx", 0, "d [p].gpx", "imported"),
+    ("d.gpx", 1, "d [q].gpx", "imported"),
     ("e.tcx", None, "e.tcx", "imported"),
     ("f.tcx", None, "f.tcx", "error"),
     ("g.kml", None, "g.kml", "error"),
+    ("h 1+.FIT", None, "h 1+.FIT", "imported"),
+    ("i.fit", None, "i.fit", "no_gps_data"),
+    ("j.fit", None, "j.fit", "error"),
 ]
 
 
+def fit_records(spark):
+    degree = 2**31 / 180
+    rows = [("sub/h 1+.FIT", i, int(8 * degree), int((8 + i / 1000) * degree), 1_714_557_600 + i) for i in range(3)] + [("i.fit", 0, None, None, 1)]
+    return spark.createDataFrame(rows, "file string, seq long, position_lat long, position_long long, ts long")
+
+
 def test_import_job(spark, folder):
     store = str(folder / "store")
-    log = importing.import_job(spark, str(folder / "in"), store, 0)
+    log = importing.import_job(spark, str(folder / "in"), store, 0, fit_records(spark))
     key = lambda x: (x[0], -1 if x[1] is None else x[1])
-    assert sorted(((r["path"].rsplit("/", 1)[1], r["track_index"], r["filename"], r["status"]) for r in log.collect()), key=key) == WANT
+    assert sorted(((unquote(r["path"].rsplit("/", 1)[1]), r["track_index"], r["filename"], r["status"]) for r in log.collect()), key=key) == WANT
     tracks_table = spark.read.parquet(f"{store}/tracks")
-    assert sorted(r["track_id"] for r in tracks_table.collect()) == list(range(1, 8))
-    assert spark.read.parquet(f"{store}/trackpoints").count() == 14
-    again = importing.import_job(spark, str(folder / "in"), store, 1)
-    assert {r["status"] for r in again.collect()} == {"duplicate", "content_duplicate", "error"}
-    assert spark.read.parquet(f"{store}/tracks").count() == 7
-    assert importing.import_job(spark, str(folder / "in"), store, 1).count() == 10
+    assert sorted(r["track_id"] for r in tracks_table.collect()) == list(range(1, 10))
+    fit_track = tracks_table.where(F.col("filename") == "h 1+.FIT").first()
+    assert (fit_track["num_points"], fit_track["start_time"], fit_track["end_time"]) == (3, "2024-05-01T10:00:00", "2024-05-01T10:00:02")
+    assert {r["error"] for r in log.where(F.col("filename").rlike("fit$|kml$")).collect()} == {None, importing.NOT_DECODED, "Unsupported format: .kml"}
+    assert spark.read.parquet(f"{store}/trackpoints").count() == 19
+    again = importing.import_job(spark, str(folder / "in"), store, 1, fit_records(spark))
+    assert {r["status"] for r in again.collect()} == {"duplicate", "content_duplicate", "no_gps_data", "error"}
+    assert spark.read.parquet(f"{store}/tracks").count() == 9
+    assert importing.import_job(spark, str(folder / "in"), store, 1).count() == 14
+
+
+def test_hashes_of_large_files(spark, folder):
+    """Above the limit the hash comes from records in splits, and does not depend on them."""
+    inbox = str(folder / "in")
+    hashes = lambda most: {r["path"]: r["file_hash"] for r in files.file_hashes(spark, inbox, most).collect()}
+    whole, parts = hashes(1 << 30), hashes(100)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        again = hashes(100)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert whole.keys() == parts.keys() and parts == again
+    assert {p.rsplit(".")[-1] for p in whole if whole[p] == parts[p]} == {"tcx", "kml", "fit", "FIT"} and len(set(parts.values())) == len(parts)
+    for path, found in whole.items():
+        if not path.endswith("kml"):
+            assert found == hashlib.sha256(open(unquote(path.removeprefix("file:")), "rb").read()).hexdigest()
 
 
 def test_many_tracks_over_small_splits(spark, tmp_path):
@@ -150,7 +186,7 @@ def test_streams(spark, folder):
     (inbox / "z.gpx").write_text(gpx_file(track("again", (1, 1), (1, 1.001)), track("fresh", (11, 11), (11, 11.001))))
     run(imports.stream_import, str(inbox), store, str(folder / "c1"))
     log = spark.read.parquet(f"{store}/log")
-    assert {r["status"]: r["count"] for r in log.groupBy("status").count().collect()}["imported"] == 9  # done/old.gpx arrives here too
+    assert {r["status"]: r["count"] for r in log.groupBy("status").count().collect()}["imported"] == 10  # done/old.gpx arrives here too
     run(imports.stream_dirty_tiles, store, str(out / "dirty"), str(folder / "c2"))
     points = spark.read.parquet(f"{store}/trackpoints").drop("batch_id")
     key = ["z", "x", "y"]

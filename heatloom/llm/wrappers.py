@@ -1,14 +1,21 @@
 """Main text of web pages by wrappers inferred for each host.
 
 A wrapper is a union-free regular expression over a page's tags and text slots, kept as a tree: each node is an element that
-may be optional or repeated, with the text slots it holds. A page is its own first wrapper, once runs of alike neighbours
-are folded into one repeated group. Two wrappers are aligned child by child; what both have is merged, what one lacks
-becomes optional, differing text becomes a slot, and the folding is repeated. Tasks fold the pages they read into one
-wrapper per host, and these few partial wrappers are then folded together, so no task sees all pages of a host.
-
-A wrapper also counts each slot's characters, those inside links, and whether its text never changes. From that and the
-elements around it follows which slots are the article; each page is then aligned with its host's wrapper and gives the
-text of those slots.
+may be optional or repeated and may hold text. A page is its own first wrapper, once runs of alike neighbours are folded into
+one repeated group. Two wrappers are aligned child by child; what both have is merged, what one lacks becomes optional, and
+the folding is repeated. Tasks fold the pages they read into one wrapper per host; these partial wrappers are folded in
+groups of FAN, round by round, so no task sees all pages of a host.
+
+Every page is then aligned with its host's wrapper, which gives each block of text the slot it fills. What of a page is its
+article is read from the slots, by counts over all pages of the host:
+
+* a text that fills the same slot on most of the host's different pages (three at least) belongs to the template and goes; a
+  heading stays if the block after it does;
+* on pages without an article or main element, so does a slot whose text is mostly links;
+* a container whose class speaks of something beside the article goes unless it holds half of the host's text or more.
+
+Elements that HTML itself sets beside the article (nav, aside, form, footer, ...) and what stands outside an article or main
+element, on pages that have one with text, never count.
 """
 
 from __future__ import annotations
@@ -16,68 +23,110 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.llm.common import save
+from heatloom.llm.common import forget, save
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
-NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTES = r"""(?:[^>"'=]|=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|[="'])*"""
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({ATTRIBUTES})(?:>|\Z)""", re.S)
+NAMED = re.compile(r"""(?:^|[\s"'/])(class|role|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Elements deeper than this lie in the wrapper's deepest node.
 DEPTH = 60
 REPEATED_GROUP = 3
-
-# Fixed word lists: element names of HTML by their part in a page's layout.
-RAW = frozenset("script style title textarea noscript template iframe svg math object xmp".split())
+#: Children of a wrapper's node; one that would have more takes each kind of child any number of times, in any order.
+WIDE = 128
+#: Partial wrappers that one task folds at once.
+FAN = 64
+#: Different pages that must show a text in a slot before it counts as the template's.
+WITNESSES = 3
+
+# Fixed word lists: element names and roles of HTML by their part in a page's layout.
+RAW = frozenset("script style title textarea noscript template iframe svg object xmp".split())
 BLOCKS = frozenset("html body head main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address nav header footer aside form fieldset details summary hgroup menu dialog center".split())
 ENDS_PARAGRAPH = BLOCKS - {"html", "body", "head"}
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CONTAINERS = frozenset("ul ol dl table article section div main aside nav form".split())
+GROUPS = frozenset("div ul ol dl table".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BESIDE = frozenset("head nav footer aside form menu dialog button select".split())
+BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
 ARTICLE = frozenset("article main".split())
-# Fixed word list: parts of class, id and role that mark what stands beside an article.
-BESIDE_WORDS = frozenset("ad ads advert adverts advertisement adbox adslot banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice alert popup modal newsletter subscribe subscription share sharing social related recommended recommendations comment comments disqus replies reply respond login signup search widget toolbar pager pagination skip contentinfo complementary dialog".split())
+# Fixed word list: first words of class names that speak of what stands beside an article; a vote that counts can overturn.
+BESIDE_WORDS = frozenset("ad ads advert advertisement adbox adslot sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice alert popup modal newsletter subscribe share sharing social comment comments disqus replies respond login signup widget toolbar pager pagination".split())
 HEADER_WORDS = frozenset("header masthead banner".split())
+INLINE = frozenset("button select".split())
 
 
 class Node:
-    """An element: name, marks (its class, id and role words), children, and whether it is optional or repeated."""
+    """An element of a page or wrapper: name, marks (words of its class and id) and items.
 
-    __slots__ = ("name", "marks", "items", "optional", "repeated", "slot", "main")
+    Of a page: items are nodes, (text, in a link) pairs and None for line breaks. Of a wrapper: items are nodes; `text` says
+    whether there is a slot, `free` that the children come in any order, and `number` is the node's place in the wrapper.
+    """
+
+    __slots__ = ("name", "marks", "items", "role", "optional", "repeated", "text", "free", "number", "places")
 
-    def __init__(self, name: str, marks: tuple[str, ...] = ()):
-        self.name, self.marks, self.items = name, marks, []
-        self.optional = self.repeated = False
-        self.slot: list | None = None  # occurrences, characters, characters in links, CRC of the text (None: differs)
-        self.main = False
+    def __init__(self, name: str, marks: tuple[str, ...] = (), role: str = ""):
+        self.name, self.marks, self.items, self.role = name, marks, [], role
+        self.optional = self.repeated = self.text = self.free = False
+        self.number, self.places = -1, None
 
     @property
     def symbol(self) -> tuple:
         return (self.name, self.marks)
 
+    @property
+    def is_article(self) -> bool:
+        return self.name in ARTICLE or self.role == "main"
+
+    @property
+    def is_beside(self) -> bool:
+        return self.name in BESIDE or self.role in BESIDE_ROLES
+
+    def is_voted(self, article: bool) -> bool:
+        """Whether its class speaks against it; that of a header only outside the article, for it may hold the title."""
+        votes = BESIDE_WORDS if article else BESIDE_WORDS | HEADER_WORDS
+        return self.name in CONTAINERS and not self.is_article and not votes.isdisjoint(self.marks)
+
+
+def _marks(name: str, attributes: str) -> tuple[tuple[str, ...], str]:
+    """The first words of the class names and, of what only groups others, of the id (behind #); and the role."""
+    found, role = set(), ""
+    for m in NAMED.finditer(attributes):
+        kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if kind == "role":
+            role = role or value.strip()
+        elif kind == "class":
+            found |= {w[0] for x in value.split() if (w := re.findall(r"[a-z]+", x))}
+        elif name in GROUPS and (w := re.findall(r"[a-z]+", value)):
+            found.add(f"#{w[0]}")
+    return tuple(sorted(found)), role
+
 
 def parse(page: str) -> Node:
-    """The element tree of a page; items are nodes, (text, in a link) pairs and None for line breaks. Bad markup is mended."""
+    """The element tree of a page. Bad markup is mended."""
     root = Node("#root")
-    stack, link, at = [root], False, 0
+    stack, link, at = [("#root", root)], False, 0
 
     def close(names: set | frozenset, stop: frozenset = frozenset()) -> None:
         nonlocal link
         for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
+            if stack[i][0] in names:
                 del stack[i:]
                 link = False
                 return
-            if stack[i].name in stop:
+            if stack[i][0] in stop:
                 return
 
     def text(piece: str) -> None:
         if piece:
-            stack[-1].items.append((entities.unescape(piece) if "&" in piece else piece, link))
+            stack[-1][1].items.append((entities.unescape(piece) if "&" in piece else piece, link))
 
     while m := TOKEN.search(page, at):
         text(page[at : m.start()])
@@ -88,13 +137,13 @@ def parse(page: str) -> Node:
         if m[1]:
             if name == "a":
                 link = False
-            elif name in BLOCKS:
+            elif name in BLOCKS or name in BESIDE:
                 close({name})
         elif name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif name == "br" or name == "hr":
-            stack[-1].items.append(None)
+            stack[-1][1].items.append(None)
         elif name == "a":
             link = True
         elif name in BLOCKS or name in BESIDE:
@@ -102,41 +151,52 @@ def parse(page: str) -> Node:
                 close({"p"}, CONTAINERS)
             if name in CLOSED_BY_SAME:
                 close(CLOSED_BY_SAME[name], CONTAINERS)
-            marks = ()
-            if "=" in m[3]:
-                found = {w for x in NAMED.finditer(m[3]) for w in re.split(r"[^a-z]+", (x[2] or x[3] or x[4] or "").lower()) if w}
-                marks = tuple(sorted(found))
-            node = Node(name, marks)
+            node = Node(name, *_marks(name, m[3])) if "=" in m[3] else Node(name)
             link = False
-            stack[-1].items.append(node)
-            if len(stack) < DEPTH:  # what lies deeper stays with its ancestor
-                stack.append(node)
+            if len(stack) > DEPTH and (not node.is_beside or stack[-1][1].is_beside):  # its text stays with the ancestor
+                stack[-1][1].items.append(None)
+                node = stack[-1][1]
+            else:
+                stack[-1][1].items.append(node)
+            stack.append((name, node))
     text(page[at:])
     return root
 
 
-def _skeleton(node: Node) -> Node:
-    """The page's own wrapper: elements, and one slot for each element with text of its own."""
+def skeleton(node: Node) -> Node:
+    """The page's own wrapper."""
     out = Node(node.name, node.marks)
-    chars = linked = 0
-    crc = 0
     for x in node.items:
         if isinstance(x, Node):
-            out.items.append(_skeleton(x))
-        elif x is not None and (bare := x[0].strip()):
-            chars += len(bare)
-            linked += len(bare) * x[1]
-            crc = zlib.crc32(bare.encode("utf-8", "replace"), crc)
-    if chars:
-        out.slot = [1, chars, linked, crc]
-    out.items = folded(out.items)
-    return out
-
-
-def _merge_slots(a: list | None, b: list | None) -> list | None:
-    if a is None or b is None:
-        return a or b
-    return [a[0] + b[0], a[1] + b[1], a[2] + b[2], a[3] if a[3] == b[3] else None]
+            out.items.append(skeleton(x))
+        elif x is not None and not x[0].isspace():
+            out.text = True
+    return _narrow(out, folded(out.items))
+
+
+def _narrow(node: Node, items: list[Node]) -> Node:
+    """node with these children, generalised if they are too many."""
+    if len(items) > WIDE and not node.free:
+        node.free = True
+        items = _kinds(items)
+    if len(items) > WIDE:
+        for x in items:
+            x.marks = ()
+        items = _kinds(items)
+    node.items = items
+    return node
+
+
+def _kinds(items: list[Node]) -> list[Node]:
+    """One optional and repeated node for each symbol of items, in the order of first appearance."""
+    found: dict = {}
+    for x in items:
+        x.optional = x.repeated = True
+        if x.symbol in found:
+            merge(found[x.symbol], x)
+        else:
+            found[x.symbol] = x
+    return list(found.values())
 
 
 def folded(items: list[Node]) -> list[Node]:
@@ -148,7 +208,7 @@ def folded(items: list[Node]) -> list[Node]:
         while again:
             again = False
             for n in range(1, REPEATED_GROUP + 1):
-                if len(out) >= 2 * n and [y.symbol for y in out[-n:]] == [y.symbol for y in out[-2 * n : -n]]:
+                if len(out) >= 2 * n and all(y.symbol == z.symbol for y, z in zip(out[-2 * n : -n], out[-n:], strict=True)):
                     for y, z in zip(out[-2 * n : -n], out[-n:], strict=True):
                         merge(y, z)
                         y.repeated = True
@@ -159,7 +219,7 @@ def folded(items: list[Node]) -> list[Node]:
 
 
 def _pairs(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
-    """Longest common subsequence of two lists of elements, by symbol."""
+    """Longest common subsequence of two lists of at most WIDE elements, by symbol."""
     x, y = [n.symbol for n in a], [n.symbol for n in b]
     if x == y:
         return [(i, i) for i in range(len(x))]
@@ -181,8 +241,10 @@ def _pairs(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
 
 def merge(a: Node, b: Node) -> Node:
     """a, generalised so that it also fits b: common elements are merged, the others become optional."""
-    a.slot = _merge_slots(a.slot, b.slot)
-    a.optional, a.repeated = a.optional or b.optional, a.repeated or b.repeated
+    a.text, a.optional, a.repeated = a.text or b.text, a.optional or b.optional, a.repeated or b.repeated
+    if a.free or b.free:
+        a.free = True
+        return _narrow(a, _kinds([*a.items, *b.items]))
     if not a.items and not b.items:
         return a
     items, i, j = [], 0, 0
@@ -193,52 +255,25 @@ def merge(a: Node, b: Node) -> Node:
         if p < len(a.items):
             items.append(merge(a.items[p], b.items[q]))
         i, j = p + 1, q + 1
-    a.items = folded(items) if len(items) > len(a.items) else items
-    return a
-
-
-def _beside(node: Node, inside_article: bool) -> bool:
-    if node.name in BESIDE or BESIDE_WORDS.intersection(node.marks) and node.name not in ("html", "body"):
-        return True
-    return not inside_article and (node.name == "header" or bool(HEADER_WORDS.intersection(node.marks)) and node.name not in ("html", "body"))
-
-
-def mark_main(wrapper: Node, pages: int) -> Node:
-    """Sets `main` on the elements whose slots are the article: those inside article or main elements and not beside the
-    article; in a wrapper without such elements, slots that are not mostly links and not the same on every page."""
-    inside, outside = [], []
-
-    def visit(node: Node, article: bool) -> None:
-        if _beside(node, article):
-            return
-        article = article or node.name in ARTICLE or "main" in node.marks and node.name == "div"
-        if node.slot:
-            (inside if article else outside).append(node)
-        for x in node.items:
-            visit(x, article)
-
-    visit(wrapper, False)
-    for node in inside:
-        node.main = True
-    if not inside:
-        for node in outside:
-            _, chars, linked, crc = node.slot
-            node.main = linked * 2 <= chars and (crc is None or pages < 5)
-    return wrapper
+    return _narrow(a, folded(items) if len(items) > len(a.items) else items)
 
 
 def to_json(node: Node) -> str:
     def plain(n: Node) -> list:
-        return [n.name, list(n.marks), n.optional, n.repeated, n.slot, n.main, [plain(x) for x in n.items]]
+        return [n.name, " ".join(n.marks), n.optional + 2 * n.repeated + 4 * n.text + 8 * n.free, [plain(x) for x in n.items]]
 
     return json.dumps(plain(node), separators=(",", ":"))
 
 
 def from_json(text: str) -> Node:
+    """A wrapper with its nodes numbered in the order of the text."""
+    numbers = iter(range(len(text)))
+
     def node(x: list) -> Node:
-        n = Node(x[0], tuple(x[1]))
-        n.optional, n.repeated, n.slot, n.main = x[2], x[3], x[4], x[5]
-        n.items = [node(y) for y in x[6]]
+        n = Node(x[0], tuple(x[1].split()))
+        n.number = next(numbers)
+        n.optional, n.repeated, n.text, n.free = (bool(x[2] & b) for b in (1, 2, 4, 8))
+        n.items = [node(y) for y in x[3]]
         return n
 
     return node(json.loads(text))
@@ -246,69 +281,93 @@ def from_json(text: str) -> Node:
 
 def as_expression(node: Node) -> str:
     """The wrapper as a regular expression over tags, with #text for slots."""
-    inner = ("#text" if node.slot else "") + "".join(as_expression(x) for x in node.items)
-    body = f"<{node.name}>{inner}</{node.name}>"
+    inner = "".join(as_expression(x) for x in node.items)
+    body = f"<{node.name}>{'#text' if node.text else ''}{f'({inner})*' if node.free else inner}</{node.name}>"
     return f"({body}){'*' if node.optional and node.repeated else '+' if node.repeated else '?'}" if node.optional or node.repeated else body
 
 
-def extract(page: str, wrapper: Node) -> str:
-    """Text of the page's main slots: one line for each block, white space inside a block as one space."""
-    blocks: list[str] = []
-    open_block: list[str] = []
+def aligned(children: list[Node], pattern: Node) -> list[Node | None]:
+    """The pattern's child for each of a page's; a repeated group of the pattern may take many."""
+    if pattern.places is None:
+        pattern.places = {}
+        for i, x in enumerate(pattern.items):
+            pattern.places.setdefault(x.symbol, []).append(i)
+    found, at = [], 0
+    for x in children:
+        places = pattern.places.get(x.symbol) or pattern.places.get((x.name, ()))
+        if places:
+            i = bisect_left(places, at)  # onwards, else back to an earlier repeated group
+            at = places[i] if i < len(places) else places[-1]
+        found.append(pattern.items[at] if places else None)
+    return found
 
-    def end() -> None:
-        if open_block:
-            if line := " ".join("".join(open_block).split()):
-                blocks.append(line)
-            open_block.clear()
 
-    def visit(node: Node, pattern: Node | None, article: bool) -> None:
-        main = pattern.main if pattern is not None else article
+def page_blocks(page: str, wrapper: Node) -> tuple[bool, list[tuple]]:
+    """Whether the page has an article with text, and its blocks that may be the article's, in order.
+
+    A block is (slot, box, linked, heading, after, text): the wrapper's node that it fills (-1: none), the outermost
+    container with a class beside the article (-1: none), characters in links, whether it is a heading, and the place of
+    the next block that is none (-1: none).
+    """
+    inside: list[tuple] = []
+    outside: list[tuple] = []
+
+    def visit(node: Node, pattern: Node | None, article: bool, box: int) -> None:
+        slot = -1 if pattern is None else pattern.number
         children = [x for x in node.items if isinstance(x, Node)]
-        partner = _aligned(children, pattern.items) if pattern is not None and children else {}
-        end()
+        partners = iter(aligned(children, pattern) if pattern is not None and children else [None] * len(children))
+        line: list[str] = []
+        linked = 0
+
+        def end() -> None:
+            nonlocal linked
+            if line:
+                if text := " ".join("".join(line).split()):
+                    (inside if article else outside).append((slot, box, min(linked, len(text)), node.name in HEADINGS, text))
+                line.clear()
+                linked = 0
+
         for x in node.items:
-            if x is None:
+            if isinstance(x, Node):
+                partner = next(partners)
+                if x.name in INLINE:
+                    continue
                 end()
-            elif isinstance(x, Node):
-                if not _beside(x, article or node.name in ARTICLE):
-                    visit(x, partner.get(id(x)), article or x.name in ARTICLE)
-                else:
-                    end()
-            elif main:
-                open_block.append(x[0])
+                if not x.is_beside and (article or x.name != "header"):
+                    there = partner.number if partner is not None else -2
+                    visit(x, partner, article or x.is_article, there if box == -1 and x.is_voted(article) else box)
+            elif x is None:
+                end()
+            else:
+                line.append(x[0])
+                linked += len(x[0].strip()) * x[1]
         end()
 
-    visit(parse(page), wrapper, False)
-    return "\n".join(blocks)
-
-
-def _aligned(children: list[Node], pattern: list[Node]) -> dict[int, Node]:
-    """The pattern's element for each child; a repeated group of the pattern may take many."""
-    found, at = {}, 0
-    for x in children:
-        for j in [*range(at, len(pattern)), *range(at - 1, -1, -1)]:  # onwards, then back to an earlier repeated group
-            if pattern[j].symbol == x.symbol:
-                found[id(x)] = pattern[j]
-                at = j
-                break
-    return found
+    visit(parse(page), wrapper, False, -1)
+    blocks = inside or outside
+    after, found = -1, []
+    for i in range(len(blocks) - 1, -1, -1):
+        *head, heading, text = blocks[i]
+        found.append((*head, heading, after, text))
+        after = after if heading else i
+    return bool(inside), found[::-1]
 
 
 WRAPPERS = "host string, pages long, wrapper string"
+PAGE_BLOCKS = "article boolean, blocks array<struct<slot:int,box:int,linked:int,heading:boolean,after:int,text:string>>"
 
 
 def _infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     found: dict[str, list] = {}
     for batch in batches:
         for host, page in zip(batch["host"], batch["html"], strict=True):
-            own = _skeleton(parse(page))
+            own = skeleton(parse(page))
             if host in found:
                 found[host][0] += 1
                 merge(found[host][1], own)
             else:
                 found[host] = [1, own]
-            if len(found) >= 20_000:  # a partial wrapper may go out at any time
+            if len(found) >= 5_000:  # a partial wrapper may go out at any time
                 yield _rows(found)
                 found = {}
     if found:
@@ -320,49 +379,105 @@ def _rows(found: dict[str, list]) -> pd.DataFrame:
 
 
 def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    whole, pages = None, int(rows["pages"].sum())
+    whole = None
     for text in sorted(rows["wrapper"], key=lambda t: (len(t), t)):
         part = from_json(text)
         whole = part if whole is None else merge(whole, part)
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "pages": [pages], "wrapper": [to_json(mark_main(whole, pages))]})
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "pages": [int(rows["pages"].sum())], "wrapper": [to_json(whole)]})
 
 
-def host_of(url):
+def host_of(url: Column) -> Column:
     """Host of a URL column; empty for null and for what has none."""
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, pages and wrapper (JSON) of pages (url, html)."""
+    """host, pages and wrapper (JSON) of pages (url, html): one row for each host.
+
+    Null urls and urls without a host share the host '', null and empty pages have the empty wrapper, repeated rows count
+    as pages, further columns are ignored, and no pages give no wrappers.
+    """
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    partial = save(rows.mapInPandas(_infer, WRAPPERS), "wrapper-parts")
-    return save(partial.groupBy("host").applyInPandas(_fold, WRAPPERS), "wrappers")
+    parts = save(rows.mapInPandas(_infer, WRAPPERS), "wrapper-parts")
+    while True:
+        most = parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+        deal = F.pmod(F.xxhash64("wrapper"), F.lit(-(-most // FAN) or 1))
+        before, parts = parts, save(parts.groupBy("host", deal.alias("deal")).applyInPandas(_fold, WRAPPERS), "wrappers")
+        forget(before)
+        if most <= FAN:
+            return parts
 
 
-@lru_cache(maxsize=2000)
+@lru_cache(maxsize=500)
 def _known(wrapper: str) -> Node:
     return from_json(wrapper)
 
 
-def main_text(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """pages (url, html, ...) with `main_text`: the article's blocks in page order, joined by newlines.
+EMPTY = '["#root","",0,[]]'
 
-    Null, empty and textless pages give an empty text; repeated rows are kept; a page whose host has no wrapper is judged by
-    its elements alone. Cut-off markup ends where the page ends.
-    """
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def with_blocks(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """row (the columns of pages but html), host, article and blocks of each page, as `page_blocks` gives them."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for pages_html, known in batches:
-            yield pd.Series([extract(p, _known(w)) if p and w else "" for p, w in zip(pages_html, known, strict=True)], dtype=object)
+            yield pd.DataFrame([page_blocks(p, _known(w)) if p else (False, []) for p, w in zip(pages_html, known, strict=True)], columns=["article", "blocks"])
+
+    row = F.struct(*[F.col(c) for c in pages.columns if c != "html"]).alias("row")
+    rows = pages.select(row, host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    own = wrappers.select(F.col("host").alias("of"), "wrapper")
+    rows = rows.join(own, F.col("host") == F.col("of"), "left")
+    found = F.pandas_udf(run, PAGE_BLOCKS)("html", F.coalesce("wrapper", F.lit(EMPTY)))
+    return rows.select("row", "host", found.alias("found")).select("row", "host", "found.*")
+
+
+def decisions(blocks: DataFrame) -> DataFrame:
+    """What each host's slots say: host, template (slots and hashes of texts), links (slots), boxes (containers to drop).
 
-    own = wrappers.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper"))
-    rows = pages.withColumn("_key", host_of(F.col("url"))).join(own, F.col("_key") == F.col("_host"), "left")
-    text = F.pandas_udf(run, "string")(F.coalesce("html", F.lit("")), F.coalesce("_wrapper", F.lit('["#root",[],false,false,null,false,[]]')))
-    return rows.withColumn("main_text", text).drop("_key", "_host", "_wrapper")
+    Pages with the same blocks count once. A template text is on most of the different pages that fill its slot, so a
+    host has at most twice as many as its pages have blocks on average.
+    """
+    of = lambda b: F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("hash"), F.length(b["text"]).alias("chars"), b["linked"].alias("linked"), b["box"].alias("box"))
+    slim = blocks.where(F.size("blocks") > 0).select("host", "article", F.transform("blocks", of).alias("blocks"))
+    key = F.xxhash64(F.transform("blocks", lambda b: b["hash"]))
+    pages = save(slim.groupBy("host", key.alias("page")).agg(F.min("article").alias("article"), F.min("blocks").alias("blocks")), "html-pages")
+    filled = pages.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["slot"]))).alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("filled"))
+    texts = pages.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b["slot"].alias("slot"), b["hash"].alias("hash"))))).alias("t"))
+    texts = texts.groupBy("host", "t.slot", "t.hash").agg(F.count("*").alias("n")).where((F.col("n") >= WITNESSES) & (F.col("slot") >= 0))
+    texts = texts.join(filled, ["host", "slot"]).where(F.col("n") * 2 > F.col("filled"))
+    template = texts.groupBy("host").agg(F.collect_set(F.struct("slot", "hash")).alias("template"))
+    each = pages.select("host", "article", F.explode("blocks").alias("b")).select("host", "article", "b.*")
+    links = each.where(~F.col("article") & (F.col("slot") >= 0)).groupBy("host", "slot").agg(F.sum("linked").alias("linked"), F.sum("chars").alias("chars"))
+    links = links.where(F.col("linked") * 2 > F.col("chars")).groupBy("host").agg(F.collect_set("slot").alias("links"))
+    boxed = each.groupBy("host", "box").agg(F.sum("chars").alias("chars"))
+    whole = boxed.groupBy("host").agg(F.sum("chars").alias("all"))
+    boxes = boxed.where(F.col("box") != -1).join(whole, "host").where(F.col("chars") * 2 < F.col("all")).groupBy("host").agg(F.collect_set("box").alias("boxes"))
+    return save(template.join(links, "host", "full").join(boxes, "host", "full"), "html-decisions")
+
+
+def main_text(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """The columns of pages (url, html, ...) but html, with `main_text`: the article's blocks in page order, joined by newlines.
+
+    Null, empty and textless pages give an empty text; repeated rows are kept; a page whose host has no wrapper, or fewer
+    than WITNESSES different pages, is judged by its elements and classes alone. Cut-off markup ends where the page ends. A
+    column `main_text` of pages is replaced, all others are kept, whatever their names; no pages give no rows.
+    """
+    columns = [c for c in pages.columns if c not in ("html", "main_text")]
+    blocks = save(with_blocks(pages, wrappers), "html-blocks")
+    judged = decisions(blocks).select(F.col("host").alias("of"), "template", "links", "boxes")
+    rows = blocks.join(judged, F.col("host") == F.col("of"), "left")
+    has = lambda c, x: F.coalesce(F.array_contains(F.col(c), x), F.lit(False))
+    gone = lambda b: (
+        has("template", F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("hash"))) | has("boxes", b["box"]) | (~F.col("article") & has("links", b["slot"]))
+    )
+    rows = rows.withColumn("kept", F.transform("blocks", lambda b: ~gone(b)))
+    stays = lambda b, i: F.get("kept", i) | (b["heading"] & (b["after"] >= 0) & F.coalesce(F.get("kept", b["after"]), F.lit(False)) & ~has("boxes", b["box"]))
+    text = F.array_join(F.transform(F.filter("blocks", stays), lambda b: b["text"]), "\n")
+    return rows.select(*[F.col("row")[c].alias(c) for c in columns], text.alias("main_text"))
 
 
 def op4_html(spark, sf_dir: str) -> DataFrame:
-    """Main text of all pages."""
+    """Main text of all pages; one row for each row of pages, null and empty ones included."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     found = main_text(pages, infer_wrappers(pages))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))

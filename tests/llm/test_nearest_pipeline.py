@@ -2,65 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heatloom.llm import nearest, wrappers
+from heatloom.llm import nearest
 from heatloom.llm.common import save
 
-PAGES = "page_id long, url string, html string, host string, wrapper string, main_text string"
-
-PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
-<header><h1>Site</h1></header><nav><ul><li><a href="/a">menu {n}</a></li><li><a href='/b'>x</a></li></ul></nav>
-<div class="cookie-notice">We use cookies</div><div class="ad">Buy {n}</div>
-<article><h1>Title&amp;more {n}</h1><p>First   <b>bold</b>te&eacute;xt {n}<p>Second &lt;b&gt; para<br></p>
-<ul><li>one</li><li>two {n}</li></ul><form><input name="q">Search</form><div class="comments"><p>reader {n}</p></div></article>
-<aside><p>side {n}</p></aside><footer>&copy; {n}</footer></body></html>"""
-WANT = "Title&more {n}\nFirst boldteéxt {n}\nSecond <b> para\none\ntwo {n}"
-
-
-def run(spark, rows):
-    pages = spark.createDataFrame([(i, u, h, "a", "b", "c") for i, u, h in rows], PAGES)
-    return {r["page_id"]: r["main_text"] for r in wrappers.main_text(pages.drop("main_text"), wrappers.infer_wrappers(pages)).collect()}
-
-
-def test_articles(spark):
-    rows = [(i, "https://a.example/" + str(i), PAGE.format(n=i)) for i in range(8)]
-    rows += [(20, None, None), (21, "x", ""), (22, "http://b.example", "just text\n & more"), (23, "http://a.example/9", PAGE.format(n=9)[: PAGE.index("<ul><li>one") + 20])]
-    rows += [(24, "http://c.example", "<div>" * 300 + "deep" + "</div>" * 300), (25, "http://c.example/2", "<p>" + "long " * 50_000)]
-    found = run(spark, rows)
-    assert len(found) == len(rows)
-    assert all(found[i] == WANT.format(n=i) for i in range(8))
-    assert found[20] == found[21] == "" and found[22] == "just text & more"
-    assert found[23].startswith("Title&more 9\nFirst boldteéxt 9\nSecond <b> para") and found[24] == "deep"
-    assert found[25] == ("long " * 50_000).strip()
-
-
-def test_pages_of_no_articles_drop_what_never_changes(spark):
-    page = '<body><div id="top"><p>Our site, since 1999</p></div><div id="links"><p><a href="/">home</a> <a href="/x">news of today {n}</a></p></div><div id="text"><p>Story {n}</p><p>More {n}</p></div></body>'
-    found = run(spark, [(i, "http://d.example/", page.format(n=i)) for i in range(6)])
-    assert found == {i: f"Story {i}\nMore {i}" for i in range(6)}
-
-
-def test_wrapper_is_an_expression():
-    """Repeated siblings become a group, what a page lacks becomes optional, all pages fit."""
-    a, b = "<ul><li>x</li><li>y</li></ul><p>t</p>", "<h2>k</h2><ul><li>z</li></ul>"
-    whole = wrappers.merge(wrappers._skeleton(wrappers.parse(a)), wrappers._skeleton(wrappers.parse(b)))
-    assert wrappers.as_expression(whole) == "<#root>(<h2>#text</h2>)?<ul>(<li>#text</li>)+</ul>(<p>#text</p>)?</#root>"
-    again = wrappers.from_json(wrappers.to_json(whole))
-    assert wrappers.as_expression(again) == wrappers.as_expression(whole)
-    pair = "<dl>" + "<dt>a</dt><dd>b</dd>" * 5 + "</dl>"
-    assert wrappers.as_expression(wrappers._skeleton(wrappers.parse(pair))) == "<#root><dl>(<dt>#text</dt>)+(<dd>#text</dd>)+</dl></#root>"
-
-
-def test_partial_wrappers_give_the_same_texts(spark):
-    rows = [(i, f"http://{'ab'[i % 2]}.example/{i}", PAGE.format(n=i)) for i in range(40)]
-    pages = spark.createDataFrame([(i, u, h, "a", "b", "c") for i, u, h in rows], PAGES)
-    many = {r["page_id"]: r["main_text"] for r in wrappers.main_text(pages, wrappers.infer_wrappers(pages.repartition(13))).collect()}
-    assert many == {i: WANT.format(n=i) for i in range(40)}
-
-
-def test_empty_pages(spark):
-    assert run(spark, []) == {}
-
-
 VECTORS = "vec_id long, embedding array<float>, label int, rank int, score string"
 
 

@@ -7,8 +7,9 @@ for ties), so no task sorts a node. Nodes, bounds and cuts are tables; none pass
 
 Every group goes through the tree. At a cut, groups of at least 1/HEAVY of the node's bytes (at most HEAVY of them) go to
 the side on which more of them lies; the cut of all smaller groups is then moved along the same coordinate until both sides
-match, so that no large group unbalances a node. Only a group of more than half a shard can't stay whole beside equal
-shares; its rows are dealt evenly to parts of about a quarter of a shard, and each part goes through the tree.
+match, so that no large group unbalances a node. Where these are too few for that, one large group changes sides, or two
+change places. Only a group of more than half a shard can't stay whole beside equal shares; its rows are dealt evenly to
+parts of about 1/PARTS of a shard, and each part goes through the tree.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from heatloom.llm.common import save
 from heatloom.tables import forget, in_ranges, running
 
 HEAVY = 64
+PARTS = 32
+#: A node whose sides are off by less than this share of its bytes is even.
+EVEN = 0.004
 BINS = 1024
 TIE_BITS = 12
 DIMS = ("chars", "origin", "tongue", "first_id")
@@ -55,6 +59,25 @@ def _first_reaching(counts: DataFrame, at: str, weight: str, goal: str) -> DataF
     return found.groupBy("lo").agg(F.min(F.struct(F.col(at).alias("at"), (F.col("upto") - F.col(weight)).alias("before"), F.col(weight).alias("w"))).alias("x")).select("lo", "x.*")
 
 
+def _evened(heavy: DataFrame, light_left: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The heavy groups (lo, ..., heavy_left) of all nodes; in those that are not even, the one change of sides or of places
+    that brings the left side nearest to its goal is made. A node has at most HEAVY of them."""
+    name = F.struct(*GROUP, "part").alias("name")
+    sums = light_left.select("lo", "bytes").unionByName(heavy.where("heavy_left").select("lo", "bytes")).groupBy("lo").agg(F.sum("bytes").alias("left"))
+    off = nodes.join(sums, "lo", "left").select("lo", (F.col("goal") - F.coalesce("left", F.lit(0))).alias("off"), (F.col("least") * HEAVY * EVEN).alias("least_off"))
+    off = off.where(F.abs("off") > F.col("least_off")).select("lo", "off")
+    sides = heavy.join(off, "lo").select("lo", "off", name, "bytes", "heavy_left")
+    ones = sides.select("lo", "off", F.when(F.col("heavy_left"), -F.col("bytes")).otherwise(F.col("bytes")).alias("gain"), F.array("name").alias("names"))
+    left = sides.where("heavy_left").select("lo", "off", F.col("name").alias("from"), F.col("bytes").alias("less"))
+    right = sides.where(~F.col("heavy_left")).select("lo", F.col("name").alias("to"), F.col("bytes").alias("more"))
+    twos = left.join(right, "lo").select("lo", "off", (F.col("more") - F.col("less")).alias("gain"), F.array("from", "to").alias("names"))
+    best = ones.unionByName(twos).withColumn("rest", F.abs(F.col("off") - F.col("gain"))).where(F.col("rest") < F.abs("off"))
+    best = best.groupBy("lo").agg(F.min(F.struct("rest", F.size("names"), "names"))["names"].alias("names"))
+    moved = heavy.withColumn("name", F.struct(*GROUP, "part")).join(best, "lo", "left")
+    changed = F.coalesce(F.array_contains("names", F.col("name")), F.lit(False))
+    return save(moved.select("lo", *GROUP, "part", (F.col("heavy_left") != changed).alias("heavy_left")), "kd-evened")
+
+
 def _split(rows: DataFrame, ranges: dict[str, float]) -> DataFrame:
     """rows (groups in nodes of shards lo to hi - 1) with the nodes that hold several shards cut in two."""
     open_ = rows.where("hi - lo > 1")
@@ -90,13 +113,14 @@ def _split(rows: DataFrame, ranges: dict[str, float]) -> DataFrame:
     fine = fine.join(cut, "lo").select("lo", (F.col("at") + F.when(F.col("rest") - F.col("before") >= F.col("w") / 2, 1).otherwise(0)).alias("cut_tie"))
     cut = save(cut.select("lo", "cut_bin").join(fine, "lo", "left"), "kd-ties")
 
-    placed = binned.join(cut, "lo", "left").join(heavy.drop("bytes"), ["lo", *GROUP, "part"], "left")
     light_left = (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("tie") < F.col("cut_tie")))
+    evened = _evened(heavy, split.where(~F.col("heavy")).join(cut, "lo").where(light_left), nodes)
+    placed = binned.join(cut, "lo", "left").join(evened, ["lo", *GROUP, "part"], "left")
     left = F.coalesce("heavy_left", light_left)
     lo, hi = (F.when(F.col("mid").isNull(), F.col(c)).when(left, a).otherwise(b) for c, a, b in (("lo", F.col("lo"), F.col("mid")), ("hi", F.col("mid"), F.col("hi"))))
     kept = [*GROUP, "part", "bytes", *DIMS]
     out = save(placed.select(*kept, lo.alias("lo"), hi.alias("hi")), "kd-level")
-    forget(nodes, binned, bins, heavy, cut)
+    forget(nodes, binned, bins, heavy, cut, evened)
     return out
 
 
@@ -139,8 +163,8 @@ def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None
     if target_bytes:
         shards = max(1, -(-total // target_bytes))
     leaf = total / shards
-    large = groups.where((F.col("bytes") > leaf / 2) & (F.col("rows") > 1) & F.lit(shards > 1))  # fewer than 2 * shards
-    large = save(large.select(*GROUP, F.least(F.col("rows"), F.ceil(F.col("bytes") * 4 / F.lit(leaf or 1.0))).alias("parts")), "kd-large")
+    large = groups.where((F.col("bytes") > leaf / 2) & (F.col("rows") > 1) & F.lit(shards > 1))  # fewer than 2 * shards groups
+    large = save(large.select(*GROUP, F.least(F.col("rows"), F.ceil(F.col("bytes") * PARTS / F.lit(leaf or 1.0))).alias("parts")), "kd-large")
     if not large.isEmpty():
         dealt = running(in_ranges(rows.join(large, GROUP), *GROUP, "doc_id"), [*GROUP, "doc_id"])
         dealt = save(dealt.withColumn("part", F.pmod("before", F.col("parts"))).select(rows.columns), "kd-dealt")

@@ -62,11 +62,13 @@ def test_toxicity(spark, toxic_folder):
 
 def test_training_ignores_the_held_out_fold(spark, toxic_folder):
     docs, labels = (spark.read.parquet(f"{toxic_folder}/{t}.parquet") for t in ("documents", "labels"))
-    texts, y = toxicity.training_rows(docs, labels, "toxic", 5, 0, 1500, 20_000)
+    texts, y = toxicity.training_rows(docs, labels, "toxic", 5, 0, 1500, 1 << 25)
     held = {r["text"] for r in docs.collect() if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0}
     assert not held & set(texts) and len(texts) == len(y) > 400
-    few, _ = toxicity.training_rows(docs, labels, "toxic", 5, 0, 10, 20_000)
+    few, _ = toxicity.training_rows(docs, labels, "toxic", 5, 0, 10, 1 << 25)
     assert len(few) == 20 and set(few) <= set(texts)
+    small, _ = toxicity.training_rows(docs, labels, "toxic", 5, 0, 1500, 20_000)
+    assert 10 < len(small) < len(texts) and sum(map(len, small)) < 50_000, "a class ends with the row that reaches its bytes"
 
 
 def test_subwords_by_hand():
@@ -82,10 +84,33 @@ def test_subwords_by_hand():
     assert set(b.tolist()) <= set(a.tolist())
 
 
-def test_chunks_join_to_the_text(monkeypatch):
-    monkeypatch.setattr(toxicity, "CHUNK", 16)
-    for text in ("", None, "word " * 20, "x" * 100, "a\n" * 33):
-        assert b"".join(toxicity.chunks(text)) == (text or "").encode()
+def test_chunks_cover_the_text(monkeypatch):
+    """Parts overlap by SHARED bytes, so every passage of ordinary words lies whole in one of them."""
+    whole = np.random.default_rng(3).normal(size=toxicity.BUCKETS)
+    texts = ["", None, "word " * 20, "x" * 100, "a\n" * 33, " ".join(f"w{i * i}" for i in range(90))]
+    scores = [toxicity.worst_passage(t, whole) for t in texts]
+    monkeypatch.setattr(toxicity, "CHUNK", 64)
+    monkeypatch.setattr(toxicity, "SHARED", 32)
+    for text, score in zip(texts, scores, strict=True):
+        raw, parts = (text or "").encode(), list(toxicity.chunks(text))
+        assert parts[0] + b"".join(p[32:] for p in parts[1:]) == raw
+        assert toxicity.worst_passage(text, whole) >= score or text == "x" * 100
+
+
+def test_a_word_in_front_moves_nothing():
+    """Passages overlap, so what stands before a text leaves its worst passage as it is."""
+    margin = np.random.default_rng(4).normal(size=toxicity.BUCKETS)
+    text = "some quite plain words and a numskull among them"
+    alone = toxicity.worst_passage(text, margin)
+    for front in ("x", "a b", "three more words"):
+        assert toxicity.worst_passage(f"{front} {text}", margin) >= alone - 1e-12
+    means = [toxicity.passage_means(margin, *toxicity.subwords(p.encode()))[0] for p in zip_words(text, toxicity.PASSAGE)]
+    assert alone == pytest.approx(max(means))
+
+
+def zip_words(text, n):
+    words = text.split()
+    return [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
 
 
 def test_models_without_labels(spark, tmp_path):

@@ -1,6 +1,8 @@
 import base64
 import hashlib
 import io
+import re
+import uuid
 from collections import Counter, defaultdict
 
 import duckdb
@@ -58,7 +60,9 @@ def test_bundles_are_seekable_files(spark, tmp_path, monkeypatch):
     for r in index[::17]:
         data = (tmp_path / f"{r['bundle_id']}.warc.zst").read_bytes()
         record = warc.read_record(data, r["frame"], r["offset"], r["length"])
-        fields, _ = warc.parse_record(record)
+        fields, http, payload = warc.parse_record(record)
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["warc-date"]) and fields["content-type"] == "application/http; msgtype=response"
+        assert http["content-type"].startswith("text/html") and (len(payload) == int(http["content-length"]) or fields["warc-type"] == "revisit")
         assert record.startswith(b"WARC/1.1\r\n") and fields["warc-record-id"] == r["record_id"]
         # An ordinary reader sees one stream; the seek table is a skippable frame.
         whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read()
@@ -74,14 +78,24 @@ def test_minimum_size_of_revisits(spark):
 def test_frames_and_damage():
     bundle = warc._Bundle()
     for i in range(40):
-        bundle.add(warc.record_name(i), warc.warc_record(i, None, bytes([i]) * 20_000, 20_000, "d", None))
+        bundle.add(warc.record_name(i), warc.warc_record(i, None, bytes([i]) * 20_000, 20_000, "d", None, "2024-05-01T00:00:00Z"))
     row = bundle.row("x").iloc[0]
     assert len(warc.frame_starts(row["data"])) > 2
-    assert warc.parse_record(warc.read_record(row["data"], *[row["index"][33][k] for k in ("frame", "offset", "length")]))[1] == bytes([33]) * 20_000
+    assert warc.parse_record(warc.read_record(row["data"], *[row["index"][33][k] for k in ("frame", "offset", "length")]))[2] == bytes([33]) * 20_000
     with pytest.raises(ValueError):
         warc.frame_starts(b"no bundle at all")
 
 
+def test_names_and_urls():
+    for page_id in (None, 0, 1, -1, 2**63 - 1, -(2**63), 1 << 62):
+        name = warc.record_name(page_id)
+        assert warc.page_of(name) == page_id and uuid.UUID(name[len("<urn:uuid:") : -1]).version == 8
+    record = warc.warc_record(5, "http://a.example/a b\r\nc?x=é", b"p", 1, "d", 9, "2024-05-01T00:00:00Z")
+    fields, _, payload = warc.parse_record(record)
+    assert fields["warc-target-uri"] == "http://a.example/a%20b%0D%0Ac?x=é" and fields["warc-type"] == "revisit"
+    assert fields["warc-refers-to"] == warc.record_name(9) and payload == b"p"
+
+
 def test_empty_pages(spark):
     assert warc.read_bundles(save(warc.write_bundles(spark.createDataFrame([], PAGES)), "b")).count() == 0
 

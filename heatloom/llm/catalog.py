@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.OP2_SQL, "op3_mixing": mixing.OP3_SQL}
+    return {"op2_warc": warc.OP2_SQL, "op3_mixing": mixing.OP3_SQL, "op8_nearest": nearest.OP8_SQL}

@@ -98,7 +98,8 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, curves: tup
         share = (i * F.col("source_size") + F.col("before")) / F.col("target")
         return F.struct(F.least(F.col("size"), F.col("taken") - i * F.col("size")).alias("words"), due_time(share, F.col("levels")).alias("time"))
 
-    return rows.select(*[F.col("row")[c].alias(c) for c in columns], "source_size", "target", "taken", F.transform(indices, copy).alias("copies"))
+    rows = rows.select("row", "source_size", "target", "taken", F.transform(indices, copy).alias("copies"))
+    return rows.select(*[F.col("row")[c].alias(c) for c in columns], "source_size", "target", "taken", "copies")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

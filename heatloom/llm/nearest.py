@@ -257,11 +257,11 @@ def op8_nearest(spark, sf_dir: str) -> DataFrame:
 OP8_SQL = """
 WITH v AS (
   SELECT vec_id, embedding AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 p AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         sqrt(list_sum(list_transform(range(1, len(q.e) + 1), i -> pow(CAST(q.e[i] AS DOUBLE) - CAST(c.e[i] AS DOUBLE), 2)))) AS score
+         sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (CAST(q.e[i] AS DOUBLE) - CAST(c.e[i] AS DOUBLE)) * (CAST(q.e[i] AS DOUBLE) - CAST(c.e[i] AS DOUBLE))), lambda a, b: a + b)) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INT) AS rank, vec_id, score
 FROM p QUALIFY rank <= 10

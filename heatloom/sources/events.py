@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from heatloom.functions import names
 from heatloom.operators import tiles, tracks
 from heatloom.schemas import STYLES
-from heatloom.tables import new_folder, rename_parts
+from heatloom.tables import new_folder, rename_parts, save
 
 
 def trackpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def stored_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Stored tracks (the first half) and an import batch that has every status."""
-    whole = stored_tracks(spark, sf_dir).select("track_id", "filename", "file_hash", "content_hash", "num_points")
+    whole = save(stored_tracks(spark, sf_dir).select("track_id", "filename", "file_hash", "content_hash", "num_points"), "stored")
     half = F.floor(whole.select(F.max("track_id").alias("m")).first()["m"] / F.lit(2))
     stored, new = whole.where(F.col("track_id") <= half), whole.where(F.col("track_id") > half)
     t = F.col("track_id")

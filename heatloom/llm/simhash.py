@@ -241,12 +241,12 @@ def _across_components(met: DataFrame, links: DataFrame, shingles: DataFrame, si
     rows = rows.withColumn("part", F.when(is_inner, F.col("outer") + place).otherwise(place))
     others = F.when(is_inner, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
     rows = save(rows.select("word", "id", "root", "part", others.cast("long").alias("others")), "near-across")
-    n = rows.count()
+    n = rows.agg(F.sum(F.col("others") + 1)).first()[0]  # rows of all blocks
     if not n:
         return links.limit(0)
     blocks = rows.join(shingles, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others"))))
     blocks = blocks.select("word", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "root", "shingles")
-    dealt = blocks.withColumn("deal", F.pmod(F.xxhash64("word", "i", "j"), F.lit(1 + n // BLOCK)))
+    dealt = blocks.withColumn("deal", F.pmod(F.xxhash64("word", "i", "j"), F.lit(1 + n // BLOCK)))  # a block or two each
     return dealt.groupBy("deal").applyInPandas(_links_across(similarity), "a long, b long").distinct()
 
 

@@ -66,14 +66,15 @@ def sketch_text(a: Column) -> Column:
 BUCKET_BYTES = 16 << 20
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, carried: list[str], sketch: str | None = None) -> DataFrame:
     """docs (doc_id, text, ...) with next_<column> of the next row by doc_id (ties: by text hash); the last gets the first.
 
+    With the name of a `sketch`, rows also get a column of that name, the sketch of their text, and that of the next row.
     Null ids come first; of repeated rows each has another as its next. Columns of docs named next_<column> are replaced;
     all others are kept, whatever their names. Rows go to buckets of neighbouring (id, hash), and each bucket also gets the
     first row of the next one, so that one window over buckets is enough and no task orders the whole table.
     """
-    replaced = {f"next_{c}" for c in carried}
+    replaced = [f"next_{c}" for c in carried] + ([sketch, f"next_{sketch}"] if sketch else [])
     row = F.struct(*[F.col(c) for c in docs.columns if c not in replaced]).alias("row")
     keyed = docs.select(row, F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes"))
     size = keyed.agg(F.sum("bytes")).first()[0] or 0
@@ -85,7 +86,10 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     guests = guests.select("row", "key", "hash", F.col("back").alias("bucket"), F.lit(1).alias("guest"))
     rows = keyed.select("row", "key", "hash", "bucket", F.lit(0).alias("guest")).unionByName(guests)
     order = Window.partitionBy("bucket").orderBy("guest", "key", "hash")
-    rows = rows.select("row", "guest", *[F.lead(f"row.{c}").over(order).alias(f"next_{c}") for c in carried])
+    own = []
+    if sketch:  # once for each row: what came before needed ids only
+        rows, own = with_sketch(rows, "row.text", "sketch"), [F.col("sketch").alias(sketch), F.lead("sketch").over(order).alias(f"next_{sketch}")]
+    rows = rows.select("row", "guest", *[F.lead(f"row.{c}").over(order).alias(f"next_{c}") for c in carried], *own)
     kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in replaced]
     return rows.where(F.col("guest") == 0).select(*kept, *replaced)
 
@@ -95,7 +99,7 @@ def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
 
     A null text counts as empty; a single document is its own next; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_sketch(docs, "text", "sketch"), ["text", "sketch"])
+    rows = with_next(docs, ["text"], "sketch")
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), n - cut), F.col("next_text").substr(F.lit(1), cut)))

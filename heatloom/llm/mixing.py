@@ -18,7 +18,7 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Relative weight at the start, the middle and the end of the run, for sources of each of WEIGHTS.
 CURVES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 4_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:

@@ -44,6 +44,8 @@ def with_bounds(tiles: DataFrame, padding: float = 0.0) -> DataFrame:
 
 #: Zoom of the cells by which stored points are laid out: at most 4^8 cells, so a list of them is bounded.
 CELL_ZOOM = 8
+#: The deepest zoom whose cells are wider than a segment (1 km) up to the map's last latitude, where they measure 1.7 km.
+NEAR_ZOOM = 11
 
 
 def cell_of(x: Column, y: Column, z: Column | int, zoom: int = CELL_ZOOM) -> Column:
@@ -60,11 +62,11 @@ def with_cell(points: DataFrame) -> DataFrame:
 def points_near(points: DataFrame, wanted: DataFrame, first: int) -> DataFrame:
     """The points that drawing wanted tiles of zoom `first` and deeper can need.
 
-    These lie in the wanted tiles' ancestors three zooms above `first` or in the eight cells around one: the padded box of a
-    tile, its margin and a segment of 1 km beyond are all smaller than such a cell. If points have a column `cell` (that of
+    These lie in the wanted tiles' ancestors three zooms above `first` (at NEAR_ZOOM for deep zooms) or in the eight cells
+    around one: the padded box of a tile, its margin and a segment of 1 km beyond are all smaller than such a cell. If points have a column `cell` (that of
     `with_cell`, the folders of a stored table), only these cells' files are read; the list of them is bounded by 4^CELL_ZOOM.
     """
-    zoom = first - 3
+    zoom = min(first - 3, NEAR_ZOOM)
     if zoom < 2:
         return points.drop("cell")
     up = F.col("z") - zoom

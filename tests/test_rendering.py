@@ -47,6 +47,16 @@ def test_pruned_drawing_equals_full(spark, place):
     assert draw(True) == draw(False)
 
 
+@pytest.mark.parametrize("lat", [46.5, 84.5])
+def test_long_segments_into_a_deep_tile(spark, lat):
+    """Segments of 0.9 km reach tiles of zoom 18 from points that lie many such tiles away."""
+    east = float(0.9 / 111.19 / np.cos(np.radians(lat)))
+    points = spark.createDataFrame([(t, s, lat + 0.002 * t, 10.0 + east * (s + 0.3 * t)) for t in range(3) for s in range(1, 9)], TRACKPOINTS)
+    wanted = tiles.data_tiles(points.where("track_id = 1 AND seq = 4"), 18, 18)
+    draw = lambda prune: sorted(map(tuple, render.drawn_segments(tiles.with_cell(points), wanted, 18, 18, prune=prune).collect()))
+    assert draw(True) == draw(False) and len(draw(True)) >= 2
+
+
 def test_overviews_have_a_row_for_each_track_and_pixel(spark):
     """Thousands of points within a pixel come to the tile as one row for each track."""
     rows = [(t, s, 46.5 + 0.00001 * (s % 50), -87.5 + 0.00001 * (s % 70)) for t in range(3) for s in range(1, 1500)]

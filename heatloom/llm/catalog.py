@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heatloom.llm import kd_shards, mixing, nearest, packing, quality, simhash, sketches, toxicity, warc, wrappers
+from heatloom.llm import kd_shards, mixing, nearest, packing, quality, ranked, resampling, secrets, simhash, sketches, toxicity, warc, wrappers
 
 
 def queries() -> dict:
@@ -17,8 +17,18 @@ def queries() -> dict:
         "op8_nearest": nearest.op8_nearest,
         "op9_packing": packing.op9_packing,
         "op10_quality": quality.op10_quality,
+        "op11_ranked_search": ranked.op11_ranked_search,
+        "op12_secrets": secrets.op12_secrets,
+        "op13_resampling": resampling.op13_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.OP2_SQL, "op3_mixing": mixing.OP3_SQL, "op8_nearest": nearest.OP8_SQL}
+    return {
+        "op2_warc": warc.OP2_SQL,
+        "op3_mixing": mixing.OP3_SQL,
+        "op8_nearest": nearest.OP8_SQL,
+        "op11_ranked_search": ranked.OP11_SQL,
+        "op12_secrets": secrets.OP12_SQL,
+        "op13_resampling": resampling.OP13_SQL,
+    }

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heatloom.tables import forget, new_folder, save, shared_dir
 
-__all__ = ["forget", "new_folder", "save", "shared_dir", "small_table", "table", "words", "word_count", "range_buckets"]
+__all__ = ["forget", "new_folder", "save", "shared_dir", "small_table", "table", "term_slices", "words", "word_count", "range_buckets"]
 
 #: White space that separates words.
 SPACES = " \t\n\x0b\f\r"
@@ -30,6 +32,21 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+#: Bytes of a term as they are, capitals in lower case, a space for every other byte.
+_TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+
+
+def term_slices(text: bytes | None, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The terms of a UTF-8 text, in order, in lists of about `size` bytes of text: maximal runs of ASCII digits and letters and
+    of characters beyond ASCII, only A-Z in lower case. A list ends between terms; null has none."""
+    plain, at = (text or b"").translate(_TERM_BYTES), 0
+    while at < len(plain):
+        end = plain.find(b" ", at + size)
+        end = len(plain) if end < 0 else end
+        yield plain[at:end].split()
+        at = end
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, T._parse_datatype_string(schema))
 

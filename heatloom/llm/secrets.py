@@ -8,6 +8,9 @@ a range frame over each scope's parts in order, so no pairs are made.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,15 +31,15 @@ def _setting(words: str, value: str) -> str:
 ASSIGN = _setting("password|passwd|secret|token|api_?key", "[A-Za-z0-9+/_.=-]+")
 LOGIN = _setting("username|user|login|account|client_?id|key_?id", "[A-Za-z0-9@._+-]+")
 
-#: Kinds in the order of equal starts: a pattern, and a test of the match that must hold too (None: no other). No match of
-#: these has a line end in it.
+#: Kinds in the order of equal starts: a pattern; a test of the match that must hold too (None: no other); and words of which a
+#: text with a match has one, in lower case (none: nothing is known), because they are found faster. No match has a line end.
 KINDS = {
-    "assign": (ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 12),
-    "access": (r"AKIA[A-Z0-9]{14,}", None),
-    "hex": (r"[0-9a-f]{16,}", None),
-    "login": (LOGIN, lambda m: F.length(F.regexp_extract(m, LOGIN, 2)) >= 3),
-    "bare": (r"[A-Za-z0-9+/]{20,}={0,2}", lambda m: m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]")),
-    "endpoint": (r"""(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\x00-\x20"'<>]+""", None),
+    "assign": (ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 12, ["password", "passwd", "secret", "token", "api"]),
+    "access": (r"AKIA[A-Z0-9]{14,}", None, ["akia"]),
+    "hex": (r"[0-9a-f]{16,}", None, []),
+    "login": (LOGIN, lambda m: F.length(F.regexp_extract(m, LOGIN, 2)) >= 3, ["user", "login", "account", "client", "key"]),
+    "bare": (r"[A-Za-z0-9+/]{20,}={0,2}", lambda m: m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]"), []),
+    "endpoint": (r"""(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\x00-\x20"'<>]+""", None, ["://"]),
 }
 #: Kinds that are reported wherever they stand.
 BASE = ["assign", "access", "hex"]
@@ -48,15 +51,25 @@ REACH = 400
 _PART = "array<struct<kind: int, number: int, gap: int, length: int, holds: boolean>>"
 
 
-def _matches(text: Column, pattern: str, kind: int, holds=None) -> Column:
-    """All leftmost matches of a pattern that do not overlap: how far each is from the one before, its length and its test."""
+def _matches(kind: str, only: Column | None = None) -> Column:
+    """All leftmost matches in `text` that do not overlap: how far each is from the one before, its length and its test.
+
+    Only texts that pass `only` are looked at.
+    """
+    pattern, holds, hints = KINDS.get(kind, (BREAK, None, []))
+    text, number = F.col("text"), [*KINDS, "break"].index(kind)
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    both = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap")))  # each text is read once for each
+    both = F.filter(both, lambda x: x["m"].isNotNull())  # the last gap has no match behind it
 
-    def part(m: Column, i: Column) -> Column:
-        good = holds(m) if holds else F.lit(True)
-        return F.struct(F.lit(kind).alias("kind"), i.alias("number"), F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("length"), good.alias("holds"))
+    def part(x: Column, i: Column) -> Column:
+        good = holds(x["m"]) if holds else F.lit(True)
+        return F.struct(F.lit(number).alias("kind"), i.alias("number"), x["gap"].alias("gap"), F.length(x["m"]).alias("length"), good.alias("holds"))
 
-    return F.when(text.rlike(pattern), F.transform(found, part)).otherwise(F.array().cast(_PART)).cast(_PART)
+    there = text.rlike(pattern)
+    if hints:
+        there = reduce(or_, [F.contains("lowered", F.lit(h)) for h in hints]) & there
+    return F.when(there if only is None else only & there, F.transform(both, part)).otherwise(F.array().cast(_PART)).cast(_PART)
 
 
 def spans(docs: DataFrame, carried: tuple = ("doc_id",), reach: int = REACH) -> DataFrame:
@@ -66,15 +79,17 @@ def spans(docs: DataFrame, carried: tuple = ("doc_id",), reach: int = REACH) ->
     like any text without parts, has an empty array; repeated rows are rows of their own; an empty table stays empty. Texts are
     searched whole where they are read; from there only places move, in one shuffle by row.
     """
-    text, empty = F.coalesce("text", F.lit("")), F.array().cast(_PART)
-    found = {kind: _matches(text, pattern, number, holds) for number, (kind, (pattern, holds)) in enumerate(KINDS.items())}
-    row = F.struct(*carried).alias("row")
-    rows = docs.select(row, F.monotonically_increasing_id().alias("key"), text.alias("text"), *[found[k].alias(k) for k in KINDS])
-    there = {kind: F.exists(kind, lambda p: p["holds"]) for kind in KINDS}
-    identified, proven = there["access"] | there["login"], there["assign"] | there["hex"] | there["bare"]
-    useful = identified & proven & (there["login"] | there["bare"] | there["endpoint"])
-    weak = F.concat("login", "bare", "endpoint", _matches(F.col("text"), BREAK, len(KINDS)))
-    parts = F.concat(*BASE, F.when(useful, weak).otherwise(empty)).alias("parts")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct(*carried).alias("row"), F.monotonically_increasing_id().alias("key"), text.alias("text"), F.lower(text).alias("lowered"))
+    first = [*BASE, "login"]
+    rows = rows.select("*", *[_matches(k).alias(k) for k in first])
+    has = lambda kind: F.exists(kind, lambda p: p["holds"])
+    rows = rows.withColumn("identified", has("access") | has("login"))
+    rows = rows.select("*", *[_matches(k, F.col("identified")).alias(k) for k in ("bare", "endpoint")])
+    proven, weak = has("assign") | has("hex") | has("bare"), has("login") | has("bare") | has("endpoint")
+    rows = rows.withColumn("useful", F.col("identified") & proven & weak)
+    weak = F.concat("login", "bare", "endpoint", _matches("break"))
+    parts = F.concat(*BASE, F.when(F.col("useful"), weak).otherwise(F.array().cast(_PART))).alias("parts")
     rows = save(rows.select("row", "key", parts), "secret-parts")
     placed = rows.select("row", "key", F.explode_outer("parts").alias("part")).select("row", "key", "part.*").repartition("key")
     upto = Window.partitionBy("key", "kind").orderBy("number")
@@ -121,7 +136,7 @@ def _sql() -> str:
         "login": f"length(regexp_extract(m, {quoted(LOGIN)}, 2)) >= 3",
         "bare": "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')",
     }
-    patterns = [*((kind, pattern) for kind, (pattern, _) in KINDS.items()), ("break", BREAK)]
+    patterns = [*((kind, pattern) for kind, (pattern, _, _) in KINDS.items()), ("break", BREAK)]
     found = "\nUNION ALL\n".join(
         f"  SELECT r, {i} AS kind, generate_subscripts(ms, 1) AS number, unnest(ms) AS m, unnest(gs[1 : len(ms)]) AS gap FROM (SELECT r, regexp_extract_all(text, {quoted(p)}, 0) AS ms, string_split_regex(text, {quoted(p)}) AS gs FROM d)"
         for i, (_, p) in enumerate(patterns)

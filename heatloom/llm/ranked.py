@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from heatloom.llm.common import save, table, term_slices
 
-#: Documents in a window; sums of 8 bytes, so 128 KiB.
+#: Documents in a window (1 << 16 at most); sums of 8 bytes, so 128 KiB.
 WINDOW = 1 << 14
 #: Postings in a row of the index.
 PIECE = 1 << 12
@@ -58,7 +58,7 @@ class _Postings:
         self.slots.append(slot)
         self.sizes.append(len(found))
 
-    def rows(self, window: int) -> Iterator[pa.RecordBatch]:
+    def rows(self, window: int, piece: int) -> Iterator[pa.RecordBatch]:
         """Rows of the index, by term, in pieces; then nothing waits."""
         terms = np.frombuffer(self.terms, np.uint32)
         if len(terms):
@@ -68,7 +68,7 @@ class _Postings:
             place = np.arange(len(terms))
             terms = terms[order]
             first = np.searchsorted(terms, terms)
-            starts = np.flatnonzero((place - first) % PIECE == 0)
+            starts = np.flatnonzero((place - first) % piece == 0)
             ends = np.append(starts, len(terms))
             names = pa.array(list(self.numbers), pa.binary()).take(pa.array(terms[starts]))
             n = len(starts)
@@ -85,40 +85,44 @@ def _directory(window: int, ids: list, lengths: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["window", "term", "postings", "slots", "counts", "ids", "lengths"])
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _index(size: int, piece: int, held: int):
     """Sorted (doc_id, text as bytes) to rows of the index."""
-    window, waiting, ids, lengths = TaskContext.get().partitionId() << 32, _Postings(), [], []
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = Counter()
-            for terms in term_slices(text.as_py()):
-                found.update(terms)
-            if not found:
-                continue
-            waiting.add(len(ids), found)
-            ids.append(doc_id)
-            lengths.append(found.total())
-            if len(waiting.terms) >= HELD or len(ids) == WINDOW:
-                yield from waiting.rows(window)
-            if len(ids) == WINDOW:
-                yield _directory(window, ids, lengths)
-                window, ids, lengths = window + 1, [], []
-    yield from waiting.rows(window)
-    if ids:
-        yield _directory(window, ids, lengths)
-
-
-def build_index(docs: DataFrame) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window, waiting, ids, lengths = TaskContext.get().partitionId() << 32, _Postings(), [], []
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = Counter()
+                for terms in term_slices(text.as_py()):
+                    found.update(terms)
+                if not found:
+                    continue
+                waiting.add(len(ids), found)
+                ids.append(doc_id)
+                lengths.append(found.total())
+                if len(waiting.terms) >= held or len(ids) == size:
+                    yield from waiting.rows(window, piece)
+                if len(ids) == size:
+                    yield _directory(window, ids, lengths)
+                    window, ids, lengths = window + 1, [], []
+        yield from waiting.rows(window, piece)
+        if ids:
+            yield _directory(window, ids, lengths)
+
+    return run
+
+
+def build_index(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, held: int = HELD) -> DataFrame:
     """The index of docs (doc_id long, text), saved; other columns don't matter.
 
     Documents without a term (null, empty or blank texts) are not in it. Rows of one doc_id are documents of their own; null ids
-    come last. Texts are sorted by range once, and rows of one id may go to several tasks; a task holds HELD postings and one
-    text at a time. An empty table gives an empty index.
+    come last. Texts are sorted by range once, and rows of one id may go to several tasks; a task holds `held` postings
+    and one text at a time. An empty table gives an empty index.
     """
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.rand(7).alias("__any"))
     by_id = F.col("doc_id").asc_nulls_last()
     rows = rows.repartitionByRange(by_id, "__any").sortWithinPartitions(by_id).drop("__any")
-    return save(rows.mapInArrow(_index, INDEX), "lexical-index")
+    return save(rows.mapInArrow(_index(window, piece, held), INDEX), "lexical-index")
 
 
 def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +136,8 @@ def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Best:
     """Heaps of the best documents of the items of one block."""
 
-    def __init__(self, best: int):
-        self.best, self.heaps, self.sums, self.passed = best, {}, np.zeros(WINDOW, np.int64), 0
+    def __init__(self, best: int, size: int):
+        self.best, self.heaps, self.sums, self.passed = best, {}, np.zeros(size, np.int64), 0
 
     def window(self, ids: list, items: dict) -> None:
         """Adds a window: the ids of its documents, and for each item the (slots, gains, occupied) of its terms' postings.
@@ -142,7 +146,7 @@ class _Best:
         """
         sums = self.sums
         for item, pieces in items.items():
-            occupied = np.zeros(WINDOW // 8, np.uint8)
+            occupied = np.zeros(-(-len(sums) // 8), np.uint8)
             for slots, gains, bits in pieces:
                 sums[slots] += gains
                 occupied |= bits
@@ -166,24 +170,24 @@ class _Best:
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(heap), pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], names=["item_id", "doc_id", "score"])
 
 
-def _scores(documents: int, terms: int, best: int):
+def _scores(documents: int, terms: int, best: int, size: int):
     """Sorted rows (block, window, weight, items, slots, counts, ids, lengths), a window's directory first, to SCORED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, found, ids, norms, items = None, _Best(best), [], None, {}
+        at, found, ids, norms, items = None, _Best(best, size), [], None, {}
         for batch in batches:
             for row in batch.to_pylist():
                 if row["ids"] is not None:
                     found.window(ids, items)
                     if at != row["block"]:
                         yield from found.rows()
-                        at, found = row["block"], _Best(best)
+                        at, found = row["block"], _Best(best, size)
                     ids, items = row["ids"], defaultdict(list)
                     norms = 20 * (100 - 50 + 50 * np.array(row["lengths"], np.int64) * documents // terms)
                     continue
                 slots, counts = np.frombuffer(row["slots"], np.uint16), np.frombuffer(row["counts"], np.uint32).astype(np.int64)
                 gains = row["weight"] * (1_000_000_000 * counts // (1000 * counts + norms[slots]))
-                here = np.zeros(WINDOW, bool)
+                here = np.zeros(size, bool)
                 here[slots] = True
                 piece = slots, gains, np.packbits(here, bitorder="little")
                 for item in row["items"]:
@@ -194,13 +198,13 @@ def _scores(documents: int, terms: int, best: int):
     return run
 
 
-def search(index: DataFrame, items: DataFrame, best: int = BEST) -> DataFrame:
+def search(index: DataFrame, items: DataFrame, best: int = BEST, window: int = WINDOW, together: int = ITEMS) -> DataFrame:
     """The `best` documents of `build_index` for each of items (item_id long, text), as (item_id, rank, doc_id, score).
 
     Only scores above 0 count; equal scores rank by ascending doc_id, null ids last, and rows of one doc_id have ranks of their
     own. Rows of one item_id are one item with the terms of all, null ids included; an item without terms, or that no document
-    meets, has no rows; nor has an empty index. Items go in blocks of about ITEMS, each of which meets every window: the
-    postings of a term are read once and copied only to the blocks that hold the term. A task holds the postings of one window
+    meets, has no rows; nor has an empty index. Items go in blocks of about `together`, each of which meets every `window` of the index:
+    the postings of a term are read once and copied only to the blocks that hold the term. A task holds the postings of one window
     for one block and `best` entries an item; what tasks found is cut to `best` in two steps. All but the weights is 64-bit
     integer arithmetic, so 50 x length x documents must be below 2^63.
     """
@@ -209,7 +213,7 @@ def search(index: DataFrame, items: DataFrame, best: int = BEST) -> DataFrame:
     documents, terms = directory.agg(F.coalesce(F.sum("postings"), F.lit(0)), F.coalesce(F.sum(length), F.lit(0))).first()
     wanted = items.select("item_id", F.col("text").cast("binary").alias("text")).mapInArrow(_item_terms, "item_id long, term binary")
     wanted = save(wanted.distinct(), "lexical-items")
-    blocks = -(-wanted.select("item_id").distinct().count() // ITEMS) or 1
+    blocks = -(-wanted.select("item_id").distinct().count() // together) or 1
     postings = index.where(F.col("term").isNotNull())
     counted = postings.join(wanted.select("term").distinct(), "term").groupBy("term").agg(F.sum("postings").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(2.0 * documents + 2) / (2 * F.col("df") + 1)))
@@ -221,7 +225,7 @@ def search(index: DataFrame, items: DataFrame, best: int = BEST) -> DataFrame:
     rows = postings.join(wanted, "term").select(columns)
     rows = rows.unionByName(directory.withColumn("block", every).select("block", "window", "ids", "lengths"), allowMissingColumns=True)
     rows = rows.repartition("block", "window").sortWithinPartitions("block", "window", F.col("ids").isNull())
-    found = rows.mapInArrow(_scores(documents, terms, best), SCORED)
+    found = rows.mapInArrow(_scores(documents, terms, best, window), SCORED)
     order = [F.desc("score"), F.col("doc_id").asc_nulls_last()]
     part = F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part")
     found = found.select("*", part).withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "part").orderBy(*order))).where(F.col("rank") <= best)

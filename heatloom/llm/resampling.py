@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,8 +112,8 @@ def _order() -> list[Column]:
     return [F.desc("score"), F.col("doc_id").asc_nulls_last(), F.asc("key")]
 
 
-def _pieces(bounds: list[tuple]):
-    """Rows of a sorted run to pieces of at most PIECE rows, cut at the bounds of slices."""
+def _pieces(bounds: list[tuple], piece: int):
+    """Rows of a sorted run to pieces of at most `piece` rows, cut at the bounds of slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,11 +121,11 @@ def _pieces(bounds: list[tuple]):
             ranks = list(map(_rank, *columns.values()))
             if not ranks:
                 continue
-            low, high = bisect_left(bounds, ranks[0]), bisect_left(bounds, ranks[-1])
+            low, high = bisect_right(bounds, ranks[0]), bisect_right(bounds, ranks[-1])
             cuts = [0, *(bisect_left(ranks, b) for b in bounds[low:high]), len(ranks)]
             starts, slices = [], []
             for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                new = range(a, b, PIECE)
+                new = range(a, b, piece)
                 starts += new
                 slices += [low + i] * len(new)
             values = pa.StructArray.from_arrays([batch.column(c) for c in NAMES], names=NAMES)
@@ -245,16 +245,16 @@ def _merge(draw: int):
     return run
 
 
-def slice_bounds(eligible: DataFrame) -> list[tuple]:
-    """Every so many-th of the sampled rows in order: a bound for SLICE rows, so few even for the largest tables (8 bytes a
+def slice_bounds(eligible: DataFrame, size: int, sampled: int) -> list[tuple]:
+    """Every so many-th of the sampled rows in order: a bound for `size` rows, so few even for the largest tables (8 bytes a
     bound and column for 131,072 rows). Where they fall decides who merges what, never the result."""
     order = ["score", "doc_id", "key"]
-    sampled = eligible.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLED)) == 0).select(order)
-    every = running(in_ranges(sampled, *order), order, name="place").where(F.col("place") % (SLICE // SAMPLED) == SLICE // SAMPLED - 1)
+    rows = eligible.where(F.pmod(F.xxhash64("key"), F.lit(sampled)) == 0).select(order)
+    every = running(in_ranges(rows, *order), order, name="place").where(F.col("place") % (size // sampled) == size // sampled - 1)
     return sorted(_rank(*r) for r in every.select(order).collect())
 
 
-def top_rows(scored: DataFrame, eligible: Column, share: int = SHARE) -> DataFrame:
+def top_rows(scored: DataFrame, eligible: Column, share: int = SHARE, size: int = SLICE, sampled: int = SAMPLED, piece: int = PIECE) -> DataFrame:
     """scored (ROWS, saved, keys unique) with rank: floor(share x eligible rows / 100) of the eligible rows are drawn, those with
     the highest scores (ties: smaller doc_id, null last, then key), and ranked from 1; the rank of all others is null."""
     rows = scored.where(eligible)
@@ -263,11 +263,12 @@ def top_rows(scored: DataFrame, eligible: Column, share: int = SHARE) -> DataFra
     if not draw:
         return scored.select(*NAMES, none)
     runs = rows.sortWithinPartitions(*_order()).select(*NAMES, F.spark_partition_id().cast("long").alias("run"))
-    pieces = save(runs.mapInArrow(_pieces(slice_bounds(rows)), PIECES), "resampling-runs")
+    pieces = save(runs.mapInArrow(_pieces(slice_bounds(rows, size, sampled), piece), PIECES), "resampling-runs")
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = pieces.groupBy("slice").agg(F.sum(F.size("rows")).alias("n"))  # one row for SLICE rows
+    starts = pieces.groupBy("slice").agg(F.sum(F.size("rows")).alias("n"))  # one row for `size` rows
     starts = starts.select("slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).where(F.col("start") < draw)
-    drawn = pieces.join(starts, "slice").repartition("slice").sortWithinPartitions("slice", *_order())
+    # not by slice alone: Spark would leave that to the join's exchange, which a broadcast at run time turns into local reads
+    drawn = pieces.join(starts, "slice").repartition("slice", "start").sortWithinPartitions("slice", *_order())
     drawn = save(drawn.select("slice", "start", "run", "score", "doc_id", "key", "rows").mapInArrow(_merge(draw), f"{ROWS}, rank long"), "resampling-drawn")
     last = drawn.where(F.col("rank") == draw).first()
     same, later = F.col("score") == last["score"], F.col("key") > last["key"]
@@ -279,8 +280,9 @@ def top_rows(scored: DataFrame, eligible: Column, share: int = SHARE) -> DataFra
     return drawn.select(*NAMES, "rank").unionByName(rest.select(*NAMES, none))
 
 
-def resample(docs: DataFrame, target: DataFrame, share: int = SHARE, least: int = LEAST, longest: int = LONGEST, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
-    """docs (doc_id long, text) as (doc_id, n_features, weight, score, rank) after a draw towards target (text).
+def resample(docs: DataFrame, target: DataFrame, share: int = SHARE, least: int = LEAST, longest: int = LONGEST, buckets: int = BUCKETS, seed: str = SEED, **slices: int) -> DataFrame:
+    """docs (doc_id long, text) as (doc_id, n_features, weight, score, rank) after a draw towards target (text);
+    `slices` are the sizes that `top_rows` takes.
 
     Null and empty texts have no features and weight 0; repeated rows are rows of their own, whose order among equals is that of
     the table; a null doc_id has the noise of an empty id and comes last among equal scores; other columns don't matter. With
@@ -290,7 +292,7 @@ def resample(docs: DataFrame, target: DataFrame, share: int = SHARE, least: int
     rows = weighted(docs.select("doc_id", "text"), gain, longest)
     rows = rows.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)).withColumn("key", F.monotonically_increasing_id())
     scored = save(rows.select(*NAMES), "resampling-scores")
-    return top_rows(scored, F.col("words") >= least, share).select("doc_id", "n_features", "weight", "score", "rank")
+    return top_rows(scored, F.col("words") >= least, share, **slices).select("doc_id", "n_features", "weight", "score", "rank")
 
 
 def op13_resampling(spark, sf_dir: str) -> DataFrame:

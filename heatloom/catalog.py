@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.functions import geo, names
-from heatloom.jobs import importing, rendering
-from heatloom.operators import archive, maintenance, raster, render, segments, tiles, tracks
+from heatloom.jobs import importing, pixels, rendering
+from heatloom.operators import archive, maintenance, masks, raster, render, segments, tiles, tracks
 from heatloom.oracles import oracle_sql
 from heatloom.schemas import STYLES
 from heatloom.sources import events as ev
@@ -123,11 +123,33 @@ def _drawn(points: DataFrame) -> DataFrame:
     return found.withColumns(sums)
 
 
+def _tile_pixels(points: DataFrame) -> DataFrame:
+    """Every tile's pixels before colour and blur, at all zooms."""
+    drawn = render.drawn_segments(points, tiles.data_tiles(points), geo.MIN_ZOOM, geo.MAX_ZOOM)
+    return masks.tile_sums(masks.masks(drawn))
+
+
+def _pixel_state(points: DataFrame) -> DataFrame:
+    """Every tile's pixels from a stored state to which a part of the tracks was added, and from which one of these was removed."""
+    spark, state = points.sparkSession, new_folder(points.sparkSession, "pixels")
+    part, gone = F.col("track_id") % 10 == 3, F.col("track_id") % 20 == 13
+    pixels.write_masks(points.where(~part), state, 0)
+    pixels.write_masks(points.where(part), state, 1)
+    pixels.remove_tracks(spark, points.where(gone).select("track_id").distinct(), state, 2)
+    return masks.tile_sums(pixels.stored_masks(spark, state), data_only=True)
+
+
 def _overviews(points: DataFrame) -> DataFrame:
     """Zooms 2 to 8, where a tile may hold every track."""
     return render.render_tiles(points, tiles.data_tiles(points, 2, 8), 2, 8).select("style", "z", "x", "y", "tracks")
 
 
+def _added(points: DataFrame) -> DataFrame:
+    """Every tile's image after tracks were added to a state, as sums over its pixels where no blur applies."""
+    found = render.with_sums(pixels.drawn_in_steps(points, geo.MIN_ZOOM, geo.MAX_ZOOM, F.col("track_id") % 10 == 3))
+    return found.withColumns({c: F.when(F.col("z") >= 12, F.col(c)) for c in ("shown", "r", "g", "b", "a")})
+
+
 def _export(points: DataFrame) -> DataFrame:
     """Each style's archive: tiles, whether offsets are gapless in the order of tile ids, whether equal images share one."""
     images = save(render.render_tiles(points, tiles.data_tiles(points), geo.MIN_ZOOM, geo.MAX_ZOOM), "images")
@@ -318,6 +340,9 @@ def queries() -> dict[str, Callable]:
         "empty_tiles": _points(_known),
         "render_tiles": _points(_drawn),
         "render_overviews": _points(_overviews),
+        "tile_pixels": _points(_tile_pixels),
+        "pixel_state": _points(_pixel_state),
+        "add_tracks": _points(_added),
         "export_archive": _points(_export),
         "incremental_render": _points(_incremental),
     }

@@ -106,6 +106,13 @@ def tile_id(z: Column, x: Column, y: Column) -> Column:
     return before + F.aggregate(zooms, start, step)["d"]
 
 
+def tile_place(z: Column, x: Column, y: Column, deepest: int = MAX_ZOOM) -> Column:
+    """Where a tile begins on the Hilbert curve of zoom `deepest`: tiles near each other on the map, of whatever zoom up to
+    it, mostly have places near each other, and all tiles inside a tile lie in one range that begins at its place."""
+    along = tile_id(z, x, y) - ((F.pow(F.lit(4.0), z) - 1) / 3).cast("long")
+    return F.call_function("shiftleft", along, (2 * (deepest - z)).cast("int"))
+
+
 def tile_status(style: Column, z: Column, x: Column, y: Column, styles: tuple[str, ...]) -> Column:
     """ok, unknown_style, bad_zoom, or empty for an address outside the map."""
     inside = (x >= 0) & (y >= 0) & (x < side(z)) & (y < side(z))

@@ -1,4 +1,4 @@
-"""Tile images: the one step that needs arrays, so it runs as numpy inside Spark tasks, one group for each tile."""
+"""Tile images: the one step that needs arrays, so it runs as numpy inside Spark tasks, on masks of tracks in tiles."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.functions import geo
-from heatloom.operators import raster, segments, tiles
+from heatloom.operators import masks, raster, segments, tiles
 
 TILE = geo.TILE
 SCHEMA = "style string, z int, x long, y long, tracks long, data binary"
@@ -30,37 +30,6 @@ def png(rgba: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 4)) + chunk(b"IEND", b"")
 
 
-def cover(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Global pixels of segments, by the rule of raster.covered_pixels."""
-    dx, dy = x1 - x0, y1 - y0
-    n = np.maximum(1, np.ceil(np.maximum(np.abs(dx), np.abs(dy)))).astype(np.int64)
-    which = np.repeat(np.arange(len(n)), n + 1)
-    i = np.arange(len(which)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
-    px = np.floor(x0[which] + dx[which] * i / n[which]).astype(np.int64)
-    py = np.floor(y0[which] + dy[which] * i / n[which]).astype(np.int64)
-    flat = (np.abs(dx) >= np.abs(dy))[which]
-    offsets = np.arange(-((width - 1) // 2), width // 2 + 1)
-    return (px[:, None] + np.where(flat[:, None], 0, offsets)).ravel(), (py[:, None] + np.where(flat[:, None], offsets, 0)).ravel()
-
-
-#: Segments that are drawn at once.
-CHUNK = 1 << 16
-
-
-def tile_counts(tracks: np.ndarray, ends: np.ndarray, x: int, y: int, z: int) -> np.ndarray:
-    """Distinct tracks over each pixel of a tile; ends: (n, 4) global pixels x0, y0, x1, y1."""
-    _, rank = np.unique(tracks, return_inverse=True)
-    found = np.empty(0, dtype=np.int64)
-    for i in range(0, len(rank), CHUNK):
-        part, width = ends[i : i + CHUNK], raster.WIDTHS.get(z, 4)
-        px, py = cover(*part.T, width)
-        steps = np.maximum(1, np.ceil(np.maximum(np.abs(part[:, 2] - part[:, 0]), np.abs(part[:, 3] - part[:, 1])))).astype(np.int64) + 1
-        px, py, own = px - x * TILE, py - y * TILE, np.repeat(rank[i : i + CHUNK], steps * width)
-        inside = (px >= 0) & (px < TILE) & (py >= 0) & (py < TILE)
-        found = np.union1d(found, own[inside] * TILE * TILE + py[inside] * TILE + px[inside])
-    return np.bincount(found % (TILE * TILE), minlength=TILE * TILE).reshape(TILE, TILE)
-
-
 def blurred(rgba: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian blur of each channel, edges repeated; only what lies around coloured pixels is computed."""
     reach = max(1, int(np.ceil(3 * sigma)))
@@ -94,46 +63,55 @@ def lut_array(style: str) -> np.ndarray:
     return out
 
 
-def _draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    z, x, y = (int(k) for k in key)
-    ends = rows[["x0", "y0", "x1", "y1"]].to_numpy()
-    counts = tile_counts(rows["track_id"].to_numpy(), ends, x, y, z)
-    if not counts.any():
-        return pd.DataFrame(columns=["style", "z", "x", "y", "tracks", "data"])
+def _images(z: int, x: int, y: int, tracks: int, counts: np.ndarray) -> list[tuple]:
+    """The three images of a tile."""
     cap = 5 if z <= 8 else 15 if z <= 11 else 10 if z <= 14 else 5
     index = (np.minimum(1.0, np.log1p(np.arange(counts.max() + 1)) / np.log1p(cap)) * 255).astype(np.int64)
     sigma = 0.6 if z <= 8 else 0.4 if z <= 11 else 0.0
     found = []
     for style in raster.RAMPS:
         rgba = lut_array(style)[index].view(np.uint32).ravel()[counts].view(np.uint8).reshape(TILE, TILE, 4)
-        found.append((style, z, x, y, rows["track_id"].nunique(), png(blurred(rgba, sigma) if sigma else rgba)))
-    return pd.DataFrame(found, columns=["style", "z", "x", "y", "tracks", "data"])
+        found.append((style, z, x, y, tracks, png(blurred(rgba, sigma) if sigma else rgba)))
+    return found
+
+
+def images(rows: DataFrame, most: int = 10_000, data_only: bool = False) -> DataFrame:
+    """style, z, x, y, tracks, data (PNG) of the tiles of `masks.MASKS` rows."""
+    return masks.each_tile(rows, _images, SCHEMA, most, data_only)
 
 
 #: Zooms that are drawn from one reading of the points. The first has lines of one pixel.
 BANDS = ((0, 8), (9, 13), (14, 22))
 
 
-def drawn_segments(points: DataFrame, wanted: DataFrame, first: int, deepest: int, most: int = 10_000, prune: bool = False) -> DataFrame:
-    """z, x, y, track_id and the ends (x0, y0, x1, y1, in global pixels) of what is drawn in each wanted tile.
+def in_pixels(found: DataFrame, high: int) -> DataFrame:
+    """z, x, y, track_id and the ends (x0, y0, x1, y1, in global pixels) of segments of tiles up to zoom `high`.
 
-    In bands of zooms; with `prune` each reads only the points that its wanted tiles need (`tiles.points_near`). Where
-    lines are one pixel wide, a segment within a pixel is moved to the pixel's centre and each track has it once, so an
+    Where lines are one pixel wide, a segment within a pixel is moved to the pixel's centre and each track has it once, so an
     overview tile has no more such rows than its tracks have pixels, however many points lie in it.
     """
-    z, found = F.col("z"), None
-    for low, high in BANDS:
-        low, high = max(low, first), min(high, deepest)
-        if low > high:
-            continue
-        own = wanted.where(z.between(low, high))
+    z = F.col("z")
+    drawn = found.select("z", "x", "y", "track_id", *[geo.global_pixel(f(F.col(c)), z).alias(n) for n, f, c in (("x0", geo.mercator_x, "lon0"), ("y0", geo.mercator_y, "lat0"), ("x1", geo.mercator_x, "lon1"), ("y1", geo.mercator_y, "lat1"))])
+    if high <= BANDS[0][1]:
+        one = (F.floor("x0") == F.floor("x1")) & (F.floor("y0") == F.floor("y1"))
+        drawn = drawn.withColumn("one", one)
+        drawn = drawn.select("z", "x", "y", "track_id", *[F.when(F.col("one"), F.floor(c) + 0.5).otherwise(F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")]).distinct()
+    return drawn
+
+
+def bands(first: int, deepest: int) -> list[tuple[int, int]]:
+    """The parts of BANDS that lie in some zooms."""
+    return [(max(low, first), min(high, deepest)) for low, high in BANDS if max(low, first) <= min(high, deepest)]
+
+
+def drawn_segments(points: DataFrame, wanted: DataFrame, first: int, deepest: int, most: int = 10_000, prune: bool = False) -> DataFrame:
+    """What is drawn in each wanted tile, as `in_pixels`, in bands of zooms; with `prune` each band reads only the points that
+    its wanted tiles need (`tiles.points_near`)."""
+    found = None
+    for low, high in bands(first, deepest):
+        own = wanted.where(F.col("z").between(low, high))
         near = tiles.points_near(points, own, low) if prune else points.drop("cell")
-        drawn = segments.tile_segments(near, own, low, high, most, whole=not prune)
-        drawn = drawn.select("z", "x", "y", "track_id", *[geo.global_pixel(f(F.col(c)), z).alias(n) for n, f, c in (("x0", geo.mercator_x, "lon0"), ("y0", geo.mercator_y, "lat0"), ("x1", geo.mercator_x, "lon1"), ("y1", geo.mercator_y, "lat1"))])
-        if high <= BANDS[0][1]:
-            one = (F.floor("x0") == F.floor("x1")) & (F.floor("y0") == F.floor("y1"))
-            drawn = drawn.withColumn("one", one)
-            drawn = drawn.select("z", "x", "y", "track_id", *[F.when(F.col("one"), F.floor(c) + 0.5).otherwise(F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")]).distinct()
+        drawn = in_pixels(segments.tile_segments(near, own, low, high, most, whole=not prune), high)
         found = drawn if found is None else found.unionByName(drawn)
     return found
 
@@ -141,10 +119,10 @@ def drawn_segments(points: DataFrame, wanted: DataFrame, first: int, deepest: in
 def render_tiles(points: DataFrame, wanted: DataFrame, first: int, deepest: int, most: int = 10_000, prune: bool = False) -> DataFrame:
     """style, z, x, y, tracks, data (PNG) of each wanted tile (z, x, y) with something to draw.
 
-    What is shuffled are segments, not pixels: `drawn_segments`, bounded by the cap on a tile's tracks and, on overviews,
-    by the pixels of each. `prune` pays where few tiles are wanted.
+    A tile is drawn by several tasks: segments become masks of one track each where the join left them, and what is shuffled
+    to the tile are masks, which are counted one after another. `prune` pays where few tiles are wanted.
     """
-    return drawn_segments(points, wanted, first, deepest, most, prune).groupBy("z", "x", "y").applyInPandas(_draw, SCHEMA)
+    return images(masks.masks(drawn_segments(points, wanted, first, deepest, most, prune)), most)
 
 
 def pixels_of(data: bytes) -> np.ndarray:

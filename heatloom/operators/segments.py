@@ -47,13 +47,25 @@ def cap_tracks(hits: DataFrame, most: int = 10_000) -> DataFrame:
 def tile_segments(points: DataFrame, wanted: DataFrame, first: int, deepest: int, most: int = 10_000, whole: bool = True) -> DataFrame:
     """z, x, y, track_id, seq, lat0, lon0, lat1, lon1: what is drawn in each wanted tile (z, x, y).
 
-    A track is in a tile if a point of it is in the padded box; then all its segments from one before the first such point
-    to one after the last count, if their box in pixels comes near the tile and they are no gap. Segments go to the tiles
-    that their margin touches and meet the hits on (z, x, y, track_id), an equi-join. Hits are capped before the join.
+    Hits are capped before segments meet them (`segments_of_hits`).
     """
     hits = tiles.track_tile_hits(points, first, deepest).join(wanted.select("z", "x", "y"), ["z", "x", "y"], "left_semi")
-    hits = cap_tracks(hits, most)
-    short = drop_gaps(segments(points, whole)).withColumn("z", F.explode(F.sequence(F.lit(first), F.lit(deepest))))
+    return segments_of_hits(points, cap_tracks(hits, most), whole)
+
+
+def segments_of_hits(points: DataFrame, hits: DataFrame, whole: bool = True) -> DataFrame:
+    """z, x, y, track_id, seq, lat0, lon0, lat1, lon1: what tracks draw in the tiles that they hit.
+
+    A track is in a tile if a point of it is in the padded box; then all its segments from one before the first such point
+    to one after the last count, if their box in pixels comes near the tile and they are no gap. A track's segments are
+    copied only to zooms at which it has a hit, within the seqs of its hits there, and from there to the tiles that their
+    margin touches, where they meet the hits on (z, x, y, track_id), an equi-join.
+    """
+    spans = hits.groupBy("track_id", "z").agg(F.min("first_seq").alias("from"), F.max("last_seq").alias("upto"))
+    spans = spans.groupBy("track_id").agg(F.collect_list(F.struct("z", "from", "upto")).alias("zooms"))
+    short = drop_gaps(segments(points, whole)).join(spans, "track_id")
+    meets = F.filter("zooms", lambda s: (F.col("seq") >= s["from"] - 1) & (F.col("seq") <= s["upto"]))
+    short = short.withColumn("z", F.explode(F.transform(meets, lambda s: s["z"]))).drop("zooms")
     z = F.col("z")
     ends = {n: geo.global_pixel(f(F.col(c)), z) for n, f, c in (("gx0", geo.mercator_x, "lon0"), ("gx1", geo.mercator_x, "lon1"), ("gy0", geo.mercator_y, "lat0"), ("gy1", geo.mercator_y, "lat1"))}
     short = short.withColumns(ends)

@@ -82,8 +82,9 @@ def points_near(points: DataFrame, wanted: DataFrame, first: int) -> DataFrame:
     return with_tile(points, zoom).join(cells, ["x", "y"], "left_semi").select(*kept)
 
 
-def track_tile_hits(points: DataFrame, first: int = MIN_ZOOM, deepest: int = MAX_ZOOM, padding: float = PADDING) -> DataFrame:
-    """First and last seq of each track inside each tile grown by `padding`.
+def track_tile_hits(points: DataFrame, first: int = MIN_ZOOM, deepest: int = MAX_ZOOM, padding: float = PADDING, inside: bool = False) -> DataFrame:
+    """First and last seq of each track inside each tile grown by `padding`; with `inside`, also whether a point of it lies in
+    the tile itself.
 
     Padding is below one tile, so a point can only be in its own tile and its eight neighbours; which of these hold it is
     decided before the explode, so that most points make one row for each zoom.
@@ -104,7 +105,8 @@ def track_tile_hits(points: DataFrame, first: int = MIN_ZOOM, deepest: int = MAX
         return F.col("lat").between(box["min_lat"], box["max_lat"])
 
     rows = rows.withColumn("x", F.explode(F.filter(near("hx"), holds_x))).withColumn("y", F.explode(F.filter(near("hy"), holds_y)))
-    return rows.groupBy("z", "x", "y", "track_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    own = [F.max((F.col("x") == F.col("hx")) & (F.col("y") == F.col("hy"))).alias("inside")] if inside else []
+    return rows.groupBy("z", "x", "y", "track_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), *own)
 
 
 def sample_points(points: DataFrame, target: int = 5000, deepest: int = MAX_ZOOM) -> DataFrame:

@@ -177,6 +177,8 @@ def oracle_sql() -> dict[str, str]:
         )
     )
     log = (p, TRACKS, BATCH)
+    stay = p.replace("FROM c)", "FROM c WHERE track_id % 20 <> 13)")
+    in_tile = "SELECT z, x, y, im.tracks, count(*) AS pixels, CAST(sum(inside.tracks) AS BIGINT) AS total, max(inside.tracks) AS largest FROM inside JOIN im USING (z, x, y) GROUP BY ALL"
     found = {
         "data_tiles": q(p, t, "SELECT * FROM dt"),
         "tile_density": q(p, ZOOMS, f"SELECT z, {tx('lon', 'z')} AS x, {ty('lat', 'z')} AS y, count(*) AS points, count(DISTINCT track_id) AS tracks FROM tp, zs GROUP BY ALL"),
@@ -201,7 +203,10 @@ def oracle_sql() -> dict[str, str]:
         "tile_segments": q(p, t, SEGMENTS, hits(2, 18), drawn(), "SELECT * FROM ts"),
         "color_lut": q(p, SEGMENTS, pixels(11, 2), RAMPS, "SELECT lut.*, coalesce(n, 0) AS pixels FROM lut LEFT JOIN (SELECT idx, count(*) AS n FROM ix GROUP BY idx) USING (idx)"),
         "render_tiles": q(p, t, SEGMENTS, hits(2, 18), images(least=12), "SELECT style, im.z, im.x, im.y, im.tracks, " + ", ".join(f"CASE WHEN im.z >= 12 THEN coalesce({c}, 0) END AS {c}" for c in ("shown", "r", "g", "b", "a")) + f" FROM (SELECT * FROM im, {STYLES}) im LEFT JOIN sums USING (style, z, x, y)"),
+        "add_tracks": q(p, t, SEGMENTS, hits(2, 18), images(least=12), "SELECT style, im.z, im.x, im.y, im.tracks, " + ", ".join(f"CASE WHEN im.z >= 12 THEN coalesce({c}, 0) END AS {c}" for c in ("shown", "r", "g", "b", "a")) + f" FROM (SELECT * FROM im, {STYLES}) im LEFT JOIN sums USING (style, z, x, y)"),
         "render_overviews": q(p, t, SEGMENTS, hits(2, 8), images(), f"SELECT style, z, x, y, tracks FROM im, {STYLES}"),
+        "tile_pixels": q(p, t, SEGMENTS, hits(2, 18), images(), in_tile),
+        "pixel_state": q(stay, t, SEGMENTS, hits(2, 18), images(), in_tile),
         "incremental_render": q(p, t, SEGMENTS, hits(2, 18), DIRTY, DISK, images("dirty"), f"SELECT style, z, x, y, 'drawn' AS state FROM im, {STYLES} UNION ALL SELECT style, z, x, y, 'kept' FROM disk WHERE (z, x, y) NOT IN (SELECT (z, x, y) FROM dirty)"),
         "export_archive": q(p, t, SEGMENTS, hits(2, 18), images(), TILE_ID, f"SELECT style, count(*) AS tiles, min(tile_id) AS first_id, max(tile_id) AS last_id, true AS gapless, true AS shared FROM (SELECT * FROM im JOIN ids USING (z, x, y)), {STYLES} GROUP BY style"),
         "write_tiles": q(p, t, DISK, "SELECT style, z, x, y, CAST(5 AS BIGINT) AS bytes FROM disk"),

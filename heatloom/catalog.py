@@ -240,14 +240,13 @@ def _streamed(points: DataFrame) -> tuple[str, str]:
 
 def _stream_import(points: DataFrame) -> DataFrame:
     store, _ = _streamed(points)
-    read = points.sparkSession.read
-    stored = read.parquet(f"{store}/trackpoints").groupBy("track_id").agg(F.count("*").alias("num_points"))
+    stored = importing.stored(points.sparkSession, store, "trackpoints").groupBy("track_id").agg(F.count("*").alias("num_points"))
     return stored.groupBy("num_points").agg(F.count("*").alias("tracks"))
 
 
 def _stream_dedup(points: DataFrame) -> DataFrame:
     store, _ = _streamed(points)
-    log = points.sparkSession.read.parquet(f"{store}/log")
+    log = importing.stored(points.sparkSession, store, "log")
     return log.groupBy(F.regexp_extract("filename", "^[a-z]+", 0).alias("kind"), "status").agg(F.count("*").alias("tracks"))
 
 

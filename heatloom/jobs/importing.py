@@ -1,30 +1,32 @@
-"""Import: files to tracks, points, dirty tiles and a log, once for each batch."""
+"""Import: files to tracks, points, dirty tiles and a log, in one step for each batch."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatloom import schemas
 from heatloom.functions import names
-from heatloom.jobs import rendering
+from heatloom.jobs import rendering, store
 from heatloom.operators import tiles, tracks
 from heatloom.sources import files, fit, gpx, tcx
 
 
 NOT_DECODED = "no decoded records"
+#: A TCX file has one track, so it is read as one value.
+TOO_LARGE = "file too large"
 
 
-def parsed_tracks(spark: SparkSession, folder: str, fit_records: DataFrame | None = None) -> DataFrame:
+def parsed_tracks(spark: SparkSession, folder: str, fit_records: DataFrame | None = None, most_bytes: int = files.LARGE_BYTES) -> DataFrame:
     """Every track of the GPX, TCX and FIT files below a folder, and a row for each file that has none.
 
     Spark reads no FIT: fit_records has the decoded records of such files (file, seq, position_lat, position_long, ts), where
-    `file` is the path below the folder. A FIT file without records there is an error, not a file without positions.
+    `file` is the path below the folder. A FIT file without records there is an error, not a file without positions; so is a TCX
+    file above `most_bytes`.
     """
-    hashes = files.file_hashes(spark, folder)
+    hashes = files.file_hashes(spark, folder, most_bytes)
     found = gpx.parsed_gpx(gpx.read_gpx_tracks(spark, folder))
-    whole = tcx.parsed_tcx(files.file_contents(spark, folder, "*.[tT][cC][xX]"))
+    whole = tcx.parsed_tcx(files.file_contents(spark, folder, "*.[tT][cC][xX]", most_bytes))
     if fit_records is not None:
         paths = hashes.where("ext = 'fit'").select("path", files.name_below(F.col("path"), folder).alias("file"))
         decoded = paths.join(fit.parsed_fit(fit_records), "file").withColumn("error", F.lit(None).cast("string"))
@@ -43,51 +45,64 @@ def _with_files(hashes: DataFrame, gpx_tracks: DataFrame, whole_files: DataFrame
     whole = whole_files.select("path", F.lit(None).cast("int").alias("track_index"), F.lit(None).cast("string").alias("track_name"), "start_time", "end_time", "points", "error")
     found = gpx_tracks.withColumn("error", F.lit(None).cast("string")).unionByName(whole)
     rows = hashes.join(found, "path", "left")
+    large = F.when((F.col("ext") == "tcx") & F.col("points").isNull(), TOO_LARGE)
     undecoded = F.when((F.col("ext") == "fit") & F.col("points").isNull(), NOT_DECODED)
-    error = F.coalesce("error", gpx.format_error(F.col("path")), undecoded)
+    error = F.coalesce("error", gpx.format_error(F.col("path")), large, undecoded)
     return rows.withColumn("error", error).withColumn("points", F.coalesce("points", F.array())).select("path", "file_hash", "track_index", "ext", "track_name", "start_time", "end_time", "points", "error")
 
 
-def _stored(spark: SparkSession, store: str, table: str, schema: str, batch_id: int) -> DataFrame:
-    try:
-        found = spark.read.parquet(f"{store}/{table}")
-    except AnalysisException:  # nothing stored yet
-        return spark.createDataFrame([], schema)
-    return found.where(F.col("batch_id") != batch_id)
+#: Tables of a store, with their columns.
+TABLES = {
+    "tracks": schemas.TRACKS,
+    "trackpoints": schemas.TRACKPOINTS,
+    "cells": schemas.TRACKPOINTS + ", cell long",
+    "dirty": schemas.TILES,
+    "log": "path string, track_index int, filename string, status string, num_points long, error string",
+}
+#: What a run writes beside them, for itself.
+WORK = "_parsed"
 
 
-def import_batch(spark: SparkSession, parsed: DataFrame, store: str, batch_id: int) -> DataFrame:
-    """Stores what is new of parsed tracks and returns the batch's log.
+def stored(spark: SparkSession, folder: str, table: str, runs: dict[int, str] | None = None) -> DataFrame:
+    """A table of a store as of its last version (or of given runs), with batch_id."""
+    return store.read(spark, folder, table, TABLES[table], runs)
 
-    Tables tracks, trackpoints, cells (the points by place), dirty and log have a folder for each batch, which the batch replaces if it runs again, so a
-    retried batch changes nothing.
+
+def import_batch(spark: SparkSession, parsed: DataFrame, folder: str, batch_id: int) -> DataFrame:
+    """Stores what is new of parsed tracks in the store `folder` and returns the batch's log.
+
+    Tables tracks, trackpoints, cells (the points by place), dirty and log change in one step, for readers that use `stored`:
+    the commit of a run. A batch that runs again takes the place of its earlier run, so a retry changes nothing; if another
+    writer commits between, the batch is judged again by what that one stored.
     """
-    stored = _stored(spark, store, "tracks", schemas.TRACKS + ", batch_id long", batch_id)
+
+    def fill(runs: dict[int, str], run: str) -> DataFrame:
+        before = stored(spark, folder, "tracks", runs)
+        put = lambda rows, table, *by: store.write(rows, folder, table, batch_id, run, *by)
+        judged = put(tracks.dedup_import(_named(parsed), before), WORK)
+        last = before.agg(F.coalesce(F.max("track_id"), F.lit(0))).first()[0]
+        new = tracks.with_track_ids(judged.where("status = 'imported'"), last)
+        lat, lon = F.transform("points", lambda p: p["lat"]), F.transform("points", lambda p: p["lon"])
+        bounds = [f(a).alias(f"{n}_{c}") for n, f in (("min", F.array_min), ("max", F.array_max)) for c, a in (("lat", lat), ("lon", lon))]
+        put(new.select("track_id", "filename", F.col("effective_hash").alias("file_hash"), "content_hash", "num_points", "start_time", "end_time", *bounds, F.current_timestamp().alias("imported_at")), "tracks")
+        points = new.select("track_id", F.posexplode("points").alias("i", "p")).select("track_id", (F.col("i") + 1).cast("long").alias("seq"), "p.lat", "p.lon")
+        kept = put(rendering.laid_out(points), "trackpoints")
+        put(rendering.by_cell(kept), "cells", "cell")
+        put(tiles.data_tiles(kept), "dirty")
+        return put(judged.select("path", "track_index", "filename", "status", F.when(F.col("status") == "imported", F.col("num_points")).otherwise(0).alias("num_points"), "error"), "log")
+
+    return store.put(spark, folder, batch_id, fill)
+
+
+def _named(parsed: DataFrame) -> DataFrame:
+    """parsed tracks with what they are compared by, and their names."""
     rows = parsed.withColumn("num_points", F.size("points").cast("long"))
     rows = rows.withColumn("effective_hash", names.effective_hash(F.col("file_hash"), F.col("track_index")))
     rows = rows.withColumn("content_hash", F.when(F.col("num_points") > 0, tracks.points_hash(F.col("points"))))
     base = names.file_name(F.col("path"))
-    rows = rows.withColumn("filename", F.when(F.col("track_index").isNull(), base).otherwise(names.track_filename(F.col("path"), F.col("track_name"), F.col("track_index"))))
-    work = f"{store}/_parsed/batch_id={batch_id}"
-    tracks.dedup_import(rows, stored).write.mode("overwrite").parquet(work)
-    judged = spark.read.parquet(work)
-    last = stored.agg(F.coalesce(F.max("track_id"), F.lit(0))).first()[0]
-    new = tracks.with_track_ids(judged.where("status = 'imported'"), last)
-    lat, lon = F.transform("points", lambda p: p["lat"]), F.transform("points", lambda p: p["lon"])
-    new.select(
-        "track_id", "filename", F.col("effective_hash").alias("file_hash"), "content_hash", "num_points", "start_time", "end_time",
-        F.array_min(lat).alias("min_lat"), F.array_min(lon).alias("min_lon"), F.array_max(lat).alias("max_lat"), F.array_max(lon).alias("max_lon"), F.current_timestamp().alias("imported_at"),
-    ).write.mode("overwrite").parquet(f"{store}/tracks/batch_id={batch_id}")
-    points = new.select("track_id", F.posexplode("points").alias("i", "p")).select("track_id", (F.col("i") + 1).cast("long").alias("seq"), "p.lat", "p.lon")
-    points.repartition("track_id").sortWithinPartitions("track_id", "seq").write.mode("overwrite").parquet(f"{store}/trackpoints/batch_id={batch_id}")
-    kept = spark.read.parquet(f"{store}/trackpoints/batch_id={batch_id}")
-    rendering.write_points(kept, f"{store}/cells", batch_id)
-    tiles.data_tiles(kept).write.mode("overwrite").parquet(f"{store}/dirty/batch_id={batch_id}")
-    log = judged.select("path", "track_index", "filename", "status", F.when(F.col("status") == "imported", F.col("num_points")).otherwise(0).alias("num_points"), "error")
-    log.write.mode("overwrite").parquet(f"{store}/log/batch_id={batch_id}")
-    return spark.read.parquet(f"{store}/log/batch_id={batch_id}")
-
-
-def import_job(spark: SparkSession, folder: str, store: str, batch_id: int = 0, fit_records: DataFrame | None = None) -> DataFrame:
-    """One scan of a folder."""
-    return import_batch(spark, parsed_tracks(spark, folder, fit_records), store, batch_id)
+    return rows.withColumn("filename", F.when(F.col("track_index").isNull(), base).otherwise(names.track_filename(F.col("path"), F.col("track_name"), F.col("track_index"))))
+
+
+def import_job(spark: SparkSession, folder: str, into: str, batch_id: int = 0, fit_records: DataFrame | None = None) -> DataFrame:
+    """One scan of a folder into a store."""
+    return import_batch(spark, parsed_tracks(spark, folder, fit_records), into, batch_id)

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from heatloom.operators import maintenance, render, tiles, tracks
 
 
-def write_points(points: DataFrame, folder: str, batch_id: int = 0) -> None:
-    """Points under <folder>/batch_id=n/cell=c for incremental drawing, which then reads the cells it needs.
+def by_cell(points: DataFrame) -> DataFrame:
+    """Points with their cell, in its order; a cell that holds a large part of all points lies in several partitions."""
+    return tiles.with_cell(points).repartitionByRange("cell", "track_id").sortWithinPartitions("cell", "track_id", "seq")
 
-    A cell that holds a large part of all points is split over several files.
-    """
-    cells = tiles.with_cell(points).repartitionByRange("cell", "track_id").sortWithinPartitions("cell", "track_id", "seq")
-    cells.write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/batch_id={batch_id}")
+
+def write_points(points: DataFrame, folder: str, batch_id: int = 0) -> None:
+    """Points under <folder>/batch_id=n/cell=c for incremental drawing, which then reads the cells it needs."""
+    by_cell(points).write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/batch_id={batch_id}")
 
 
 def laid_out(points: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heatloom.functions import names
-from heatloom.jobs import importing, rendering
+from heatloom.jobs import importing, rendering, store
 from heatloom.operators import maintenance, render, tiles, tracks
 from heatloom.sources import files, gpx
 from heatloom.streaming import imports
@@ -134,18 +134,75 @@ def test_import_job(spark, folder):
     log = importing.import_job(spark, str(folder / "in"), store, 0, fit_records(spark))
     key = lambda x: (x[0], -1 if x[1] is None else x[1])
     assert sorted(((unquote(r["path"].rsplit("/", 1)[1]), r["track_index"], r["filename"], r["status"]) for r in log.collect()), key=key) == WANT
-    tracks_table = spark.read.parquet(f"{store}/tracks")
+    tracks_table = importing.stored(spark, store, "tracks")
     assert sorted(r["track_id"] for r in tracks_table.collect()) == list(range(1, 10))
     fit_track = tracks_table.where(F.col("filename") == "h 1+.FIT").first()
     assert (fit_track["num_points"], fit_track["start_time"], fit_track["end_time"]) == (3, "2024-05-01T10:00:00", "2024-05-01T10:00:02")
     assert {r["error"] for r in log.where(F.col("filename").rlike("fit$|kml$")).collect()} == {None, importing.NOT_DECODED, "Unsupported format: .kml"}
-    assert spark.read.parquet(f"{store}/trackpoints").count() == 19
+    assert importing.stored(spark, store, "trackpoints").count() == 19
     again = importing.import_job(spark, str(folder / "in"), store, 1, fit_records(spark))
     assert {r["status"] for r in again.collect()} == {"duplicate", "content_duplicate", "no_gps_data", "error"}
-    assert spark.read.parquet(f"{store}/tracks").count() == 9
+    assert importing.stored(spark, store, "tracks").count() == 9
     assert importing.import_job(spark, str(folder / "in"), store, 1).count() == 14
 
 
+class Killed(Exception):
+    pass
+
+
+def readable(spark, store_dir):
+    return {t: sorted(map(str, importing.stored(spark, store_dir, t).drop("imported_at").collect())) for t in importing.TABLES}
+
+
+def test_a_job_killed_between_two_writes_changes_nothing(spark, folder, monkeypatch):
+    """Whichever table was the last that it wrote, readers stay at the version before, and a new run of the batch gets through."""
+    into, inbox = str(folder / "store"), str(folder / "in")
+    importing.import_job(spark, inbox, into, 0, fit_records(spark))
+    before = readable(spark, into)
+    (folder / "in" / "z.gpx").write_text(gpx_file(track("again", (1, 1), (1, 1.001)), track("fresh", (11, 11), (11, 11.001))))
+    real, steps = store.write, [importing.WORK, *importing.TABLES]
+    for last in steps:
+        def write(rows, path, table, *rest):
+            found = real(rows, path, table, *rest)
+            if table == last:
+                raise Killed(table)
+            return found
+
+        monkeypatch.setattr(store, "write", write)
+        with pytest.raises(Killed):
+            importing.import_job(spark, inbox, into, 1, fit_records(spark))
+        assert readable(spark, into) == before
+    monkeypatch.setattr(store, "write", real)
+    importing.import_job(spark, inbox, into, 1, fit_records(spark))
+    after = readable(spark, into)
+    assert len(after["tracks"]) == len(before["tracks"]) + 1 and len(after["log"]) == len(before["log"]) + 16
+    assert store.vacuum(spark, into, steps) == sum(range(1, 7)) and readable(spark, into) == after
+
+
+def test_a_writer_that_was_overtaken_starts_again(spark, folder, monkeypatch):
+    """Another import of the same files commits between judging and committing: the tracks are stored once."""
+    into, inbox, real, turns = str(folder / "store"), str(folder / "in"), store.commit, []
+
+    def commit(*args):
+        if not turns:
+            turns.append(1)
+            importing.import_job(spark, inbox, into, 7, fit_records(spark))
+        real(*args)
+
+    monkeypatch.setattr(store, "commit", commit)
+    log = importing.import_job(spark, inbox, into, 8, fit_records(spark))
+    assert "imported" not in {r["status"] for r in log.collect()}
+    assert sorted(r["track_id"] for r in importing.stored(spark, into, "tracks").collect()) == list(range(1, 10))
+    assert store.state(spark, into)[0] == 2
+    with pytest.raises(store.Conflict):
+        real(spark, into, 2, 9, "late")
+
+
+def test_large_tcx_is_an_error(spark, folder):
+    rows = importing.parsed_tracks(spark, str(folder / "in"), most_bytes=10).where("ext = 'tcx'").collect()
+    assert rows and {r["error"] for r in rows} == {importing.TOO_LARGE}
+
+
 def test_hashes_of_large_files(spark, folder):
     """Above the limit the hash comes from records in splits, and does not depend on them."""
     inbox = str(folder / "in")
@@ -185,10 +242,10 @@ def test_streams(spark, folder):
     run(imports.stream_import, str(inbox), store, str(folder / "c1"))
     (inbox / "z.gpx").write_text(gpx_file(track("again", (1, 1), (1, 1.001)), track("fresh", (11, 11), (11, 11.001))))
     run(imports.stream_import, str(inbox), store, str(folder / "c1"))
-    log = spark.read.parquet(f"{store}/log")
+    log = importing.stored(spark, store, "log")
     assert {r["status"]: r["count"] for r in log.groupBy("status").count().collect()}["imported"] == 10  # done/old.gpx arrives here too
     run(imports.stream_dirty_tiles, store, str(out / "dirty"), str(folder / "c2"))
-    points = spark.read.parquet(f"{store}/trackpoints").drop("batch_id")
+    points = importing.stored(spark, store, "trackpoints").drop("batch_id")
     key = ["z", "x", "y"]
     dirty = spark.read.parquet(str(out / "dirty")).select(*key).distinct()
     assert dirty.exceptAll(tiles.data_tiles(points)).count() == 0 and dirty.count() == tiles.data_tiles(points).count()

@@ -9,10 +9,12 @@ groups of FAN, round by round, so no task sees all pages of a host.
 Every page is then aligned with its host's wrapper, which gives each block of text the slot it fills. What of a page is its
 article is read from the slots, by counts over all pages of the host:
 
-* a text that fills the same slot on most of the host's different pages (three at least) belongs to the template and goes; a
-  heading stays if the block after it does;
-* on pages without an article or main element, so does a slot whose text is mostly links;
-* a container whose class speaks of something beside the article goes unless it holds half of the host's text or more.
+* a text that fills the same slot on most of the host's different pages (three at least) is the template's. It goes only with
+  its unit, the container around it or the heading above it with what follows, if on most of these pages all text of the
+  unit is the template's; labels of a table that varies, a quote or a heading of the article stay;
+* on pages without an article or main element, a slot whose text is mostly links goes;
+* a container whose class speaks of nothing but what stands beside an article (for reader comments, its id too) goes unless it
+  holds half of the host's text or more.
 
 Elements that HTML itself sets beside the article (nav, aside, form, footer, ...) and what stands outside an article or main
 element, on pages that have one with text, never count.
@@ -26,6 +28,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,27 +56,31 @@ ENDS_PARAGRAPH = BLOCKS - {"html", "body", "head"}
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CONTAINERS = frozenset("ul ol dl table article section div main aside nav form".split())
 GROUPS = frozenset("div ul ol dl table".split())
+AROUND = CONTAINERS | frozenset("body header footer figure blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BESIDE = frozenset("head nav footer aside form menu dialog button select".split())
 BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
 ARTICLE = frozenset("article main".split())
-# Fixed word list: first words of class names that speak of what stands beside an article; a vote that counts can overturn.
+# Fixed word lists: first words of class names that speak of what stands beside an article, a vote that counts can overturn; the
+# words of layout that may follow them; and words for reader comments. Any other word takes the vote back.
 BESIDE_WORDS = frozenset("ad ads advert advertisement adbox adslot sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice alert popup modal newsletter subscribe share sharing social comment comments disqus replies respond login signup widget toolbar pager pagination".split())
 HEADER_WORDS = frozenset("header masthead banner".split())
+LAYOUT_WORDS = frozenset("area bar bars block body bottom box buttons button column container content count fixed form group header inner item items label left link links list main outer overlay panel placeholder row right section side site slot sticky strip text thread title top unit wrap wrapper zone".split())
+COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
 INLINE = frozenset("button select".split())
 
 
 class Node:
     """An element of a page or wrapper: name, marks (words of its class and id) and items.
 
-    Of a page: items are nodes, (text, in a link) pairs and None for line breaks. Of a wrapper: items are nodes; `text` says
+    Of a page: `votes` are the words that speak of what stands beside an article, items are nodes, (text, in a link) pairs and None for line breaks. Of a wrapper: items are nodes; `text` says
     whether there is a slot, `free` that the children come in any order, and `number` is the node's place in the wrapper.
     """
 
-    __slots__ = ("name", "marks", "items", "role", "optional", "repeated", "text", "free", "number", "places")
+    __slots__ = ("name", "marks", "items", "role", "optional", "repeated", "text", "free", "number", "places", "votes")
 
-    def __init__(self, name: str, marks: tuple[str, ...] = (), role: str = ""):
-        self.name, self.marks, self.items, self.role = name, marks, [], role
+    def __init__(self, name: str, marks: tuple[str, ...] = (), role: str = "", votes: frozenset = frozenset()):
+        self.name, self.marks, self.items, self.role, self.votes = name, marks, [], role, votes
         self.optional = self.repeated = self.text = self.free = False
         self.number, self.places = -1, None
 
@@ -92,21 +99,28 @@ class Node:
     def is_voted(self, article: bool) -> bool:
         """Whether its class speaks against it; that of a header only outside the article, for it may hold the title."""
         votes = BESIDE_WORDS if article else BESIDE_WORDS | HEADER_WORDS
-        return self.name in CONTAINERS and not self.is_article and not votes.isdisjoint(self.marks)
+        return self.name in CONTAINERS and not self.is_article and not votes.isdisjoint(self.votes)
 
 
-def _marks(name: str, attributes: str) -> tuple[tuple[str, ...], str]:
-    """The first words of the class names and, of what only groups others, of the id (behind #); and the role."""
-    found, role = set(), ""
+def _marks(name: str, attributes: str) -> tuple[tuple[str, ...], str, frozenset]:
+    """The first words of the class names and, of what only groups others, of the id (behind #); the role; and the first words
+    of class names, or ids of comments, of which all other words are such words or words of layout."""
+    found, role, votes = set(), "", set()
     for m in NAMED.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if kind == "role":
             role = role or value.strip()
-        elif kind == "class":
-            found |= {w[0] for x in value.split() if (w := re.findall(r"[a-z]+", x))}
-        elif name in GROUPS and (w := re.findall(r"[a-z]+", value)):
-            found.add(f"#{w[0]}")
-    return tuple(sorted(found)), role
+            continue
+        for x in value.split():
+            if not (w := re.findall(r"[a-z]+", x)):
+                continue
+            if kind == "class":
+                found.add(w[0])
+            elif name in GROUPS:
+                found.add(f"#{w[0]}")
+            if (kind == "class" or w[0] in COMMENT_WORDS) and LAYOUT_WORDS.union(BESIDE_WORDS, HEADER_WORDS).issuperset(w[1:]):
+                votes.add(w[0])
+    return tuple(sorted(found)), role, frozenset(votes)
 
 
 def parse(page: str) -> Node:
@@ -305,15 +319,17 @@ def aligned(children: list[Node], pattern: Node) -> list[Node | None]:
 def page_blocks(page: str, wrapper: Node) -> tuple[bool, list[tuple]]:
     """Whether the page has an article with text, and its blocks that may be the article's, in order.
 
-    A block is (slot, box, linked, heading, after, text): the wrapper's node that it fills (-1: none), the outermost
-    container with a class beside the article (-1: none), characters in links, whether it is a heading, and the place of
-    the next block that is none (-1: none).
+    A block is (slot, box, group, linked, heading, after, head, text): the wrapper's node that it fills (-1: none), the outermost
+    container with a class beside the article (-1: none), the innermost container around it (-1: none), characters in links, whether it is a heading, the place of the
+    next block that is none (-1: none), and that of the last heading up to it (-1: none).
     """
     inside: list[tuple] = []
     outside: list[tuple] = []
 
-    def visit(node: Node, pattern: Node | None, article: bool, box: int) -> None:
+    def visit(node: Node, pattern: Node | None, article: bool, box: int, group: int) -> None:
         slot = -1 if pattern is None else pattern.number
+        if node.name in AROUND:
+            group = slot
         children = [x for x in node.items if isinstance(x, Node)]
         partners = iter(aligned(children, pattern) if pattern is not None and children else [None] * len(children))
         line: list[str] = []
@@ -323,7 +339,7 @@ def page_blocks(page: str, wrapper: Node) -> tuple[bool, list[tuple]]:
             nonlocal linked
             if line:
                 if text := " ".join("".join(line).split()):
-                    (inside if article else outside).append((slot, box, min(linked, len(text)), node.name in HEADINGS, text))
+                    (inside if article else outside).append((slot, box, group, min(linked, len(text)), node.name in HEADINGS, text))
                 line.clear()
                 linked = 0
 
@@ -335,7 +351,7 @@ def page_blocks(page: str, wrapper: Node) -> tuple[bool, list[tuple]]:
                 end()
                 if not x.is_beside and (article or x.name != "header"):
                     there = partner.number if partner is not None else -2
-                    visit(x, partner, article or x.is_article, there if box == -1 and x.is_voted(article) else box)
+                    visit(x, partner, article or x.is_article, there if box == -1 and x.is_voted(article) else box, group)
             elif x is None:
                 end()
             else:
@@ -343,18 +359,19 @@ def page_blocks(page: str, wrapper: Node) -> tuple[bool, list[tuple]]:
                 linked += len(x[0].strip()) * x[1]
         end()
 
-    visit(parse(page), wrapper, False, -1)
+    visit(parse(page), wrapper, False, -1, -1)
     blocks = inside or outside
+    above = list(accumulate((i if b[-2] else -1 for i, b in enumerate(blocks)), max))
     after, found = -1, []
     for i in range(len(blocks) - 1, -1, -1):
-        *head, heading, text = blocks[i]
-        found.append((*head, heading, after, text))
+        *rest, heading, text = blocks[i]
+        found.append((*rest, heading, after, above[i], text))
         after = after if heading else i
     return bool(inside), found[::-1]
 
 
 WRAPPERS = "host string, pages long, wrapper string"
-PAGE_BLOCKS = "article boolean, blocks array<struct<slot:int,box:int,linked:int,heading:boolean,after:int,text:string>>"
+PAGE_BLOCKS = "article boolean, blocks array<struct<slot:int,box:int,group:int,linked:int,heading:boolean,after:int,head:int,text:string>>"
 
 
 def _infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -431,28 +448,46 @@ def with_blocks(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     return rows.select("row", "host", found.alias("found")).select("row", "host", "found.*")
 
 
+def _text(b: Column) -> Column:
+    """A slot and the text in it."""
+    return F.struct(b["slot"].alias("slot"), b["hash"].alias("hash"))
+
+
+def _units(b: Column, blocks: str) -> Column:
+    """What a block may go with: the container around it, and the heading above it with what follows, or itself."""
+    unit = lambda kind, number: F.struct(F.lit(kind).alias("kind"), number.cast("long").alias("number"))
+    head = F.get(blocks, b["head"])
+    return F.array(unit(0, b["group"]), unit(1, F.when(b["head"] >= 0, F.xxhash64(head["slot"], head["hash"]))))
+
+
 def decisions(blocks: DataFrame) -> DataFrame:
-    """What each host's slots say: host, template (slots and hashes of texts), links (slots), boxes (containers to drop).
+    """What each host's slots say, of blocks with `hash` for `text`: host, template (slots and hashes of texts), units (in which
+    such texts go), links (slots), boxes (containers to drop).
 
-    Pages with the same blocks count once. A template text is on most of the different pages that fill its slot, so a
-    host has at most twice as many as its pages have blocks on average.
+    Pages with the same blocks count once. A template text is on most of the host's different pages, so a host has at most
+    twice as many as its pages have blocks on average.
     """
-    of = lambda b: F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("hash"), F.length(b["text"]).alias("chars"), b["linked"].alias("linked"), b["box"].alias("box"))
-    slim = blocks.where(F.size("blocks") > 0).select("host", "article", F.transform("blocks", of).alias("blocks"))
     key = F.xxhash64(F.transform("blocks", lambda b: b["hash"]))
-    pages = save(slim.groupBy("host", key.alias("page")).agg(F.min("article").alias("article"), F.min("blocks").alias("blocks")), "html-pages")
-    filled = pages.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["slot"]))).alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("filled"))
-    texts = pages.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b["slot"].alias("slot"), b["hash"].alias("hash"))))).alias("t"))
-    texts = texts.groupBy("host", "t.slot", "t.hash").agg(F.count("*").alias("n")).where((F.col("n") >= WITNESSES) & (F.col("slot") >= 0))
-    texts = texts.join(filled, ["host", "slot"]).where(F.col("n") * 2 > F.col("filled"))
-    template = texts.groupBy("host").agg(F.collect_set(F.struct("slot", "hash")).alias("template"))
+    pages = blocks.where(F.size("blocks") > 0).groupBy("host", key.alias("page")).agg(F.min("article").alias("article"), F.min("blocks").alias("blocks"))
+    pages = save(pages, "html-pages")
+    counted = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    texts = pages.select("host", F.explode(F.array_distinct(F.transform("blocks", _text))).alias("t")).where(F.col("t.slot") >= 0)
+    texts = texts.groupBy("host", "t").agg(F.count("*").alias("n")).where(F.col("n") >= WITNESSES)
+    texts = texts.join(counted, "host").where(F.col("n") * 2 > F.col("pages"))
+    template = save(texts.groupBy("host").agg(F.collect_set("t").alias("template"), F.first("pages").alias("pages")), "html-template")
+    known = pages.join(template, "host").withColumn("known", F.transform("blocks", lambda b: F.array_contains("template", _text(b))))
+    met = known.select("host", "page", "pages", F.explode(F.transform("blocks", lambda b, i: F.struct(F.get("known", i).alias("same"), b["heading"].alias("heading"), _units(b, "blocks").alias("units")))).alias("b"))
+    met = met.select("host", "page", "pages", "b.same", "b.heading", F.explode("b.units").alias("unit")).where(F.col("unit.number").isNotNull() & (F.col("unit.number") != -1))
+    met = met.groupBy("host", "page", "unit").agg(F.min("same").alias("same"), F.min("heading").alias("bare"), F.first("pages").alias("pages"))
+    met = met.where(F.col("same") & ~(F.col("bare") & (F.col("unit.kind") == 1))).groupBy("host", "unit").agg(F.count("*").alias("n"), F.first("pages").alias("pages"))
+    units = met.where(F.col("n") * 2 > F.col("pages")).groupBy("host").agg(F.collect_set("unit").alias("units"))
     each = pages.select("host", "article", F.explode("blocks").alias("b")).select("host", "article", "b.*")
     links = each.where(~F.col("article") & (F.col("slot") >= 0)).groupBy("host", "slot").agg(F.sum("linked").alias("linked"), F.sum("chars").alias("chars"))
     links = links.where(F.col("linked") * 2 > F.col("chars")).groupBy("host").agg(F.collect_set("slot").alias("links"))
     boxed = each.groupBy("host", "box").agg(F.sum("chars").alias("chars"))
     whole = boxed.groupBy("host").agg(F.sum("chars").alias("all"))
     boxes = boxed.where(F.col("box") != -1).join(whole, "host").where(F.col("chars") * 2 < F.col("all")).groupBy("host").agg(F.collect_set("box").alias("boxes"))
-    return save(template.join(links, "host", "full").join(boxes, "host", "full"), "html-decisions")
+    return save(template.drop("pages").join(units, "host", "full").join(links, "host", "full").join(boxes, "host", "full"), "html-decisions")
 
 
 def main_text(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
@@ -463,14 +498,14 @@ def main_text(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     column `main_text` of pages is replaced, all others are kept, whatever their names; no pages give no rows.
     """
     columns = [c for c in pages.columns if c not in ("html", "main_text")]
-    blocks = save(with_blocks(pages, wrappers), "html-blocks")
-    judged = decisions(blocks).select(F.col("host").alias("of"), "template", "links", "boxes")
+    fact = lambda b: F.struct(F.xxhash64(b["text"]).alias("hash"), F.length(b["text"]).alias("chars"), *[b[c].alias(c) for c in ("slot", "box", "group", "linked", "heading", "head")])
+    blocks = save(with_blocks(pages, wrappers).withColumn("facts", F.transform("blocks", fact)), "html-blocks")
+    judged = decisions(blocks.select("host", "article", F.col("facts").alias("blocks"))).withColumnRenamed("host", "of")
     rows = blocks.join(judged, F.col("host") == F.col("of"), "left")
     has = lambda c, x: F.coalesce(F.array_contains(F.col(c), x), F.lit(False))
-    gone = lambda b: (
-        has("template", F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("hash"))) | has("boxes", b["box"]) | (~F.col("article") & has("links", b["slot"]))
-    )
-    rows = rows.withColumn("kept", F.transform("blocks", lambda b: ~gone(b)))
+    same = lambda b: has("template", _text(b)) & F.coalesce(F.arrays_overlap("units", _units(b, "facts")), F.lit(False))
+    gone = lambda b: same(b) | has("boxes", b["box"]) | (~F.col("article") & has("links", b["slot"]))
+    rows = rows.withColumn("kept", F.transform("facts", lambda b: ~gone(b)))
     stays = lambda b, i: F.get("kept", i) | (b["heading"] & (b["after"] >= 0) & F.coalesce(F.get("kept", b["after"]), F.lit(False)) & ~has("boxes", b["box"]))
     text = F.array_join(F.transform(F.filter("blocks", stays), lambda b: b["text"]), "\n")
     return rows.select(*[F.col("row")[c].alias(c) for c in columns], text.alias("main_text"))

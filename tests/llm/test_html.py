@@ -1,5 +1,7 @@
 from collections import Counter
 
+import pytest
+
 from heatloom.llm import wrappers
 
 PAGES = "page_id long, url string, html string, host string, wrapper string, row string, blocks string, main_text string"
@@ -61,15 +63,19 @@ def test_the_wrapper_decides_inside_articles(spark):
 
 
 def test_template_counts_against_brute_force(spark):
-    """A text goes if it fills its slot on most of the different pages that fill it, and on three at least."""
+    """A text is template if it fills its slot on most of the different pages, and on three at least; it goes if on most pages
+    its container holds nothing else. Alone among the article's own texts it stays."""
     import random
 
     pick = random.Random(5)
-    notes = ["note a", "note b", "note c"]
-    pages = [[f"own {i}", *[x for x in notes if pick.random() < 0.55]] for i in range(9)]
-    rows = [(i, "http://e.example/", "<article>" + "".join(f"<p>{x}</p>" for x in p) + "</article>") for i, p in enumerate(pages)]
-    counts = Counter(x for p in pages for x in p)
-    want = {i: "\n".join(x for x in p if not (counts[x] >= 3 and 2 * counts[x] > len(pages))) for i, p in enumerate(pages)}
+    kinds = {"a": "section", "b": "div", "c": "figure"}
+    pages = [[f"own {i}", "alone", *[(k, "note" if pick.random() < 0.8 else f"other {i}") for k in kinds if pick.random() < 0.75]] for i in range(9)]
+    markup = lambda x: f"<p>{x}</p>" if isinstance(x, str) else f"<{kinds[x[0]]}><p>{x[1]} {x[0]}</p></{kinds[x[0]]}>"
+    rows = [(i, "http://e.example/", "<article>" + "".join(map(markup, p)) + "</article>") for i, p in enumerate(pages)]
+    counts = Counter(x for p in pages for x in p if isinstance(x, tuple))
+    goes = {x for x, n in counts.items() if x[1] == "note" and n >= 3 and 2 * n > len(pages)}
+    assert 0 < len(goes) < 3
+    want = {i: "\n".join(x if isinstance(x, str) else f"{x[1]} {x[0]}" for x in p if x not in goes) for i, p in enumerate(pages)}
     assert run(spark, rows) == want
 
 
@@ -123,7 +129,7 @@ def test_wrappers_stay_small():
         whole = own if whole is None else wrappers.merge(whole, own)
     assert len(wrappers.to_json(whole)) < 10_000
     for deep in ("<nav>", "<div>", "<nav><p>"):
-        assert wrappers.page_blocks(deep * 5000 + "x", wrapper("<p>x"))[1] in ([], [(-1, -1, 0, False, -1, "x")])
+        assert wrappers.page_blocks(deep * 5000 + "x", wrapper("<p>x"))[1] in ([], [(-1, -1, -1, 0, False, -1, -1, "x")])
 
 
 def test_partial_wrappers_give_the_same_texts(spark):
@@ -140,3 +146,48 @@ def test_partial_wrappers_give_the_same_texts(spark):
 
 def test_empty_pages(spark):
     assert run(spark, []) == {}
+
+
+def texts_of(spark, pages):
+    rows = spark.createDataFrame([(i, "http://h.example/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["main_text"] for r in wrappers.main_text(rows, wrappers.infer_wrappers(rows)).collect()}
+
+
+def test_labels_of_varying_tables_and_lists_stay(spark):
+    """A constant label beside a varying value is no template: neither a cell nor a term nor a source line goes alone."""
+    page = "<article><h1>City {0}</h1><table><tr><th>Year</th><th>Population</th></tr><tr><td>200{0}</td><td>{0}1234</td></tr></table><p>Source: census.</p><dl><dt>Mayor</dt><dd>M{0}</dd></dl></article>"
+    found = texts_of(spark, [page.format(i) for i in range(6)])
+    assert all(found[i].split("\n") == [f"City {i}", "Year", "Population", f"200{i}", f"{i}1234", "Source: census.", "Mayor", f"M{i}"] for i in range(6))
+
+
+def test_a_quote_that_a_few_pages_share_stays(spark):
+    quote = "<blockquote>To be, or not to be.</blockquote>"
+    found = texts_of(spark, [f"<article><h1>Page {i}</h1><p>Words {i} here.</p>{quote if i < 3 else ''}</article>" for i in range(50)])
+    assert all(("To be, or not to be." in found[i]) == (i < 3) for i in range(50))
+
+
+def test_scores_that_repeat_stay(spark):
+    found = texts_of(spark, [f"<body><h1>Match {i}</h1><p>Final score</p><p>0-0</p></body>" for i in range(6)])
+    assert all(found[i] == f"Match {i}\nFinal score\n0-0" for i in range(6))
+
+
+@pytest.mark.parametrize("name", ['div class="share-price"', 'section class="comment-on-ruling"', 'table class="ad-revenue"', 'div class="notice-of-motion"', 'div id="menu-of-the-day"'])
+def test_class_names_with_other_words_do_not_vote(spark, name):
+    inner = "<tr><td>Number {}</td></tr>" if name.startswith("table") else "Number {}"
+    found = texts_of(spark, [f"<article><h1>T{i}</h1><p>{'word ' * 30}{i}</p><{name}>{inner.format(i)}</{name.split()[0]}></article>" for i in range(6)])
+    assert all(f"Number {i}" in found[i] for i in range(6))
+
+
+@pytest.mark.parametrize("name", ['class="ad"', 'class="share-buttons"', 'class="newsletter-signup box"', 'class="cookie-notice"', 'id="comments"', 'id="comment-list"', 'class="comments-area"'])
+def test_boxes_beside_the_article_go(spark, name):
+    found = texts_of(spark, [f"<article><h1>T{i}</h1><p>{'word ' * 30}{i}</p><div {name}><p>reader {i} says hi</p></div></article>" for i in range(6)])
+    assert all("says hi" not in found[i] and f"word {i}" in found[i] for i in range(6))
+
+
+def test_a_group_that_all_pages_share_goes(spark):
+    """No class, no element name: the wrapper's slots alone say that the box is the template's, inside an article too."""
+    page = "<article><h1>T{0}</h1><div><p>Get our letter</p><p>every week</p></div><p>Body {0} with words.</p></article>"
+    found = texts_of(spark, [page.format(i) for i in range(6)])
+    assert all(found[i] == f"T{i}\nBody {i} with words." for i in range(6))
+    few = texts_of(spark, [page.format(i) for i in range(2)])
+    assert all("Get our letter" in t for t in few.values())

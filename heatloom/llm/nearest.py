@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from heatloom.llm.common import save
@@ -116,7 +117,7 @@ def _sized(rows: int, dimensions: int) -> int:
     return max(16, rows * 64 // max(64, dimensions))
 
 
-def _blocks(quantizer: Quantizer):
+def _blocks(quantizer: Quantizer, kind: str):
     size = _sized(BLOCK_ROWS, quantizer.dimensions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,9 +132,9 @@ def _blocks(quantizer: Quantizer):
                 if codes.shape[1] % 2:
                     codes = np.pad(codes, ((0, 0), (0, 1)))
                 packed = codes[:, ::2] | codes[:, 1::2] << 4
-                half = (0.5 * (x * x).sum(axis=1)).astype(np.float32)
+                half = (0.5 * (x * x).sum(axis=1)).astype(np.float32)  # beyond float32: infinite, and the bound says nothing
                 rep = part["rep"].to_numpy().astype("<i8")
-                yield pd.DataFrame({"reps": [rep.tobytes()], "codes": [packed.tobytes()], "halves": [half.tobytes()], "rows": [len(part)], "vectors": [x.astype("<f4").tobytes()], "squares": [squares.tobytes()], "residuals": [residuals.tobytes()]})
+                yield pd.DataFrame({"reps": [rep.tobytes()], "codes": [packed.tobytes()], "halves": [half.tobytes()], "rows": [len(part)], "vectors": [x.astype(kind).tobytes()], "squares": [squares.tobytes()], "residuals": [residuals.tobytes()]})
 
     return run
 
@@ -162,7 +163,7 @@ class _Best:
         for i in range(len(left)):
             rounding = 1e-5 * (self.own[i] + lengths)
             bound = np.sqrt(np.maximum(self.own[i] - 2.0 * scores[i] + squares - lengths - rounding, 0)) - residuals
-            left[i] &= bound <= np.sqrt(self.worst[i]) * (1 + 1e-9)
+            left[i] &= ~(bound > np.sqrt(self.worst[i]) * (1 + 1e-9))  # a bound that overflowed says nothing: rank the row
         self._rank(*np.nonzero(left), reps, vectors)
 
     def _rank(self, at: np.ndarray, rows: np.ndarray, reps: np.ndarray, vectors: np.ndarray) -> None:
@@ -182,13 +183,13 @@ class _Best:
         return pd.DataFrame({"query": self.asked[self.at], "rep": self.reps, "square": self.found})
 
 
-def _scans(quantizer: Quantizer, keep: int, reranked: int):
+def _scans(quantizer: Quantizer, keep: int, reranked: int, kind: str):
     def run(groups: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query": np.empty(0, np.int64), "rep": np.empty(0, np.int64), "square": np.empty(0)})]
         for g in groups.itertuples():
             best = _Best(quantizer, np.asarray(g.query_reps, dtype=np.int64), g.query_vectors, keep, reranked)
             for r in blocks.itertuples():
-                codes, vectors = np.frombuffer(r.codes, dtype=np.uint8).reshape(r.rows, -1), np.frombuffer(r.vectors, dtype="<f4").reshape(r.rows, -1)
+                codes, vectors = np.frombuffer(r.codes, dtype=np.uint8).reshape(r.rows, -1), np.frombuffer(r.vectors, dtype=kind).reshape(r.rows, -1)
                 best.add(np.frombuffer(r.reps, dtype="<i8"), codes, np.frombuffer(r.halves, dtype=np.float32), vectors, np.frombuffer(r.squares), np.frombuffer(r.residuals))
             out.append(best.rows())
         return pd.concat(out)
@@ -208,7 +209,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, reranked: int = RE
     Rows with a null vec_id, an unusable vector, or another number of components than most take no part. The quantizer is
     fitted on at most `sample` vectors (smallest hashes of vec_id); every usable vector is indexed and scanned. Queries go
     in blocks of QUERY_BLOCK, against groups of index blocks. Rows with equal vec_id and vector count once; ties
-    in distance go to the smaller vec_id.
+    in distance go to the smaller vec_id. Float and double columns are ranked in double precision; a distance that
+    overflows is infinite. A vec_id with several vectors asks, and is found, with each of them.
     """
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.transform("embedding", lambda x: x + F.lit(0).cast("float")).alias("vector"), queries.alias("asked"))
     common = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -223,8 +225,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, reranked: int = RE
     asked = save(asked.join(index.select("vector", F.col("rep").alias("query")), "vector"), "ann-queries")
 
     chosen = index.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("vector").collect()
+    kind = "<f4" if rows.schema["vector"].dataType.elementType == T.FloatType() else "<f8"  # blocks keep the column's precision
     quantizer = Quantizer(common["d"]).fit(np.array([r["vector"] for r in chosen], dtype=np.float64))
-    blocks = index.select("rep", "vector").mapInPandas(_blocks(quantizer), "reps binary, codes binary, halves binary, rows int, vectors binary, squares binary, residuals binary")
+    blocks = index.select("rep", "vector").mapInPandas(_blocks(quantizer, kind), "reps binary, codes binary, halves binary, rows int, vectors binary, squares binary, residuals binary")
     distinct = asked.select("query", "vector").dropDuplicates(["query"])
     n_blocks = max(1, -(-distinct.count() // _sized(QUERY_BLOCK, common["d"])))
     places, splits = max(1, -(-index.count() // (PLACE_BLOCKS * _sized(BLOCK_ROWS, common["d"])))), -(-n_blocks // SPLIT_BLOCKS)
@@ -235,7 +238,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, reranked: int = RE
     # All blocks of a place meet a split's queries in one task, which keeps the k + 1 nearest (one may be the query).
     tasks, key = min(places * splits, 20_000), ["place", "split"]
     met = groups.repartition(tasks, *key).groupBy(*key).cogroup(blocks.repartition(tasks, *key).groupBy(*key))
-    found = met.applyInPandas(_scans(quantizer, k + 1, reranked), "query long, rep long, square double")
+    found = met.applyInPandas(_scans(quantizer, k + 1, reranked, kind), "query long, rep long, square double")
     best = Window.partitionBy("query").orderBy("square", "rep")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("query", "rep")
 
@@ -249,20 +252,22 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, reranked: int = RE
 
 
 def op8_nearest(spark, sf_dir: str) -> DataFrame:
-    """The ten nearest vectors to every hundredth one."""
+    """The ten nearest vectors to every hundredth one; null, zero and odd vectors, ties and repeated rows are as in `nearest`, and
+    an empty table gives no rows."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return nearest(vectors, F.col("vec_id") % 100 == 0)
 
 
 OP8_SQL = """
-WITH v AS (
-  SELECT vec_id, embedding AS e FROM embeddings
+WITH u AS (
+  SELECT DISTINCT vec_id, embedding AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+v AS (SELECT * FROM u WHERE len(e) = (SELECT len(e) FROM u GROUP BY len(e) ORDER BY count(*) DESC, len(e) LIMIT 1)),
 p AS (
   SELECT q.vec_id AS query_id, c.vec_id,
          sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (CAST(q.e[i] AS DOUBLE) - CAST(c.e[i] AS DOUBLE)) * (CAST(q.e[i] AS DOUBLE) - CAST(c.e[i] AS DOUBLE))), lambda a, b: a + b)) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INT) AS rank, vec_id, score
 FROM p QUALIFY rank <= 10
 """

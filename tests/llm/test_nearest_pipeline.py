@@ -50,6 +50,31 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert found == want
 
 
+def doubles(spark, rows):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+
+
+def brute_doubles(rows, every, k=10):
+    out = {}
+    with np.errstate(over="ignore"):
+        for q, v in rows:
+            if q % every == 0:
+                out[q] = [i for _, i in sorted((float(np.sqrt(((v - w) ** 2).sum())), i) for i, w in rows if i != q)[:k]]
+    return out
+
+
+def test_double_vectors_are_ranked_as_doubles(spark):
+    """Vectors that float32 can't tell apart, and vectors whose squares overflow."""
+    rng = np.random.default_rng(6)
+    close = [(i, np.arange(8) + 1e-9 * rng.normal(size=8)) for i in range(1, 401)]
+    huge = [(i, np.array([1e200 if j == 0 and i in (3, 6) else rng.normal() for j in range(4)])) for i in range(1, 10)]
+    for rows, every in ((close, 100), (huge, 3)):
+        found = {}
+        for r in nearest.nearest(doubles(spark, rows), F.col("vec_id") % every == 0).orderBy("query_id", "rank").collect():
+            found.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert found == brute_doubles(rows, every)
+
+
 def test_a_dense_group_of_near_copies(spark):
     rng = np.random.default_rng(1)
     centre = rng.normal(size=64)

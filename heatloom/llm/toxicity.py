@@ -24,9 +24,6 @@ SIZES = (3, 4, 5, 6)
 PASSAGE = 2
 CHUNK = 1 << 18
 DIMENSIONS = 8
-#: Bytes that neighbouring parts of a long text share, so that passages across their border are seen.
-SHARED = 1 << 10
-
 _CLASS = np.zeros(256, dtype=np.uint8)
 for _b in [*range(48, 58), *range(97, 123), *range(128, 256)]:
     _CLASS[_b] = _b
@@ -62,11 +59,21 @@ def subwords(raw: bytes) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def chunks(text: str | None) -> Iterator[bytes]:
-    """The text in UTF-8, in parts of about CHUNK bytes; each but the first begins SHARED bytes before the last one's end."""
-    raw = (text or "").encode()
-    yield raw[:CHUNK]
-    for at in range(CHUNK, len(raw), CHUNK):
-        yield raw[at - SHARED : at + CHUNK]
+    """The text in UTF-8, in parts of about CHUNK bytes that end at word ends; each but the first begins with the last
+    PASSAGE - 1 words of the one before, so the parts have the passages of the whole text, and no others."""
+    raw, at = (text or "").encode(), 0
+    if len(raw) > CHUNK:
+        inside = np.pad(_CLASS[np.frombuffer(raw, dtype=np.uint8)] != 0, 1)
+        starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
+        while len(raw) - at > CHUNK:
+            i = int(np.searchsorted(ends, at + CHUNK))
+            while i < len(ends) and starts[i - PASSAGE + 2] <= at:  # words longer than a part
+                i += 1
+            if i >= len(ends) - 1:
+                break
+            yield raw[at : ends[i]]
+            at = int(starts[i - PASSAGE + 2])
+    yield raw[at:]
 
 
 def text_words(text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -125,7 +132,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 0) -
                 if not y[i]:  # any other passage of a clean text is clean too
                     at = int(rng.integers(len(means)))
                     others.append(buckets[(words >= at) & (words < at + PASSAGE)])
-            for bag in [b for b in (bag, *others[:1]) if b is not None and len(b)]:
+            other = others if len(others) < 2 else [others[int(rng.integers(len(others)))]]
+            for bag in [b for b in (bag, *other) if b is not None and len(b)]:
                 mean = vectors[bag].mean(axis=0)
                 logits = mean @ weights + bias
                 p = np.exp(logits - logits.max())

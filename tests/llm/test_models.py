@@ -84,17 +84,19 @@ def test_subwords_by_hand():
     assert set(b.tolist()) <= set(a.tolist())
 
 
-def test_chunks_cover_the_text(monkeypatch):
-    """Parts overlap by SHARED bytes, so every passage of ordinary words lies whole in one of them."""
+def test_parts_have_the_passages_of_the_whole(monkeypatch):
+    """Wherever a border falls, a text scores as in one part: no word is torn, no passage lost or added."""
     whole = np.random.default_rng(3).normal(size=toxicity.BUCKETS)
-    texts = ["", None, "word " * 20, "x" * 100, "a\n" * 33, " ".join(f"w{i * i}" for i in range(90))]
+    texts = ["", None, "word " * 20, "x" * 100, "a\n" * 33, " ".join(f"w{i * i}" for i in range(90)), "y" * 70 + " b " + "z" * 200 + " c d", "  , " * 40 + "e"]
+    texts += ["fill " * 10 + " " * n + "zukunftsweg und zuk ende " + "fill " * 10 for n in range(70)]
     scores = [toxicity.worst_passage(t, whole) for t in texts]
     monkeypatch.setattr(toxicity, "CHUNK", 64)
-    monkeypatch.setattr(toxicity, "SHARED", 32)
     for text, score in zip(texts, scores, strict=True):
-        raw, parts = (text or "").encode(), list(toxicity.chunks(text))
-        assert parts[0] + b"".join(p[32:] for p in parts[1:]) == raw
-        assert toxicity.worst_passage(text, whole) >= score or text == "x" * 100
+        parts = list(toxicity.chunks(text))
+        words = [toxicity.subwords(p)[2] for p in parts]
+        assert sum(words) - max(0, len(parts) - 1) * (toxicity.PASSAGE - 1) == toxicity.subwords((text or "").encode())[2]
+        assert all(len(p) <= 64 + 300 for p in parts) and (len(parts) > 1 or len((text or "").encode()) < 400)
+        assert toxicity.worst_passage(text, whole) == pytest.approx(score, abs=1e-9)
 
 
 def test_a_word_in_front_moves_nothing():

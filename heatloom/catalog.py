@@ -220,6 +220,13 @@ def _tcx_files(points: DataFrame) -> DataFrame:
     return found.select(_base(), F.size("points").cast("long").alias("num_points"), tracks.points_hash(F.col("points")).alias("content_hash"), "error")
 
 
+def _tcx_splits(points: DataFrame) -> DataFrame:
+    """The same files, read in splits."""
+    folder, _ = ev.activity_files(points, "gpx", "prefixed", "tcx", "fit")
+    found = tcx.split_tcx(points.sparkSession, folder)
+    return found.select(_base(), F.size("points").cast("long").alias("num_points"), tracks.points_hash(F.col("points")).alias("content_hash"), "error")
+
+
 def _import(points: DataFrame) -> DataFrame:
     """A folder of all formats, imported; and again as another batch."""
     folder, records = ev.activity_files(points, "gpx", "prefixed", "tcx", "fit")
@@ -239,9 +246,23 @@ def _streamed(points: DataFrame) -> tuple[str, str]:
 
 
 def _stream_import(points: DataFrame) -> DataFrame:
+    """The stored tracks, by their contents."""
     store, _ = _streamed(points)
-    stored = importing.stored(points.sparkSession, store, "trackpoints").groupBy("track_id").agg(F.count("*").alias("num_points"))
-    return stored.groupBy("num_points").agg(F.count("*").alias("tracks"))
+    stored = importing.stored(points.sparkSession, store, "trackpoints")
+    return stored.groupBy("track_id").agg(F.count("*").alias("num_points"), F.max("seq").alias("last_seq")).join(importing.stored(points.sparkSession, store, "tracks").select("track_id", "content_hash"), "track_id").drop("track_id")
+
+
+def _stream_fit(points: DataFrame) -> DataFrame:
+    """FIT files whose decoded records arrive after them."""
+    folder, records = ev.activity_files(points, "gpx", "prefixed", "tcx", "fit")
+    spark, store, work = points.sparkSession, new_folder(points.sparkSession, "store"), new_folder(points.sparkSession, "work")
+    run = lambda: imports.stream_fit(spark, folder, f"{work}/decoded", store, f"{work}/c").awaitTermination()
+    flat = records.withColumn("seq", F.col("seq.track_id") * 1_000_000 + F.col("seq.seq"))
+    flat.limit(0).write.parquet(f"{work}/decoded")
+    run()
+    flat.repartition("file").write.mode("append").parquet(f"{work}/decoded")
+    run()
+    return importing.stored(spark, store, "log").select(_base(), "status", "num_points")
 
 
 def _stream_dedup(points: DataFrame) -> DataFrame:
@@ -332,6 +353,8 @@ def queries() -> dict[str, Callable]:
         "read_tcx_tracks": _points(_tcx_files),
         "import_job": _points(_import),
         "stream_import": _points(_stream_import),
+        "stream_fit": _points(_stream_fit),
+        "read_tcx_splits": _points(_tcx_splits),
         "stream_dedup": _points(_stream_dedup),
         "stream_dirty_tiles": _points(_stream_dirty),
         "stream_render": _points(_stream_render),

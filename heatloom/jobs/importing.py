@@ -13,41 +13,44 @@ from heatloom.sources import files, fit, gpx, tcx
 
 
 NOT_DECODED = "no decoded records"
-#: A TCX file has one track, so it is read as one value.
-TOO_LARGE = "file too large"
 
 
-def parsed_tracks(spark: SparkSession, folder: str, fit_records: DataFrame | None = None, most_bytes: int = files.LARGE_BYTES) -> DataFrame:
-    """Every track of the GPX, TCX and FIT files below a folder, and a row for each file that has none.
+def parsed_tracks(spark: SparkSession, source: str | list[str], fit_records: DataFrame | None = None, most_bytes: int = files.LARGE_BYTES) -> DataFrame:
+    """Every track of the GPX, TCX and FIT files below a folder (or of given files), and a row for each file that has none.
 
     Spark reads no FIT: fit_records has the decoded records of such files (file, seq, position_lat, position_long, ts), where
-    `file` is the path below the folder. A FIT file without records there is an error, not a file without positions; so is a TCX
-    file above `most_bytes`.
+    `file` is the path below the folder. A FIT file without records there is an error, not a file without positions. Files above
+    `most_bytes` are hashed, and TCX files parsed, in splits; the tracks are the same.
     """
-    hashes = files.file_hashes(spark, folder, most_bytes)
-    found = gpx.parsed_gpx(gpx.read_gpx_tracks(spark, folder))
-    whole = tcx.parsed_tcx(files.file_contents(spark, folder, "*.[tT][cC][xX]", most_bytes))
+    hashes = files.file_hashes(spark, source, most_bytes)
+    found = gpx.parsed_gpx(gpx.read_gpx_tracks(spark, source))
+    whole = tcx.parsed_tcx(files.file_contents(spark, source, tcx.FILES, most_bytes))
+    if files.any_above(spark, source, most_bytes):
+        whole = whole.unionByName(tcx.split_tcx(spark, source, most_bytes))
     if fit_records is not None:
-        paths = hashes.where("ext = 'fit'").select("path", files.name_below(F.col("path"), folder).alias("file"))
-        decoded = paths.join(fit.parsed_fit(fit_records), "file").withColumn("error", F.lit(None).cast("string"))
-        whole = whole.unionByName(decoded.drop("file"))
+        paths = hashes.where("ext = 'fit'").select("path", files.name_below(F.col("path"), source).alias("file"))
+        whole = whole.unionByName(paths.join(_decoded(fit_records), "file").drop("file"))
     return _with_files(hashes, found, whole)
 
 
-def parsed_contents(contents: DataFrame) -> DataFrame:
-    """The same of whole files (path, content), for streams."""
-    rows = contents.withColumn("ext", names.extension(F.col("path"))).withColumn("file_hash", F.sha2("content", 256))
-    found = gpx.parsed_gpx(gpx.gpx_tracks_of(rows.where("ext = 'gpx'")))
-    return _with_files(rows.select("path", "ext", "file_hash"), found, tcx.parsed_tcx(rows.where("ext = 'tcx'")))
+def parsed_fit_files(records: DataFrame) -> DataFrame:
+    """The same of FIT files of which all is at hand: decoded records with the path and file_hash of their file."""
+    hashes = records.select("path", F.lit("fit").alias("ext"), "file_hash").distinct()
+    found = _decoded(records.withColumn("file", F.col("path"))).withColumnRenamed("file", "path")
+    return _with_files(hashes, None, found)
 
 
-def _with_files(hashes: DataFrame, gpx_tracks: DataFrame, whole_files: DataFrame) -> DataFrame:
-    whole = whole_files.select("path", F.lit(None).cast("int").alias("track_index"), F.lit(None).cast("string").alias("track_name"), "start_time", "end_time", "points", "error")
-    found = gpx_tracks.withColumn("error", F.lit(None).cast("string")).unionByName(whole)
+def _decoded(records: DataFrame) -> DataFrame:
+    return fit.parsed_fit(records).withColumn("error", F.lit(None).cast("string"))
+
+
+def _with_files(hashes: DataFrame, gpx_tracks: DataFrame | None, whole_files: DataFrame) -> DataFrame:
+    found = whole_files.select("path", F.lit(None).cast("int").alias("track_index"), F.lit(None).cast("string").alias("track_name"), "start_time", "end_time", "points", "error")
+    if gpx_tracks is not None:
+        found = gpx_tracks.withColumn("error", F.lit(None).cast("string")).unionByName(found)
     rows = hashes.join(found, "path", "left")
-    large = F.when((F.col("ext") == "tcx") & F.col("points").isNull(), TOO_LARGE)
     undecoded = F.when((F.col("ext") == "fit") & F.col("points").isNull(), NOT_DECODED)
-    error = F.coalesce("error", gpx.format_error(F.col("path")), large, undecoded)
+    error = F.coalesce("error", gpx.format_error(F.col("path")), undecoded)
     return rows.withColumn("error", error).withColumn("points", F.coalesce("points", F.array())).select("path", "file_hash", "track_index", "ext", "track_name", "start_time", "end_time", "points", "error")
 
 

@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatloom.functions import names
+from heatloom.tables import in_ranges, running
 
 AWAY = r"/(done|errors)/[^/]*$"
 #: Activity files by extension, in any case.
 ACTIVITIES = "*.{[fF][iI][tT],[gG][pP][xX],[tT][cC][xX]}"
 #: Files above this are not read as one value.
 LARGE_BYTES = 1 << 30
+#: Files of each format, and where their records end.
+RECORDS = (("*.[gG][pP][xX]", "</trk>"), ("*.[tT][cC][xX]", "</Trackpoint>"), ("*.[fF][iI][tT]", "\n"))
 
 
-def _listed(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+def _listed(spark: SparkSession, folder: str | list[str], glob: str = "*") -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     rows = reader.load(folder).withColumn("path", F.col("_metadata.file_path")).withColumn("ext", names.extension(F.col("path")))
     return rows.where(~F.col("path").rlike(AWAY))
@@ -31,26 +34,40 @@ def name_below(path: Column, folder: str) -> Column:
     return F.substring(plain(names.decoded(path)), F.length(plain(F.lit(folder.rstrip("/")))) + 2, F.lit(1 << 20))
 
 
-def file_contents(spark: SparkSession, folder: str, glob: str = ACTIVITIES, most_bytes: int = LARGE_BYTES) -> DataFrame:
+def file_contents(spark: SparkSession, folder: str | list[str], glob: str = ACTIVITIES, most_bytes: int = LARGE_BYTES) -> DataFrame:
     """path, ext, content and file_hash of activity files of at most `most_bytes`; others' contents are not read."""
     rows = _listed(spark, folder, glob).where(F.col("length") <= most_bytes)
     return rows.select("path", "ext", "content", F.sha2("content", 256).alias("file_hash"))
 
 
-def file_hashes(spark: SparkSession, folder: str, most_bytes: int = LARGE_BYTES) -> DataFrame:
-    """path, ext, file_hash of every file below a folder.
+def any_above(spark: SparkSession, source: str | list[str], most_bytes: int) -> bool:
+    """Whether an activity file is larger than `most_bytes`. Contents are not read."""
+    return not _listed(spark, source, ACTIVITIES).where(F.col("length") > most_bytes).select("path").isEmpty()
+
+
+def file_hashes(spark: SparkSession, folder: str | list[str], most_bytes: int = LARGE_BYTES) -> DataFrame:
+    """path, ext, file_hash of every file below a folder, or of given files.
 
     The hash is the SHA-256 of the contents. Of files of other formats no contents are read, and the hash is that of the
-    path. Files above `most_bytes` are read as records in splits; theirs is the SHA-256 of their length and of sums over
-    the hashes of all records, which does not depend on the splits (nor on the order of the records).
+    path. Files above `most_bytes` are read as records in splits; theirs is the SHA-256 of their length and of sums over the
+    hashes of all records with their numbers in the file, so it depends on the order of the records but not on the splits.
     """
     whole = file_contents(spark, folder, most_bytes=most_bytes).select("path", "ext", "file_hash")
     other = _listed(spark, folder).where(~F.col("ext").isin(*names.EXTENSIONS)).select("path", "ext", F.sha2("path", 256).alias("file_hash"))
-    reader = spark.read.option("lineSep", "</trk>").option("recursiveFileLookup", True).option("pathGlobFilter", ACTIVITIES)
-    size = F.col("_metadata.file_size")
-    records = reader.text(folder).where(size > most_bytes).select("value", F.col("_metadata.file_path").alias("path"), size.alias("size"))
-    first, second = F.xxhash64("value"), F.xxhash64(F.lit(1), "value")
-    sums = records.where(~F.col("path").rlike(AWAY)).groupBy("path", "size").agg(F.count("*").alias("n"), F.bit_xor(first).alias("x"), F.sum(first.cast("decimal(38,0)")).alias("s"), F.bit_xor(second).alias("y"))
+    if not any_above(spark, folder, most_bytes):
+        return whole.unionByName(other)
+    size, place, records = F.col("_metadata.file_size"), ["block", "place"], None
+    for glob, closer in RECORDS:
+        reader = spark.read.option("lineSep", closer).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+        rows = reader.text(folder).where(size > most_bytes).select("value", F.col("_metadata.file_path").alias("path"), size.alias("size"), F.col("_metadata.file_block_start").alias("block"))
+        rows = rows.withColumn("place", F.monotonically_increasing_id()).where(~F.col("path").rlike(AWAY))
+        rows = rows.select("path", "size", *place, F.xxhash64("value").alias("first"), F.xxhash64(F.lit(1), "value").alias("second"))
+        records = rows if records is None else records.unionByName(rows)
+    numbered = running(in_ranges(records, "path", *place), ["path", *place])
+    starts = numbered.groupBy("path").agg(F.min("before").alias("start"))
+    number = F.col("before") - F.col("start")
+    first, second = F.xxhash64("first", number), F.xxhash64("second", number)
+    sums = numbered.join(starts, "path").groupBy("path", "size").agg(F.count("*").alias("n"), F.bit_xor(first).alias("x"), F.sum(first.cast("decimal(38,0)")).alias("s"), F.bit_xor(second).alias("y"))
     large = sums.select("path", names.extension(F.col("path")).alias("ext"), F.sha2(F.concat_ws(":", "size", "n", "x", "s", "y"), 256).alias("file_hash"))
     return whole.unionByName(other).unionByName(large)
 

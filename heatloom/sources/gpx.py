@@ -44,8 +44,8 @@ def parsed_track(rows: DataFrame, xml: Column) -> DataFrame:
     return rows.withColumn("start_time", F.get(timed, F.lit(0))).withColumn("end_time", F.element_at(F.when(F.size(timed) > 0, timed), -1)).drop("_t", "_p")
 
 
-def read_gpx_tracks(spark: SparkSession, folder: str) -> DataFrame:
-    """path, chunk (order in the file) and xml of each track element below a folder.
+def read_gpx_tracks(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+    """path, chunk (order in the file) and xml of each track element below a folder, or of given files.
 
     Files are split at '</trk>' across partitions, so one file may be far larger than a task's memory. Pieces that hold
     closers of another spelling (with a prefix, in capitals, with spaces) are split again at these; what lies between two
@@ -60,13 +60,6 @@ def read_gpx_tracks(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.where(F.col("xml").isNotNull())
 
 
-def gpx_tracks_of(files: DataFrame) -> DataFrame:
-    """path, chunk and xml from whole contents (path, content): for closers of any spelling."""
-    text = F.decode("content", "UTF-8")
-    pieces = files.select("path", F.posexplode(F.split(text, CLOSER)).alias("chunk", "value"))
-    return pieces.withColumn("xml", track_elements(F.col("value"))).where(F.col("xml").isNotNull()).drop("value")
-
-
 def parsed_gpx(chunks: DataFrame) -> DataFrame:
     """path, track_index, track_name, start_time, end_time, points of usable tracks, numbered in file order.
 

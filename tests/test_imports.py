@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heatloom.functions import names
 from heatloom.jobs import importing, rendering, store
 from heatloom.operators import maintenance, render, tiles, tracks
-from heatloom.sources import files, gpx
+from heatloom.sources import files, gpx, tcx
 from heatloom.streaming import imports
 
 TRACK = '<trk><name>{name}</name><trkseg>{points}</trkseg></trk>'
@@ -198,9 +198,55 @@ def test_a_writer_that_was_overtaken_starts_again(spark, folder, monkeypatch):
         real(spark, into, 2, 9, "late")
 
 
-def test_large_tcx_is_an_error(spark, folder):
-    rows = importing.parsed_tracks(spark, str(folder / "in"), most_bytes=10).where("ext = 'tcx'").collect()
-    assert rows and {r["error"] for r in rows} == {importing.TOO_LARGE}
+TCX_CASES = {
+    "plain": TCX.format(ns="", points="".join(TCX_POINT.format(t=f"t{i}", a=i, b=i + 0.5) for i in range(1, 9))),
+    "laps": "<a><Activities><Activity><Lap><Track>{0}</Track><Track>{1}</Track></Lap><Lap/><Lap><Track/><Track>{2}</Track></Lap></Activity><Activity><Lap><Track>{0}</Track></Lap></Activity></Activities></a>".format(*[TCX_POINT.format(t="", a=i, b=i) for i in range(3)]),
+    "prefixed": "<t:a xmlns:t='u'><t:Activities><t:Activity><t:Lap><t:Track>" + TCX_POINT.format(t="t", a=1, b=2).replace("</", "</t:").replace("<P", "<t:P").replace("<T", "<t:T").replace("<L", "<t:L") * 3 + "</t:Track></t:Lap></t:Activity></t:Activities></t:a>",
+    "courses": "<a><Courses><Course><Track>" + TCX_POINT.format(t="t", a=1, b=2) + "</Track></Course></Courses></a>",
+    "both": "<a><Activities><Activity><Lap><Track>{0}</Track></Lap></Activity></Activities><Courses><Course><Track>{1}</Track></Course></Courses></a>".format(TCX_POINT.format(t="t", a=1, b=2), TCX_POINT.format(t="u", a=3, b=4)),
+    "sports": "<a><Activities><MultiSportSession><FirstSport><Activity><Lap><Track>" + TCX_POINT.format(t="t", a=1, b=2) + "</Track></Lap></Activity></FirstSport></MultiSportSession></Activities></a>",
+    "outside": "<a><Activities><Activity><Track>{0}</Track><Lap><Note>{0}</Note><Track>{1}</Track></Lap></Activity></Activities></a>".format(TCX_POINT.format(t="t", a=1, b=2), TCX_POINT.format(t="u", a=3, b=4)),
+    "no points": "<a><Activities><Activity><Lap><Track/></Lap></Activity></Activities></a>",
+    "empty activity": "<a><Activities><Activity/></Activities></a>",
+    "nothing": "<a/>",
+    "cut": TCX.format(ns="", points=TCX_POINT.format(t="t", a=1, b=2) * 2)[:-30],
+    "cut in a point": TCX.format(ns="", points=TCX_POINT.format(t="t", a=1, b=2) * 2)[:-130],
+    "odd points": TCX.format(ns="", points="<Trackpoint/>" + TCX_POINT.format(t=" ", a="x", b=2) + TCX_POINT.format(t="t2", a=91, b=2) + "<Trackpoint ns3:a='1'><Time>t3</Time><Extensions><ns3:TPX><ns3:Speed>1</ns3:Speed></ns3:TPX></Extensions></Trackpoint>" + TCX_POINT.format(t="t4", a=" 5.5 ", b="-1e1")),
+}
+
+
+def test_tcx_in_splits(spark, tmp_path):
+    """Points, times and errors of files in splits are those of files parsed as a whole."""
+    for name, text in TCX_CASES.items():
+        (tmp_path / f"{name}.tcx").write_text(text)
+    (tmp_path / "zero.tcx").write_text("")
+    (tmp_path / "done").mkdir()
+    (tmp_path / "done" / "x.tcx").write_text(TCX_CASES["plain"])
+    row = lambda r: (r["start_time"], r["end_time"], [tuple(p) for p in r["points"]], r["error"])
+    read = lambda found: {unquote(r["path"].rsplit("/", 1)[1]): row(r) for r in found.collect()}
+    whole = read(tcx.parsed_tcx(files.file_contents(spark, str(tmp_path), tcx.FILES).where("length(content) > 0")))
+    assert len(whole) == len(TCX_CASES) and len(whole["plain.tcx"][2]) == 8 and len(whole["laps.tcx"][2]) == 4 and len(whole["odd points.tcx"][2]) == 1
+    assert whole == read(tcx.split_tcx(spark, str(tmp_path)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    try:
+        assert whole == read(tcx.split_tcx(spark, str(tmp_path)))
+        assert tcx.split_tcx(spark, str(tmp_path), 1 << 30).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_the_limit_changes_no_log(spark, folder):
+    judged = lambda most: sorted((r["path"], r["track_index"], r["error"], tuple(map(tuple, r["points"]))) for r in importing.parsed_tracks(spark, str(folder / "in"), fit_records(spark), most).collect())
+    order = lambda rows: [(p, -1 if i is None else i, e, x) for p, i, e, x in rows]
+    assert order(judged(10)) == order(judged(1 << 30))
+
+
+def test_the_order_of_records_counts(spark, tmp_path):
+    one, two = track("a", (1, 1), (1, 2)), track("b", (2, 2), (2, 3))
+    for name, parts in (("x", (one, two)), ("y", (two, one)), ("z", (one, two))):
+        (tmp_path / f"{name}.gpx").write_text("<gpx>" + "".join(parts) + "</gpx>")
+    found = {r["path"][-5]: r["file_hash"] for r in files.file_hashes(spark, str(tmp_path), 10).collect()}
+    assert found["x"] == found["z"] != found["y"]
 
 
 def test_hashes_of_large_files(spark, folder):
@@ -230,10 +276,47 @@ def test_many_tracks_over_small_splits(spark, tmp_path):
     assert [r["track_name"] for r in sorted(found, key=lambda r: r["track_index"])] == [f"t{i}" for i in range(40)]
 
 
-def test_other_closers(spark):
-    text = gpx_file(track("x", (1, 1), (1, 2))).replace("</trk>", "</TRK >")
-    rows = spark.createDataFrame([("p.gpx", bytearray(text.encode()))], "path string, content binary")
-    assert [r["track_name"] for r in gpx.parsed_gpx(gpx.gpx_tracks_of(rows)).collect()] == ["x"]
+def test_other_closers(spark, tmp_path):
+    (tmp_path / "p.gpx").write_text(gpx_file(track("x", (1, 1), (1, 2))).replace("</trk>", "</TRK >"))
+    assert [r["track_name"] for r in gpx.parsed_gpx(gpx.read_gpx_tracks(spark, str(tmp_path))).collect()] == ["x"]
+
+
+@pytest.mark.parametrize("file_first", [True, False])
+def test_stream_of_fit_files(spark, folder, file_first):
+    """A file and its records meet, whichever comes first; a restart imports nothing again."""
+    inbox, into, decoded = folder / "in", str(folder / "store"), folder / "decoded"
+    decoded.mkdir()
+    if not file_first:
+        for path in ("i.fit", "sub/h 1+.FIT"):
+            (inbox / path).rename(folder / path.replace("/", "-"))
+
+    def run():
+        imports.stream_fit(spark, str(inbox), str(decoded), into, str(folder / "c")).awaitTermination(120)
+        return sorted((r["filename"], r["status"], r["num_points"]) for r in importing.stored(spark, into, "log").collect())
+
+    if file_first:
+        assert run() == []
+    fit_records(spark).coalesce(1).write.mode("append").parquet(str(decoded))
+    if not file_first:
+        assert run() == []
+        for path in ("i.fit", "sub/h 1+.FIT"):
+            (folder / path.replace("/", "-")).rename(inbox / path)
+    want = [("h 1+.FIT", "imported", 3), ("i.fit", "no_gps_data", 0)]  # j.fit waits
+    assert run() == want and run() == want
+    fit_records(spark).coalesce(1).write.mode("append").parquet(str(decoded))
+    assert run() == want
+    place = sorted((r["seq"], r["lat"], round(r["lon"], 3)) for r in importing.stored(spark, into, "trackpoints").collect())
+    assert place == [(1, pytest.approx(8), 8.0), (2, pytest.approx(8), 8.001), (3, pytest.approx(8), 8.002)]
+
+
+def test_stream_equals_job(spark, folder):
+    """A stream over large files (in splits), odd names and other formats logs what the job logs; FIT files are left to their own."""
+    inbox = folder / "in"
+    (inbox / "w [1] {2}*?+%41.gpx").write_text(gpx_file(track("odd", (12, 12), (12, 12.001))))
+    imports.stream_import(spark, str(inbox), str(folder / "s1"), str(folder / "c"), fit_apart=True, most_bytes=100).awaitTermination(120)
+    importing.import_job(spark, str(inbox), str(folder / "s2"), 0, fit_records(spark))
+    streamed, job = (statuses(importing.stored(spark, str(folder / s), "log")) for s in ("s1", "s2"))
+    assert streamed == [r for r in job if not r[0].lower().endswith(".fit")] and any("odd" in r[2] for r in streamed)
 
 
 def test_streams(spark, folder):
@@ -243,7 +326,7 @@ def test_streams(spark, folder):
     (inbox / "z.gpx").write_text(gpx_file(track("again", (1, 1), (1, 1.001)), track("fresh", (11, 11), (11, 11.001))))
     run(imports.stream_import, str(inbox), store, str(folder / "c1"))
     log = importing.stored(spark, store, "log")
-    assert {r["status"]: r["count"] for r in log.groupBy("status").count().collect()}["imported"] == 10  # done/old.gpx arrives here too
+    assert {r["status"]: r["count"] for r in log.groupBy("status").count().collect()}["imported"] == 9  # done/old.gpx is left out
     run(imports.stream_dirty_tiles, store, str(out / "dirty"), str(folder / "c2"))
     points = importing.stored(spark, store, "trackpoints").drop("batch_id")
     key = ["z", "x", "y"]

@@ -218,7 +218,7 @@ def oracle_sql() -> dict[str, str]:
             p, files(*ALL_FORMATS), "a AS (SELECT file, track_index, num_points FROM gx UNION ALL SELECT file, NULL, num_points FROM wx)",
             "SELECT CAST(0 AS INT) AS batch, file, track_index, 'imported' AS status, num_points FROM a UNION ALL SELECT 1, file, track_index, 'duplicate', 0 FROM a",
         ),
-        "stream_import": q(p, files("gpx", "prefixed"), "SELECT content_hash, num_points, num_points AS last_seq FROM gx WHERE kind = 'gpx'"),
+        "stream_import": q(p, files("gpx"), "SELECT content_hash, num_points, num_points AS last_seq FROM gx"),
         "stream_fit": q(p, files(*ALL_FORMATS), "SELECT file, 'imported' AS status, num_points FROM wx WHERE kind = 'fit'"),
         "read_tcx_splits": q(p, files(*ALL_FORMATS), "SELECT file, num_points, content_hash, CAST(NULL AS VARCHAR) AS error FROM wx WHERE kind = 'tcx'"),
         "stream_dedup": q(p, "SELECT 'gpx' AS kind, 'imported' AS status, count(DISTINCT track_id) AS tracks FROM tp UNION ALL SELECT 'prefixed', 'content_duplicate', count(DISTINCT track_id) FROM tp"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.functions import geo, names
-from heatloom.jobs import importing, pixels, rendering
+from heatloom.jobs import export, importing, pixels, rendering
 from heatloom.operators import archive, maintenance, masks, raster, render, segments, tiles, tracks
 from heatloom.oracles import oracle_sql
 from heatloom.schemas import STYLES
@@ -164,6 +164,25 @@ def _export(points: DataFrame) -> DataFrame:
     return found
 
 
+def _blobs(points: DataFrame) -> DataFrame:
+    """Every tile of every style with a short image that its neighbours share."""
+    which = F.pmod(F.shiftright("x", 1) + F.shiftright("y", 1), F.lit(5)).cast("string")
+    image = F.concat(F.lit("image "), "style", F.lit(" "), F.repeat(which, F.pmod(F.col("x"), F.lit(4)).cast("int")))
+    styles = F.explode(F.array(*[F.lit(s) for s in STYLES])).alias("style")
+    return tiles.data_tiles(points).select("z", "x", "y", styles).withColumn("data", F.encode(image, "UTF-8"))
+
+
+def _archived(f: Callable):
+    """A query on written archives of such images, in small leaves and files."""
+
+    def run(spark, sf_dir: str) -> DataFrame:
+        folder, points = new_folder(spark, "archive"), ev.trackpoints(spark, sf_dir)
+        export.write_archives(save(_blobs(points), "images"), ev.stored_tracks(spark, sf_dir), folder, leaf=100, part_bytes=4096)
+        return f(spark, folder)
+
+    return run
+
+
 def _incremental(points: DataFrame) -> DataFrame:
     folder = new_folder(points.sparkSession, "cells")
     rendering.write_points(points, folder)
@@ -366,6 +385,9 @@ def queries() -> dict[str, Callable]:
         "pixel_state": _points(_pixel_state),
         "add_tracks": _points(_added),
         "export_archive": _points(_export),
+        "archive_tiles": _archived(lambda spark, folder: export.archive_tiles(spark, folder).withColumn("data", F.decode("data", "UTF-8"))),
+        "archive_directory": _archived(lambda spark, folder: spark.read.parquet(f"{folder}/leaves")),
+        "archive_metadata": _archived(lambda spark, folder: spark.read.parquet(f"{folder}/metadata").select("style", "min_zoom", "max_zoom", "tile_count", "name", "format", "type")),
         "incremental_render": _points(_incremental),
     }
     for z in (8, 11, 14):

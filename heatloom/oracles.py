@@ -153,6 +153,11 @@ TILE_ID = """hil AS (
          CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN s - 1 - ly ELSE ly END ELSE lx END, CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN s - 1 - lx ELSE lx END ELSE ly END
   FROM (SELECT *, CAST(1 AS BIGINT) << k AS s, (cx >> k) & 1 AS rx, (cy >> k) & 1 AS ry, cx & ((CAST(1 AS BIGINT) << k) - 1) AS lx, cy & ((CAST(1 AS BIGINT) << k) - 1) AS ly FROM hil WHERE k >= 0)),
 ids AS (SELECT z, x, y, CAST((pow(4, z) - 1) / 3 AS BIGINT) + d AS tile_id FROM hil WHERE k = -1)"""
+#: Short images of all tiles, with the offset of each style's first tile that has the image; a byte lies between two images.
+PLACED = f"""im2 AS (SELECT style, tile_id, 'image ' || style || ' ' || repeat(CAST(((x >> 1) + (y >> 1)) % 5 AS VARCHAR), CAST(x % 4 AS INT)) AS data FROM ids, {STYLES}),
+fi AS (SELECT style, data, min(tile_id) AS first FROM im2 GROUP BY style, data),
+fo AS (SELECT style, data, CAST(coalesce(sum(length(data) + 1) OVER (PARTITION BY style ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM fi),
+placed AS (SELECT style, tile_id, "offset", length(data) AS length, data FROM im2 JOIN fo USING (style, data))"""
 BLOBS = "blobs AS (SELECT *, x % 97 * 13 + y % 89 * 7 + 67 AS length FROM ids)"
 REQUESTS = """req AS (SELECT CASE WHEN (x + y) % 5 = 1 THEN 'neon' ELSE 'warm' END AS style, CASE WHEN (x + y) % 5 = 2 THEN -1 WHEN (x + y) % 5 = 3 AND x % 2 = 0 THEN 21 ELSE z END AS z,
   CASE WHEN (x + y) % 5 = 4 THEN CAST(pow(2, z) AS BIGINT) ELSE x END AS x, y FROM dt)"""
@@ -209,6 +214,13 @@ def oracle_sql() -> dict[str, str]:
         "pixel_state": q(stay, t, SEGMENTS, hits(2, 18), images(), in_tile),
         "incremental_render": q(p, t, SEGMENTS, hits(2, 18), DIRTY, DISK, images("dirty"), f"SELECT style, z, x, y, 'drawn' AS state FROM im, {STYLES} UNION ALL SELECT style, z, x, y, 'kept' FROM disk WHERE (z, x, y) NOT IN (SELECT (z, x, y) FROM dirty)"),
         "export_archive": q(p, t, SEGMENTS, hits(2, 18), images(), TILE_ID, f"SELECT style, count(*) AS tiles, min(tile_id) AS first_id, max(tile_id) AS last_id, true AS gapless, true AS shared FROM (SELECT * FROM im JOIN ids USING (z, x, y)), {STYLES} GROUP BY style"),
+        "archive_tiles": q(p, t, TILE_ID, PLACED, "SELECT style, tile_id, \"offset\", length, data FROM placed"),
+        "archive_directory": q(
+            p, t, TILE_ID, PLACED, "s AS (SELECT *, tile_id - row_number() OVER (PARTITION BY style, \"offset\" ORDER BY tile_id) AS island FROM placed)",
+            'r AS (SELECT style, min(tile_id) AS tile_id, count(*) AS run_length, "offset", any_value(length) AS length FROM s GROUP BY style, "offset", island)',
+            'SELECT style, CAST((row_number() OVER (PARTITION BY style ORDER BY tile_id) - 1) // 100 AS BIGINT) AS leaf, tile_id, run_length, "offset", length FROM r',
+        ),
+        "archive_metadata": q(p, t, f"SELECT style, min(z) AS min_zoom, max(z) AS max_zoom, count(*) AS tile_count, 'Heatmap (' || style || ')' AS name, 'png' AS format, 'overlay' AS type FROM dt, {STYLES} GROUP BY style"),
         "write_tiles": q(p, t, DISK, "SELECT style, z, x, y, CAST(5 AS BIGINT) AS bytes FROM disk"),
         "list_tiles_on_disk": q(p, t, DISK, "SELECT style, z, x, y FROM disk WHERE style = 'warm'"),
         "scan_activity_files": q(p, files(*ALL_FORMATS), "SELECT DISTINCT file, split_part(file, '.', 2) AS ext FROM f"),

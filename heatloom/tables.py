@@ -58,6 +58,12 @@ def forget(*saved: DataFrame) -> None:
         store.delete(folder, True)
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end there."""
+    folder, store = _folder(spark, path)
+    return store.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS"))
+
+
 def rename_parts(spark: SparkSession, folder: str) -> None:
     """Turns the single part file of each folder <folder>/<key>=<name> into the file <folder>/<name>; for few such folders."""
     path, store = _folder(spark, folder)

@@ -332,12 +332,33 @@ def test_streams(spark, folder):
     key = ["z", "x", "y"]
     dirty = spark.read.parquet(str(out / "dirty")).select(*key).distinct()
     assert dirty.exceptAll(tiles.data_tiles(points)).count() == 0 and dirty.count() == tiles.data_tiles(points).count()
-    run(imports.stream_render, store, str(out / "dirty"), str(out / "tiles"), str(folder / "c3"), 13, 14)
+    run(imports.stream_render, store, str(out / "dirty"), str(out / "tiles"), str(folder / "c3"), 13, 14, None, 12)
+    assert len(list((out / "tiles").glob("batch_id=0/round=*"))) > 1
     drawn = imports.latest_tiles(spark, str(out / "tiles")).select("style", *key)
     whole = render.render_tiles(points, tiles.data_tiles(points, 13, 14), 13, 14).select("style", *key)
     assert drawn.exceptAll(whole).count() == 0 and whole.exceptAll(drawn).count() == 0
 
 
+def test_rounds(spark):
+    """Heavy tiles are alone in their rounds, light rounds are below twice the bound, and every tile has a round."""
+    rng = random.Random(3)
+    rows = [(t, s, 10 + t * 0.7 + rng.random() / 500, 20 + rng.random() / 500) for t in range(12) for s in range(1, 2 + 3 ** (t % 6))]
+    p = spark.createDataFrame(rows, "track_id long, seq long, lat double, lon double")
+    wanted = tiles.data_tiles(p, 8, 13)
+    off = spark.createDataFrame([(8, 0, 0)], wanted.schema)
+    found = imports.rounds(p, wanted.unionByName(wanted).unionByName(off), 8, 13, 100).collect()
+    want = {(r["z"], r["x"], r["y"]): r["points"] for r in tiles.tile_density(p).where("z BETWEEN 8 AND 13").collect()} | {(8, 0, 0): 0}
+    assert len(found) == len(want) and {(r["z"], r["x"], r["y"]): r["points"] for r in found} == want
+    together = {}
+    for r in found:
+        together.setdefault(r["round"], []).append(r["points"])
+    assert any(max(t) >= 100 for t in together.values()) and any(len(t) > 1 for t in together.values())
+    for costs in together.values():
+        assert len(costs) == 1 if max(costs) >= 100 else sum(costs) < 200
+    heaviest = [max(together[t]) for t in sorted(together)]
+    assert heaviest == sorted(heaviest, reverse=True)
+
+
 def test_incremental_equals_full(spark):
     rows = [(t, s, 46.5 + 0.0005 * s, -87.5 + 0.0004 * t * s) for t in range(1, 5) for s in range(1, 20)]
     p = spark.createDataFrame(rows, "track_id long, seq long, lat double, lon double")

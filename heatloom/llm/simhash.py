@@ -33,6 +33,12 @@ WORDS = 32
 SAMPLED = 7
 #: Texts that are compared with each other at once.
 BLOCK = 400
+#: Copies of each text, on average, that the blocks of a word's group may take before its texts meet by prefix keys.
+COPIES = 4
+#: Buckets of shingle hashes whose texts are counted, to order shingles by how rare they are.
+SEEN = 1 << 20
+#: Smallest sizes of the classes of sets of like size, each about 1.04 times the one before.
+CLASS_STARTS = np.unique(np.ceil(1.04 ** np.arange(560)).astype(np.int64))
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -198,11 +204,11 @@ def alike(sets: list[np.ndarray], similarity: float, columns: int = 4096) -> np.
 
 
 def _links_across(similarity: float):
-    """Exact links between texts of different components that share a part of a word's group; at most those that connect."""
+    """Exact links between texts of different components that share a part of a group; at most those that connect."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for _, group in rows.groupby(["word", "i", "j"], sort=False):
+        for _, group in rows.groupby(["key", "i", "j"], sort=False):
             ids, roots = group["id"].to_numpy(), group["root"].to_numpy()
             if (roots == roots[0]).all():
                 continue
@@ -221,32 +227,113 @@ def _similar(a: Column, b: Column, similarity: float) -> Column:
     return shared >= similarity * (F.size(a) + F.size(b) - shared)
 
 
-def _across_components(met: DataFrame, links: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between texts that share a word but that `links` don't connect.
+def _size_class(n: float) -> int:
+    return int(np.searchsorted(CLASS_STARTS, n, "right")) - 1
+
 
-    A word whose texts are all connected is done, and so is one of two texts. In any other group the largest component's
-    texts need no comparison with each other, so parts of up to BLOCK / 2 texts are formed of it and of the others; each
-    part of the others meets every part. Groups of up to BLOCK texts are one part.
+def prefix_keys(shingles: np.ndarray, seen: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a set of shingle hashes: any two sets whose Jaccard similarity is at least `similarity` have one in
+    common, and it is a key of the home of the smaller one.
+
+    Shingles are ordered by how often their bucket was `seen` (texts for each bucket of hashes), rare ones first. Sets of a
+    and b shingles have to share s = similarity / (1 + similarity) * (a + b), so the first shared one is among the first
+    a - s + 1 of the one and b - s + 1 of the other. A set has such a prefix for each size class that its smaller partners
+    may have, and for its own class, its home; a key is a hash of shingle and class whose lowest bit tells a home. What all texts
+    share comes last in the order, so texts that share a passage and are not near have no key of a home in common. Buckets seen
+    once are left out: no other set has them.
     """
-    roots = save(components(links), "near-roots")
-    rows = met.where("n > 2").join(roots, met["id"] == roots["node"], "left").select("word", "id", F.coalesce("root", "id").alias("root"))
-    sides = rows.groupBy("word", "root").agg(F.count("*").alias("n"))
-    sides = sides.groupBy("word").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).where(F.col("most.n") < F.col("n"))
+    own = np.asarray(shingles, dtype=np.int64)
+    count = seen[own % len(seen)]
+    order = np.lexsort((own, count))
+    own, seen_once = own[order].view(np.uint64), count[order] < 2
+    n, keys = len(own), [np.zeros(0, dtype=np.uint64)]
+    home = _size_class(n)
+    for c in range(_size_class(np.ceil(similarity * n - 1e-9)), home + 1 if n else 0):
+        partner = max(CLASS_STARTS[c], similarity * n)
+        first = n - int(np.ceil(similarity / (1 + similarity) * (n + partner) - 1e-9)) + 1
+        hashes = _mixed(own[:first][~seen_once[:first]] + np.uint64(c * int(FACTORS[0]) % 2**64))
+        keys.append(hashes >> np.uint64(1) << np.uint64(1) | np.uint64(c == home))
+    return np.concatenate(keys).view(np.int64)
+
+
+def _with_prefix_keys(texts: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """(key, home, id, root) of texts (id, root), a row for each of their prefix keys. SEEN counts pass the driver."""
+    sets = save(texts.join(shingles, "id"), "near-wide")
+    counts = sets.select(F.explode("shingles").alias("x")).select(F.pmod("x", F.lit(SEEN)).alias("bucket")).groupBy("bucket").count().toPandas()
+    seen = np.zeros(SEEN, dtype=np.uint32)
+    seen[counts["bucket"]] = np.minimum(counts["count"], 2**32 - 1)
+
+    @F.pandas_udf("array<long>")
+    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([prefix_keys(x, seen, similarity) for x in batch], dtype=object)
+
+    rows = sets.select(F.explode(keys("shingles")).alias("x"), "id", "root")
+    return rows.select(F.col("x").bitwiseAND(F.lit(-2).cast("long")).alias("key"), F.col("x").bitwiseAND(F.lit(1).cast("long")).alias("home"), "id", "root")
+
+
+def _mixed_groups(rows: DataFrame) -> DataFrame:
+    """The rows (key, home, id, root) of keys with a text at home and with several roots; of keys of the same texts, one stays."""
+    same = [F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("ids")]
+    groups = rows.groupBy("key").agg(*same, F.max("home").alias("home"), (F.min("root") < F.max("root")).alias("mixed"))
+    groups = groups.where("mixed AND home = 1")
+    return rows.join(groups.groupBy("n", "low", "high", "ids").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """For each key of mixed groups (key, id, root): the largest component `most`, parts of it (inner) and of the others (outer).
+
+    The largest component's texts need no comparison with each other, so parts of up to BLOCK / 2 texts are formed of it and of
+    the others; each part of the others meets every part. Groups of up to BLOCK texts are one part. `wide` groups take more than
+    COPIES copies of a text.
+    """
+    sides = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sides = sides.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
     few = F.col("n") <= BLOCK
     inner, outer = F.ceil(F.col("most.n") * 2 / BLOCK), F.ceil((F.col("n") - F.col("most.n")) * 2 / BLOCK)
-    sides = save(sides.select("word", F.col("most.root").alias("most"), F.when(few, 0).otherwise(inner).alias("inner"), F.when(few, 1).otherwise(outer).alias("outer")), "near-mixed")
-    rows = rows.join(sides, "word")
+    sides = sides.select("key", "n", "most", F.when(few, 0).otherwise(inner).alias("inner"), F.when(few, 1).otherwise(outer).alias("outer"))
+    copies = F.col("most.n") * F.col("outer") + (F.col("n") - F.col("most.n")) * (F.col("inner") + F.col("outer"))
+    return sides.select("key", F.col("most.root").alias("most"), "inner", "outer", (copies > COPIES * F.col("n")).alias("wide"))
+
+
+def _dealt_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows with `part`, and `others`: the text meets the parts from 0 to this one."""
+    rows = rows.join(parts, "key")
     is_inner = (F.col("inner") > 0) & (F.col("root") == F.col("most"))
     place = F.pmod(F.xxhash64("id"), F.when(is_inner, F.col("inner")).otherwise(F.col("outer")))
-    rows = rows.withColumn("part", F.when(is_inner, F.col("outer") + place).otherwise(place))
+    part = F.when(is_inner, F.col("outer") + place).otherwise(place)
     others = F.when(is_inner, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
-    rows = save(rows.select("word", "id", "root", "part", others.cast("long").alias("others")), "near-across")
+    return rows.select("key", "id", "root", part.alias("part"), others.cast("long").alias("others"))
+
+
+def _blocks_across(met: DataFrame, links: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """(key, id, root, part, others): groups whose texts `links` don't connect, in parts that have to meet.
+
+    A word's group that is not wide is compared as it is. The texts of wide groups, which boilerplate brings together, meet by
+    prefix keys instead, so what is not near is hardly ever copied.
+    """
+    roots = save(components(links), "near-roots")
+    rows = met.where("n > 2").join(roots, met["id"] == roots["node"], "left").select(F.col("word").alias("key"), F.lit(1).alias("home"), "id", F.coalesce("root", "id").alias("root"))
+    rows = save(_mixed_groups(rows), "near-mixed")
+    parts = save(_parts(rows), "near-parts")
+    dealt = _dealt_parts(rows, parts.where("NOT wide"))
+    wide = parts.where("wide")
+    if not wide.isEmpty():
+        texts = rows.join(wide, "key", "left_semi").select("id", "root").distinct()
+        finer = save(_mixed_groups(save(_with_prefix_keys(texts, shingles, similarity), "near-keys")), "near-finer")
+        dealt = dealt.unionByName(_dealt_parts(finer, save(_parts(finer), "near-finer-parts")))
+    return save(dealt, "near-across")
+
+
+def _across_components(met: DataFrame, links: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between texts that share a word but that `links` don't connect."""
+    rows = _blocks_across(met, links, shingles, similarity)
     n = rows.agg(F.sum(F.col("others") + 1)).first()[0]  # rows of all blocks
     if not n:
         return links.limit(0)
     blocks = rows.join(shingles, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others"))))
-    blocks = blocks.select("word", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "root", "shingles")
-    dealt = blocks.withColumn("deal", F.pmod(F.xxhash64("word", "i", "j"), F.lit(1 + n // BLOCK)))  # a block or two each
+    blocks = blocks.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "root", "shingles")
+    dealt = blocks.withColumn("deal", F.pmod(F.xxhash64("key", "i", "j"), F.lit(1 + n // BLOCK)))  # a block or two each
     return dealt.groupBy("deal").applyInPandas(_links_across(similarity), "a long, b long").distinct()
 
 
@@ -255,9 +342,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
 
     id is `text_key`. Texts that share a word of their fingerprints meet. Each is first compared with the smallest id of the
     word's texts, which most words of a group of near copies have in common, so that few pairs are left. What these links
-    connect needs no further comparison. Where a word's texts are still of several components, all its pairs across
-    components are compared inside tasks. All comparisons are exact, and no pair that shares a word goes uncompared unless
-    links connect it already.
+    connect needs no further comparison. Where a word's texts are still of several components, its pairs across components are
+    compared inside tasks; where that would copy each text many times, as with a passage that many different texts share, those
+    pairs alone that have a prefix key in common, as all near ones have. All comparisons are exact, and no near pair that shares
+    a word goes uncompared unless links connect it already.
     """
     every = docs.select(text_key().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     prints = _with_shingles(every, shingle).select("id", F.pandas_udf(_sampled_batches, "array<long>")("shingles").alias("fp"))

@@ -198,6 +198,71 @@ def test_pairs_among_texts_of_one_boilerplate(spark):
     assert links == 150 and kept == want
 
 
+def test_near_sets_share_a_prefix_key_of_the_smaller_ones_home():
+    rng = np.random.default_rng(6)
+    seen, near, far = rng.integers(2, 50, simhash.SEEN).astype(np.uint32), 0, 0
+    for _ in range(2000):
+        n = int(rng.integers(1, 250))
+        base = rng.integers(-(2**63), 2**63, n)
+        a, b = np.unique(base), np.unique(np.concatenate([base[rng.integers(0, n // 4 + 1) :], rng.integers(-(2**63), 2**63, rng.integers(0, n // 4 + 1))]))
+        shared = len(np.intersect1d(a, b))
+        keys = [simhash.prefix_keys(x, seen, 0.8) for x in (a, b)]
+        small = keys[0] if len(a) <= len(b) else keys[1]
+        homes = small[small & 1 == 1] & ~1
+        met = np.isin(homes, keys[0] & ~1) & np.isin(homes, keys[1] & ~1)
+        if shared >= 0.8 * (len(a) + len(b) - shared):
+            near += 1
+            assert met.any()
+        else:
+            far += 1
+    assert near > 500 and far > 500
+    assert len(simhash.prefix_keys(np.zeros(0, dtype=np.int64), seen, 0.8)) == 0
+
+
+def test_shingles_of_a_passage_come_last():
+    """Sets of 96 common and 19 or 44 own shingles are not near; none of the common ones is a key at home."""
+    seen, rng = np.full(simhash.SEEN, 2, dtype=np.uint32), np.random.default_rng(7)
+    passage = np.arange(96)
+    seen[passage] = 10**6
+    for own in (19, 44):
+        sets = [np.concatenate([passage, rng.integers(10**6, 2**62, own)]) for _ in range(20)]
+        homes = [{int(k) for k in simhash.prefix_keys(x, seen, 0.8) if k & 1} for x in sets]
+        assert all(len(h) for h in homes) and len(set().union(*homes)) == sum(len(h) for h in homes)
+
+
+@pytest.mark.parametrize("own", [60, 18])
+def test_wide_groups_meet_by_prefix_keys(spark, monkeypatch, own):
+    """With small blocks every mixed group is wide; what stays equals brute force, ties in size and repeated texts included."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "COPIES", 0)
+    rng = np.random.default_rng(own)
+    passage, rows = [f"license{i}" for i in range(100)], []
+    for g in range(120):
+        mine = [f"ownword{rng.integers(10**9)}" for _ in range(own + int(rng.integers(0, 6)))]
+        rows.append(" ".join(passage + mine))
+        rows += [" ".join(passage + mine[:-k] + [f"other{rng.integers(10**9)}" for _ in range(k)]) for k in (2, 6)[: g % 3]]
+    kept, want, links = kept_and_wanted(spark, [*rows, rows[0], rows[5]])
+    assert links > 60 and kept == want
+
+
+def test_copies_of_texts_with_a_passage_grow_with_the_texts(spark, monkeypatch):
+    """Texts of 100 shared and 15 own words (similarity about 0.7): rows of blocks stay within a few for each text."""
+    blocks, shipped = simhash._blocks_across, []
+
+    def counted(*args):
+        rows = blocks(*args)
+        shipped.append(rows.agg(F.sum(F.col("others") + 1)).first()[0] or 0)
+        return rows
+
+    monkeypatch.setattr(simhash, "_blocks_across", counted)
+    monkeypatch.setattr(simhash, "BLOCK", 20)
+    rng, passage = np.random.default_rng(8), [f"license{i}" for i in range(100)]
+    for n in (1000, 2000):
+        rows = [" ".join(passage + [f"own{x}" for x in rng.integers(10**9, size=15)]) for _ in range(n)]
+        assert simhash.drop_near_duplicates(frame(spark, enumerate(rows))).count() == n
+    assert max(shipped[0] / 1000, shipped[1] / 2000) < 6
+
+
 def test_a_word_of_sampled_shingles_agrees_as_stated():
     rng = np.random.default_rng(6)
     for n, more in ((5, 1), (40, 10), (400, 100), (4000, 1000)):

@@ -8,22 +8,27 @@ goes to its home and the other visits every anchor within radius 1 + 1; blocks t
 op7: 64 bits, 3 differing bits, so one of two blocks differs in at most one: every link is found.
 near_duplicates: texts at Jaccard similarity 0.8 of five-word shingles differ in up to 15 % of the bits of a SimHash over all
 shingles. A block of 31 bits meets at home then with probability 0.014, so recall 0.999 would take about 490 blocks. Instead a
-fingerprint has WORDS SimHashes of 64 bits, each over SAMPLED shingles chosen by least hash, as MinHash chooses them. Texts at
-similarity J have an equal word with probability 1 - (1 - J**SAMPLED)**WORDS: 0.9995 at 0.8, 0.007 at 0.3. Meeting texts are
-then compared by the exact similarity of the same shingles.
+fingerprint has WORDS SimHashes of 64 bits, each over SAMPLED shingles chosen by least hash, as MinHash chooses them. The anchors
+of a word are the code words of the [63, 57] Hamming code, perfect and of covering radius 1 too, over its bits 0 to 62. A word is
+at one home and visits the 32 anchors within radius 1 + 1 (only itself, if it is one), so words that differ in at most one of
+these bits always meet. Texts at similarity J have an equal word with probability 1 - (1 - J**SAMPLED)**WORDS: 0.9995 at 0.8,
+0.007 at 0.3; words that differ come on top. An anchor has 57 bits, so hardly any words meet by chance, and a shorter one, as op7
+has, would bring 2**31 times as many. Meeting texts are then compared by the exact similarity of the same shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from heatloom.llm.common import save, words
+from heatloom.llm.common import forget, save, words
 from heatloom.llm.graph import components
 
 SEED = 42
@@ -31,6 +36,9 @@ CHUNK = 4096
 #: 64-bit words of a near-duplicate fingerprint, and shingles sampled for each: 1 - (1 - 0.8**7)**32 = 0.9995.
 WORDS = 32
 SAMPLED = 7
+#: Bits of a word that the longer code covers, and words whose visits are shuffled at once.
+PLACES = 63
+ROUND = 4
 #: Texts that are compared with each other at once.
 BLOCK = 400
 #: Copies of each text, on average, that the blocks of a word's group may take before its texts meet by prefix keys.
@@ -96,9 +104,13 @@ def _sampled_batches(sets: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([sampled_fingerprint(x) for x in batch], dtype=object)
 
 
-def _syndrome(block: str) -> str:
-    masks = [sum(1 << p for p in range(31) if (p + 1) >> k & 1) for k in range(5)]
-    return " | ".join(f"shiftleft(bit_count({block} & {m}L) & 1, {k})" for k, m in enumerate(masks))
+def _masks(places: int) -> list[int]:
+    """The bits whose parities make up the syndrome of a block in the Hamming code of that length."""
+    return [sum(1 << p for p in range(places) if (p + 1) >> k & 1) for k in range(places.bit_length())]
+
+
+def _syndrome(block: str, places: int = 31) -> str:
+    return " | ".join(f"shiftleft(bit_count({block} & {m}L) & 1, {k})" for k, m in enumerate(_masks(places)))
 
 
 def blocks(fingerprint: Column, longs: int) -> Column:
@@ -135,6 +147,33 @@ def close_fingerprints(nodes: DataFrame) -> DataFrame:
     return homes.join(visits, "anchor").where(near).select("a", "b").distinct()
 
 
+def word_home(word: str) -> Column:
+    """The one anchor of the [63, 57] code within 1 of a word's bits 0 to 62."""
+    s = _syndrome(word, PLACES)
+    return F.expr(f"({word} & {2**PLACES - 1}L) ^ IF(({s}) = 0, 0L, shiftleft(1L, ({s}) - 1))")
+
+
+#: Row s: flips of two bits that lead from a word of syndrome s to the anchors at distance 2 (none for 0).
+FLIPS = np.array([[1 << i - 1 ^ 1 << (i ^ s) - 1 for i in range(1, PLACES + 1) if i < i ^ s] if s else [0] * 31 for s in range(PLACES + 1)], dtype=np.int64)
+
+
+def visited_anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in words, anchor): the anchors besides home within covering radius 1 plus threshold 1 of each word's bits 0 to 62."""
+    words = np.asarray(words, dtype=np.int64) & np.int64(2**PLACES - 1)
+    s = np.zeros(len(words), dtype=np.int64)
+    for k, m in enumerate(_masks(PLACES)):
+        s |= (np.bitwise_count(words & np.int64(m)).astype(np.int64) & 1) << k
+    away = np.flatnonzero(s)  # an anchor's next ones are at distance 3
+    return np.repeat(away, FLIPS.shape[1]), (words[away, None] ^ FLIPS[s[away]]).ravel()
+
+
+def _visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        words = batch["word"].to_numpy()
+        place, anchors = visited_anchors(words)
+        yield pd.DataFrame({"word": words[place], "anchor": anchors})
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fp (64-bit SimHash of three-word shingles) and component_id for every row of docs (doc_id, text).
 
@@ -309,11 +348,11 @@ def _dealt_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
 def _blocks_across(met: DataFrame, links: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
     """(key, id, root, part, others): groups whose texts `links` don't connect, in parts that have to meet.
 
-    A word's group that is not wide is compared as it is. The texts of wide groups, which boilerplate brings together, meet by
+    An anchor's group that is not wide is compared as it is. The texts of wide groups, which boilerplate brings together, meet by
     prefix keys instead, so what is not near is hardly ever copied.
     """
     roots = save(components(links), "near-roots")
-    rows = met.where("n > 2").join(roots, met["id"] == roots["node"], "left").select(F.col("word").alias("key"), F.lit(1).alias("home"), "id", F.coalesce("root", "id").alias("root"))
+    rows = met.where("n > 2").join(roots, met["id"] == roots["node"], "left").select("key", "home", "id", F.coalesce("root", "id").alias("root"))
     rows = save(_mixed_groups(rows), "near-mixed")
     parts = save(_parts(rows), "near-parts")
     dealt = _dealt_parts(rows, parts.where("NOT wide"))
@@ -326,7 +365,7 @@ def _blocks_across(met: DataFrame, links: DataFrame, shingles: DataFrame, simila
 
 
 def _across_components(met: DataFrame, links: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between texts that share a word but that `links` don't connect."""
+    """Links (a, b) between texts that meet at an anchor but that `links` don't connect."""
     rows = _blocks_across(met, links, shingles, similarity)
     n = rows.agg(F.sum(F.col("others") + 1)).first()[0]  # rows of all blocks
     if not n:
@@ -337,27 +376,62 @@ def _across_components(met: DataFrame, links: DataFrame, shingles: DataFrame, si
     return dealt.groupBy("deal").applyInPandas(_links_across(similarity), "a long, b long").distinct()
 
 
+def _save_lean(df: DataFrame, name: str) -> DataFrame:
+    """`save` that deletes its shuffle files when it is done; else they stay until the driver collects garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return save(df, name)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
+def meeting(nodes: DataFrame) -> DataFrame:
+    """(id, key, home, n, hub) of nodes (id, fp array<long>): texts that meet at an anchor (key) of a word of their fingerprints.
+
+    Every text is at the home of each of its words and visits all anchors within covering radius 1 plus threshold 1; an anchor
+    counts if it is someone's home and two meet there. home is 1 for those at home; hub is the smallest id of these, and n
+    counts them and the different words that visit. Equal words are one node until the last join, so an anchor has at most 64
+    words at home and 1,953 visiting ones, however many texts have them. Visits are shuffled in rounds of ROUND words.
+    """
+    at = nodes.select("id", F.posexplode("fp").alias("slot", "word"))
+    kinds = _save_lean(at.groupBy("slot", "word").agg(F.count("*").alias("n"), F.min("id").alias("hub")), "near-words")
+    homes = kinds.select("slot", "word", word_home("word").alias("anchor"), "n", "hub", F.lit(1).alias("home"))
+    visits = []
+    for low in range(0, WORDS, ROUND):
+        now = F.col("slot").between(low, low + ROUND - 1)
+        known = homes.where(now).select("anchor").distinct().hint("shuffle_hash")
+        visits.append(_save_lean(kinds.where(now).select("word").mapInPandas(_visits, "word long, anchor long").join(known, "anchor", "left_semi"), "near-visits"))
+    guests = reduce(DataFrame.unionByName, visits).select("word", "anchor", F.lit(1).cast("long").alias("n"), F.lit(None).cast("long").alias("hub"), F.lit(0).alias("home"))
+    here = Window.partitionBy("anchor")
+    groups = homes.drop("slot").unionByName(guests).withColumn("n", F.sum("n").over(here)).withColumn("hub", F.min("hub").over(here)).where("n > 1")
+    groups = _save_lean(groups.select("word", F.col("anchor").alias("key"), "home", "n", "hub"), "near-shared")
+    met = _save_lean(at.join(groups, "word").select("id", "key", "home", "n", "hub"), "near-met")
+    forget(kinds, groups, *visits)
+    return met
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """(id, group) for the distinct texts of docs (doc_id, text) that have a near neighbour: linked texts share a group.
 
-    id is `text_key`. Texts that share a word of their fingerprints meet. Each is first compared with the smallest id of the
-    word's texts, which most words of a group of near copies have in common, so that few pairs are left. What these links
-    connect needs no further comparison. Where a word's texts are still of several components, its pairs across components are
-    compared inside tasks; where that would copy each text many times, as with a passage that many different texts share, those
-    pairs alone that have a prefix key in common, as all near ones have. All comparisons are exact, and no near pair that shares
-    a word goes uncompared unless links connect it already.
+    id is `text_key`. Texts with words of their fingerprints that differ in at most one of 63 bits meet at anchors (`meeting`).
+    Each is first compared with the smallest id at home there, which most anchors of a group of near copies have in common, so
+    that few pairs are left. What these links connect needs no further comparison. Where an anchor's texts are still of several
+    components, its pairs across components are compared inside tasks; where that would copy each text many times, as with a
+    passage that many different texts share, those pairs alone that have a prefix key in common, as all near ones have. All
+    comparisons are exact, and no near pair that meets goes uncompared unless links connect it already.
     """
     every = docs.select(text_key().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     prints = _with_shingles(every, shingle).select("id", F.pandas_udf(_sampled_batches, "array<long>")("shingles").alias("fp"))
-    nodes = save(prints.dropDuplicates(["id"]), "near-nodes")
-    at = nodes.select("id", F.explode(F.array_distinct("fp")).alias("word"))
-    shared = save(at.groupBy("word").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"), "near-shared")
-    met = save(at.join(shared, "word"), "near-met")
+    nodes = _save_lean(prints.dropDuplicates(["id"]), "near-nodes")
+    met = meeting(nodes)
+    forget(nodes)
     texts = every.join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    shingles = save(_with_shingles(texts, shingle), "near-shingles")
+    shingles = _save_lean(_with_shingles(texts, shingle), "near-shingles")
     pairs = met.where(F.col("id") != F.col("hub")).select("id", "hub").distinct()
     both = pairs.join(shingles, "id").join(shingles.select(F.col("id").alias("hub"), F.col("shingles").alias("of_hub")), "hub")
-    links = save(both.where(_similar(F.col("shingles"), F.col("of_hub"), similarity)).select(F.col("id").alias("a"), F.col("hub").alias("b")), "near-links")
+    links = _save_lean(both.where(_similar(F.col("shingles"), F.col("of_hub"), similarity)).select(F.col("id").alias("a"), F.col("hub").alias("b")), "near-links")
     more = save(_across_components(met, links, shingles, similarity), "near-more")
     return components(links.unionByName(more)).select(F.col("node").alias("id"), F.col("root").alias("group"))
 

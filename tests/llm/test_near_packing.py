@@ -1,7 +1,9 @@
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -273,6 +275,72 @@ def test_a_word_of_sampled_shingles_agrees_as_stated():
         assert np.mean(equal) == pytest.approx((n / (n + more)) ** simhash.SAMPLED, abs=0.03)
 
 
+def differing(bits):
+    """Fingerprints for texts with an even and an odd number of shingles: all their words differ in `bits` bits."""
+    words, flips = [0x123456789ABCDEF + 7919 * k for k in range(simhash.WORDS)], sum(1 << 11 * b for b in range(bits))
+
+    def run(sets: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in sets:
+            yield pd.Series([[w ^ flips if len(x) % 2 else w for w in words] for x in batch], dtype=object)
+
+    return run
+
+
+@pytest.mark.parametrize(("bits", "stay"), [(0, 1), (1, 1), (6, 2)])
+def test_words_that_differ_in_a_bit_meet_at_an_anchor(spark, monkeypatch, bits, stay):
+    """Near texts without an equal word in their fingerprints meet if words differ in one bit; far ones aren't compared."""
+    monkeypatch.setattr(simhash, "_sampled_batches", differing(bits))
+    base = [f"word{i}" for i in range(64)]
+    rows = [" ".join(base), " ".join([*base, "more"])]
+    assert simhash.drop_near_duplicates(frame(spark, enumerate(rows))).count() == stay
+
+
+def test_visits_of_the_longer_code(spark):
+    """32 anchors within 2 of a word, home among them (one, if the word is an anchor); words a bit apart meet there."""
+    rng = np.random.default_rng(9)
+    values = [0, -1, 5, *rng.integers(-(2**63), 2**63, 60, dtype=np.int64).tolist()]
+    values += [v ^ 1 << int(b) for v in values for b in rng.integers(0, 63, 3)]
+    home = dict(map(tuple, spark.createDataFrame([(v,) for v in values], "word long").distinct().select("word", simhash.word_home("word")).collect()))
+    within = {v: {a} for v, a in home.items()}
+    for i, a in zip(*simhash.visited_anchors(np.array(values, dtype=np.int64)), strict=True):
+        within[values[i]].add(int(a))
+    for v, anchors in within.items():
+        bits = v & 2**63 - 1
+        assert len(anchors) == (1 if bits == home[v] else 32) and (bits ^ home[v]).bit_count() <= 1
+        for a in anchors:
+            places = [p + 1 for p in range(63) if a >> p & 1]
+            assert (bits ^ a).bit_count() <= 2 and int(np.bitwise_xor.reduce(places or [0])) == 0
+    pairs = [(v, w) for v in home for w in home if ((v ^ w) & 2**63 - 1).bit_count() <= 1]
+    assert len(pairs) > len(home) and all(home[v] in within[w] for v, w in pairs)
+
+
+def test_meeting_against_brute_force(spark, monkeypatch):
+    """Who meets whom, of words 0 to 8 bits apart: those at home with each other and with all that visit their home."""
+    rng = np.random.default_rng(10)
+    prints = {}
+    base = rng.integers(-(2**63), 2**63, simhash.WORDS, dtype=np.int64)
+    for i in range(40):
+        flips = [int(np.bitwise_xor.reduce([0, *(1 << int(b) for b in rng.integers(0, 63, k))])) for k in rng.integers(0, 5, simhash.WORDS)]
+        prints[i] = [int(b) ^ f for b, f in zip(base, flips, strict=True)]
+    monkeypatch.setattr(simhash, "ROUND", 5)
+    rows = [tuple(r) for r in simhash.meeting(spark.createDataFrame(list(prints.items()), "id long, fp array<long>")).collect()]
+    by = defaultdict(set)
+    for i, key, home, _, _ in rows:
+        by[key].add((i, home))
+    at, visiting = defaultdict(set), defaultdict(set)
+    for i, fp in prints.items():
+        for v in fp:
+            bits = v & 2**63 - 1
+            s = int(np.bitwise_xor.reduce([0, *(p + 1 for p in range(63) if bits >> p & 1)]))
+            at[bits ^ (1 << s - 1 if s else 0)].add(i)
+            for p in range(1, 64):
+                if s and p < p ^ s:
+                    visiting[bits ^ 1 << p - 1 ^ 1 << (p ^ s) - 1].add(i)
+    want = {k: {(i, 1) for i in ids} | {(i, 0) for i in visiting[k]} for k, ids in at.items() if len(ids) > 1 or visiting[k]}
+    assert by == want and len(want) > 100
+    assert all(hub == min(at[key]) and n > 1 for _, key, _, n, hub in rows)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None), (5, "")]
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()) == [3, 4]
